@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, token_counts
+from . import bpe_codec, exact_dedup, mixture, token_counts, url_rules
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,77 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return bpe_codec.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], digests=True, with_ids=False)
+
+
+# The rules of the query.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
+@query
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, rule string")
+    return url_rules.judge(read(spark, sf_dir, "pages"), rules, keep=["page_id"])
+
+
+ORACLES["op3_url_rules"] = f"""
+WITH rules(verdict, rule) AS (VALUES {", ".join(map(str, URL_RULES))}),
+parts AS (SELECT verdict, rule, split_part(rule, '/', 1) AS h, rule[strpos(rule, '/'):] AS p FROM rules),
+cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM cut),
+urls AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest[length(h) + 1:], '^[^?#]*') AS path FROM hosts),
+found AS (
+  SELECT urls.*, (SELECT max_by(struct_pack(rule := rule, verdict := verdict), length(rule)) FROM parts
+    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS hit FROM urls)
+SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, 'allow') AS verdict FROM found
+"""
+
+
+@query
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixture.by_position(mixture.plan(read(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return planned.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op9_mixture"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+ranked AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (3 * source_size)::DOUBLE AS most FROM sizes),
+levels AS (
+  SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM ranked WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, CASE WHEN most / weight <= level THEN most
+    ELSE max(CASE WHEN most / weight > level THEN level END) OVER () * weight END AS target FROM levels),
+due AS (
+  SELECT *, round(target)::BIGINT AS due, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS passes FROM targets),
+placed AS (
+  SELECT docs.*, source_size, target, due, passes,
+    sum(size) OVER (PARTITION BY docs.source ORDER BY o, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM docs JOIN due ON docs.source IS NOT DISTINCT FROM due.source)
+SELECT doc_id, size, source_size, target,
+  (passes * size + greatest(0, least(size, due - passes * source_size - start)))::BIGINT AS taken FROM placed
+"""
