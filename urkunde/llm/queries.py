@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, mixture, token_counts, url_rules
-from .common import read
+from . import bpe_codec, exact_dedup, lm_ppm, mixture, quality_mil, secret_scan, token_counts, url_rules
+from .common import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,19 @@ placed AS (
 SELECT doc_id, size, source_size, target,
   (passes * size + greatest(0, least(size, due - passes * source_size - start)))::BIGINT AS taken FROM placed
 """
+
+
+@query
+def op2_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_ppm.score(read(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
+@query
+def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality_mil.classify(docs, labels, remainder("doc_id", 4) == 2, keep=["doc_id"])
+
+
+@query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
