@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_of, work_dir
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lives in RocksDB. Each of its partitions is small; space must not be set aside for it.
+STREAMING = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: A digest with more than this share of all rows is hot; there are fewer than its inverse, so these may be broadcast.
 HOT_SHARE = 0.001
 
@@ -27,8 +31,9 @@ def sha256(text: Column) -> Column:
 def absorb(staged: DataFrame, folder: str, state: str) -> DataFrame:
     """Runs the rows of `folder` (digest, id, row) that the state has not seen through it; gives the state: digest, n, keep."""
     spark = staged.sparkSession
-    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    was = {k: spark.conf.get(k, None) for k in STREAMING}
+    for k, v in STREAMING.items():
+        spark.conf.set(k, v)
     try:
         (
             spark.readStream.schema(staged.schema)
@@ -46,7 +51,8 @@ def absorb(staged: DataFrame, folder: str, state: str) -> DataFrame:
         fields = found.schema["value"].dataType.names
         return cut(found.select(F.col("key.digest").alias("digest"), F.col(f"value.`{fields[0]}`").alias("n"), F.col(f"value.`{fields[1]}`").alias("keep")))
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def groups(df: DataFrame, id_column: str, text: str, row: Column, digest: Callable[[Column], Column] = sha256) -> DataFrame:

@@ -224,7 +224,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     """One row for each row of df: the id, class_id, class_size, kept.
 
     Texts are linked when the similarity of their runs of WORDS words is at least SIMILARITY; a class is what
-    links and equal texts connect. class_id is its least id (null only if all are), class_size its number of
+    links and equal texts connect. class_id is its least id (null is the least), class_size its number of
     rows, and the row that is kept is that of class_id; of rows with the same id and text, one. Null counts as
     empty; texts without words are linked to equal ones only. An empty table gives an empty result. Other
     columns are not read.
