@@ -91,3 +91,19 @@ def strings(batch: pa.RecordBatch, column: str) -> Iterator[str]:
     """The column's values one at a time, null as empty."""
     for x in batch.column(column):
         yield x.as_py() or ""
+
+
+#: A group with more than this share of all rows is hot; there are fewer than its inverse, so these may be broadcast.
+HOT_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined to the groups that they make up. groups: one row for each key, with its number of rows in n.
+
+    Hot groups are joined by broadcast, so that no task gets all rows of one; the others by a shuffle.
+    """
+    groups = cut(groups)
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) > max(1, int(total * HOT_SHARE))
+    hot = F.broadcast(groups.filter(is_hot))
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(groups.filter(~is_hot), key))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_batches, strings, text_of, work_dir
+from .common import cut, join_groups, map_batches, strings, text_of, work_dir
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -28,8 +28,6 @@ SKETCHES, KEEP = 24, 3
 AGREE = 0.5
 #: Texts of a bucket that are compared at once.
 BLOCK = 1024
-#: A text with more than this share of all rows is hot; there are fewer than its inverse, so these may be broadcast.
-HOT_SHARE = 0.001
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -278,12 +276,8 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
     found = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = found.groupBy("root").agg(F.min("first").alias("class"), F.sum("n").alias("class_size"))
-    found = cut(found.join(whole, "root").select("node", "n", "class", "class_size"))
-    total = found.agg(F.sum("n")).first()[0] or 0
-    is_hot = F.col("n") > max(1, int(total * HOT_SHARE))
-    hot = F.broadcast(found.filter(is_hot))
-    slim = rows.select("node", "id", "row")
-    joined = slim.join(hot, "node").unionByName(slim.join(hot, "node", "left_anti").join(found.filter(~is_hot), "node"))
+    found = found.join(whole, "root").select("node", "n", "class", "class_size")
+    joined = join_groups(rows.select("node", "id", "row"), found, "node", "n")
     return joined.select(F.col("id").alias(id_column), F.col("class.id").alias("class_id"), "class_size", (F.col("row") == F.col("class.row")).alias("kept"))
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import bpe_codec, exact_dedup, lm_ppm, mixture, near_dedup, quality_mil, secret_scan, token_counts, url_rules
-from .common import read, remainder
+from . import bpe_codec, exact_dedup, image_copies, lm_ppm, mixture, near_dedup, quality_mil, secret_scan, token_counts, url_rules
+from .common import map_batches, read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +127,29 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(read(spark, sf_dir, "documents"))
+
+
+def pictures(vectors: DataFrame) -> DataFrame:
+    """vec_id, picture: each vector drawn as a grey PGM file, eight values a line and eight pixels a value.
+
+    No table holds images, so these stand for a media column.
+    """
+
+    def make():
+        def function(batch):
+            out = []
+            for x in batch.column("embedding"):
+                v = np.array(x.as_py() or [], float)
+                v = np.concatenate([v, np.zeros(-len(v) % 8)]).reshape(-1, 8)
+                out.append(image_copies.pgm(np.clip(np.round(128 + 400 * np.kron(v, np.ones((8, 8)))), 0, 255)))
+            return [out]
+
+        return function
+
+    return map_batches(vectors, [("picture", T.BinaryType())], make, ["vec_id"])
+
+
+@query
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = pictures(read(spark, sf_dir, "embeddings"))
+    return image_copies.search(images, F.col("vec_id") % 20 == 0, "vec_id", "picture")
