@@ -5,9 +5,10 @@ the text, so that two texts share it with a chance that follows their edit simil
 SKETCHES sketches are candidates. Candidates are verified by a banded alignment of their shingles.
 
 Groups can be very large, so candidates are not all pairs of a bucket. First each text is verified against the
-most central text of each of its buckets (the one whose sketches are shared most). What that connects needs no
-further pairs. Then, bucket by bucket and in blocks, only texts of different components whose signatures agree
-are paired. Every candidate pair is so either verified or within a component already: no link is lost.
+most central text of each of its buckets (the one whose sketches are shared most), then against the text of another
+component that its signature agrees with most. What that connects needs no further pairs. Last, bucket by
+bucket and in blocks, only texts of different components whose signatures agree are paired. Every candidate
+pair is so either verified or within a component already: no link is lost.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Texts of similarity 0.8 share a sketch with a chance of 0.8 ** KEEP, and none of all with about 4e-8.
 SKETCHES, KEEP = 24, 3
-#: Share of equal least hashes from which on a pair is verified; at a similarity of 0.8, 3.7 standard deviations below.
-AGREE = 0.5
+#: Sketches that a pair to be verified shares (at a similarity of 0.8 on average 12, and 4 or more), and values that its
+#: signatures (the KEEP least of each hash function) share of all SKETCHES * KEEP (at 0.8 on average 59, and 48 or more).
+SHARED, AGREE = 3, 47
 #: Texts of a bucket that are compared at once.
 BLOCK = 1024
 
@@ -76,11 +78,11 @@ def shingles(text: str) -> np.ndarray:
     return out
 
 
-def sketch(text: str) -> tuple[list[int], list[int]]:
-    """Sketches, and the least hash under each function cut to 31 bits; nothing for a text without words."""
+def sketch(text: str) -> tuple[list[int], bytes]:
+    """Sketches, and the signature: the KEEP least hashes under each function, 16 bits of each; nothing for a text without words."""
     plain = shingles(text)
     if not len(plain):
-        return [], []
+        return [], b""
     labelled = plain
     own, where, times = np.unique(plain, return_inverse=True, return_counts=True)
     with np.errstate(over="ignore"):
@@ -90,15 +92,15 @@ def sketch(text: str) -> tuple[list[int], list[int]]:
             which[order] = np.arange(len(plain)) - np.repeat(np.cumsum(times) - times, times)
             labelled = mix(plain + which * PRIME)
         keep = min(KEEP, len(plain))
-        out, least = np.zeros(SKETCHES, np.uint64), np.empty(SKETCHES, np.uint64)
+        out, least = np.zeros(SKETCHES, np.uint64), np.zeros((SKETCHES, KEEP), np.uint64)
         step = max(1, PIECE // len(plain))
         for i in range(0, SKETCHES, step):
             value = mix(labelled[None, :] ^ SEEDS[i : i + step, None])
             at = np.sort(np.argpartition(value, keep - 1, axis=1)[:, :keep], axis=1)
-            least[i : i + step] = np.take_along_axis(value, at, 1).min(1)
+            least[i : i + step, :keep] = np.take_along_axis(value, at, 1)
             for k in range(keep):
                 out[i : i + step] = mix(out[i : i + step] + plain[at[:, k]] * np.uint64(2 * k + 1))
-    return out.view(np.int64).tolist(), (least >> np.uint64(33)).astype(np.int64).tolist()
+    return out.view(np.int64).tolist(), (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -135,8 +137,9 @@ def node_of(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def agree(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= AGREE * SKETCHES
+def shared(a: str, b: str) -> Column:
+    """How many sketches two texts share."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,29 +177,48 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members of different roots whose signatures agree. members: band, sketch, n, node, root, least."""
+def block_pairs(members: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of a bucket's members of different roots that share SHARED sketches and AGREE values of their signatures.
+
+    nearest: of each member only the pair of the most shared values, so that there are no more pairs than
+    members. Otherwise a pair is given once, in the first of the buckets that it shares.
+    members: band, sketch, n, node, root, sketches, least.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("band", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "least")
+    other = F.explode(F.array("own") if nearest else F.sequence(F.lit(0), blocks - 1))
+    rows = members.withColumn("own", own).withColumn("other", other)
+    rows = rows.select("band", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketches", "least")
     rows = rows.repartition("band", "sketch", "i", "j").sortWithinPartitions("band", "sketch", "i", "j")
 
     def pairs(group):
-        i, j = group[0][2:4]
+        band, _, i, j = group[0][:4]
         left = [r for r in group if r[4] == i]
         right = [r for r in group if r[4] == j]
         roots: dict[bytes, int] = {}
-        code = lambda rs: np.array([roots.setdefault(r[6], len(roots)) for r in rs])
-        x, y = code(left), code(right)
+        x, y = (np.array([roots.setdefault(r[6], len(roots)) for r in rs], int) for rs in (left, right))
         if len(roots) < 2:
             return
-        sx, sy = (np.array([r[7] for r in rs], np.int32) for rs in (left, right))
-        for k in range(len(left)):
-            fit = ((sy == sx[k]).sum(1) >= AGREE * SKETCHES) & (y != x[k])
-            for m in np.flatnonzero(fit).tolist():
-                a, b = left[k][5], right[m][5]
-                if i != j or a < b:
+        most = np.argmax(np.bincount(y, minlength=len(roots)))
+        sketches, least = np.array([r[7] for r in right]), np.array([np.frombuffer(r[8], np.uint16) for r in right]).reshape(-1, SKETCHES, KEEP)
+        for k, r in enumerate(left):
+            if nearest and x[k] == most:
+                continue
+            fit = np.flatnonzero(y != x[k])
+            same = sketches[fit] == np.array(r[7])
+            keep = same.sum(1) >= SHARED
+            if not nearest:
+                keep &= same.argmax(1) == band
+            fit = fit[keep]
+            own = np.frombuffer(r[8], np.uint16).reshape(SKETCHES, KEEP)
+            values = sum((least[fit] == np.roll(own, t, axis=1)).sum((1, 2)) for t in range(KEEP))
+            if nearest:
+                fit = fit[values == values.max()][:1] if len(fit) and values.max() >= AGREE else fit[:0]
+            else:
+                fit = fit[values >= AGREE]
+            for m in fit.tolist():
+                a, b = r[5], right[m][5]
+                if nearest or i != j or a < b:
                     yield (a, b) if a < b else (b, a)
 
     def run(batches):
@@ -218,6 +240,13 @@ def block_pairs(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their roots, of the buckets that hold more than one component."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_buckets = rooted.groupBy("band", "sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "sketch")
+    return rooted.join(open_buckets, ["band", "sketch"])
+
+
 def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: the id, class_id, class_size, kept.
 
@@ -238,7 +267,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
         return function
 
-    arrays = [("sketches", T.ArrayType(T.LongType())), ("least", T.ArrayType(T.IntegerType()))]
+    arrays = [("sketches", T.ArrayType(T.LongType())), ("least", T.BinaryType())]
     folder = work_dir(spark, "sketches")
     nodes = docs.withColumn("node", node_of(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
     map_batches(nodes, arrays, make, ["id", "node", "row"]).write.parquet(folder)
@@ -246,17 +275,20 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     # Equal texts are one node; its row of least id stands for it.
     groups = cut(rows.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")))
     firsts = rows.join(groups.select("node", F.col("first.row").alias("row")), ["node", "row"]).select("node", "sketches", "least")
-    members = firsts.select("node", F.posexplode("sketches").alias("band", "sketch"), "least")
+    firsts = cut(firsts)
+    members = firsts.select("node", F.posexplode("sketches").alias("band", "sketch"))
     buckets = members.groupBy("band", "sketch").agg(F.count("*").alias("n")).filter("n > 1")
     folder = work_dir(spark, "members")
     members.join(buckets, ["band", "sketch"]).write.parquet(folder)
     members = spark.read.parquet(folder)
 
     central = members.groupBy("node").agg(F.sum("n").alias("central"))
-    ranked = members.join(central, "node").groupBy("band", "sketch").agg(F.max(F.struct("central", "node", "least")).alias("top"))
-    star = members.join(ranked.select("band", "sketch", F.col("top.node").alias("hub"), F.col("top.least").alias("hub_least")), ["band", "sketch"])
-    star = star.filter((F.col("node") != F.col("hub")) & agree("least", "hub_least"))
-    tried = cut(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    tops = members.join(central, "node").groupBy("band", "sketch").agg(F.max(F.struct("central", "node")).alias("top"))
+    star = members.join(tops.select("band", "sketch", F.col("top.node").alias("hub")), ["band", "sketch"]).filter("node <> hub")
+    star = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    whole = firsts.select("node", "sketches")
+    star = star.join(whole.withColumnsRenamed({"node": "a", "sketches": "of_a"}), "a").join(whole.withColumnsRenamed({"node": "b", "sketches": "of_b"}), "b")
+    tried = cut(star.filter(shared("of_a", "of_b") >= SHARED).select("a", "b"))
 
     folder = work_dir(spark, "texts")
     needed = members.select("node").distinct().join(groups, "node").select("node", F.col("first.id").alias("id"))
@@ -267,12 +299,15 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
     links = verified(tried, texts)
     roots = components(links)
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_buckets = rooted.groupBy("band", "sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "sketch")
-    more = block_pairs(rooted.join(open_buckets, ["band", "sketch"]).select("band", "sketch", "n", "node", "root", "least"))
-    more = verified(cut(more.join(tried, ["a", "b"], "left_anti")), texts)
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    signed = ["band", "sketch", "n", "node", "root", "sketches", "least"]
+    for nearest in (True, False):
+        open_rows = open_members(members, roots).join(firsts, "node").select(*signed)
+        more = cut(block_pairs(open_rows, nearest).join(tried, ["a", "b"], "left_anti"))
+        found = verified(more, texts)
+        if not found.isEmpty():
+            links = cut(links.unionByName(found))
+            roots = components(links)
+        tried = tried.unionByName(more)
 
     found = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = found.groupBy("root").agg(F.min("first").alias("class"), F.sum("n").alias("class_size"))
