@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_groups, map_batches, strings, text_of, work_dir
+from .common import cut, join_groups, map_batches, release, strings, text_of, work_dir
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -180,8 +180,8 @@ def components(links: DataFrame) -> DataFrame:
 def block_pairs(members: DataFrame, nearest: bool) -> DataFrame:
     """Pairs of a bucket's members of different roots that share SHARED sketches and AGREE values of their signatures.
 
-    nearest: of each member only the pair of the most shared values, so that there are no more pairs than
-    members. Otherwise a pair is given once, in the first of the buckets that it shares.
+    nearest: of each text only the pair of the most shared values in any bucket, so that there are no more pairs
+    than texts. Otherwise a pair is given once, in the first of the buckets that it shares.
     members: band, sketch, n, node, root, sketches, least.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -213,19 +213,22 @@ def block_pairs(members: DataFrame, nearest: bool) -> DataFrame:
             own = np.frombuffer(r[8], np.uint16).reshape(SKETCHES, KEEP)
             values = sum((least[fit] == np.roll(own, t, axis=1)).sum((1, 2)) for t in range(KEEP))
             if nearest:
-                fit = fit[values == values.max()][:1] if len(fit) and values.max() >= AGREE else fit[:0]
+                fit = fit[values == max(AGREE, values.max(initial=0))][:1]
             else:
                 fit = fit[values >= AGREE]
             for m in fit.tolist():
                 a, b = r[5], right[m][5]
-                if nearest or i != j or a < b:
-                    yield (a, b) if a < b else (b, a)
+                if nearest:
+                    yield a, b, int(values.max())
+                elif i != j or a < b:
+                    yield min(a, b), max(a, b), 0
 
     def run(batches):
         group: list = []
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+            kinds = (pa.binary(), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], t) for k, t in enumerate(kinds)], ["a", "b", "values"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -237,7 +240,11 @@ def block_pairs(members: DataFrame, nearest: bool) -> DataFrame:
         if group and (found := list(pairs(group))):
             yield out(found)
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    found = rows.mapInArrow(run, "a binary, b binary, values int")
+    if nearest:
+        found = found.groupBy("a").agg(F.max(F.struct("values", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -297,8 +304,10 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     own.join(needed, (own["node"] == needed["node"]) & own["id"].eqNullSafe(needed["id"]), "left_semi").dropDuplicates(["node"]).select("node", "text").write.parquet(folder)
     texts = spark.read.parquet(folder)
 
+    release(spark)
     links = verified(tried, texts)
     roots = components(links)
+    release(spark)
     signed = ["band", "sketch", "n", "node", "root", "sketches", "least"]
     for nearest in (True, False):
         open_rows = open_members(members, roots).join(firsts, "node").select(*signed)
@@ -308,6 +317,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
             links = cut(links.unionByName(found))
             roots = components(links)
         tried = tried.unionByName(more)
+        release(spark)
 
     found = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = found.groupBy("root").agg(F.min("first").alias("class"), F.sum("n").alias("class_size"))
