@@ -49,6 +49,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that no plan reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str) -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
@@ -114,3 +120,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFra
     is_hot = F.col(n) > max(1, int(total * HOT_SHARE))
     hot = F.broadcast(groups.filter(is_hot))
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(groups.filter(~is_hot), key))
+
+
+def keep_rows(df: DataFrame, decided: DataFrame, id_column: str, node: Column) -> DataFrame:
+    """The rows of df that are kept, with df's columns.
+
+    decided: id, node, kept for all rows of the groups that lose any. Rows with the same id and node are told
+    apart by nothing: of them one is kept if one is.
+    """
+    keys = cut(decided.groupBy("id", "node").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.col(f"`{id_column}`").alias("own_id"), node.alias("own_node"))
+
+    def same(k: DataFrame) -> Column:
+        return (rows["own_node"] == k["node"]) & rows["own_id"].eqNullSafe(k["id"])
+
+    gone, repeated = keys.filter("not kept or n > 1"), keys.filter("kept and n > 1")
+    out = rows.join(gone, same(gone), "left_anti")
+    if not repeated.isEmpty():
+        out = out.unionByName(rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["own_id", "own_node"]))
+    return out.select("all.*")

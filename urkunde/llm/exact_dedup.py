@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of, work_dir
+from .common import cut, keep_rows, release, text_of, work_dir
 
 #: The state lives in RocksDB. Each of its partitions is small; space must not be set aside for it.
 STREAMING = {
@@ -69,6 +69,7 @@ def groups(df: DataFrame, id_column: str, text: str, row: Column, digest: Callab
     # All texts of a digest are the same bytes if the least and the greatest are; copies meet before the shuffle.
     bytes_of = df.select(digest(text_of(text)).alias("digest"), text_of(text).alias("text")).groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
     differ = cut(bytes_of.filter("least <> greatest").select("digest"))
+    release(spark)
 
     hot = F.broadcast(several.filter(F.col("n") > max(1, int(total * HOT_SHARE))))
     rest = several.filter(F.col("n") <= max(1, int(total * HOT_SHARE)))
@@ -106,10 +107,7 @@ def duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", dig
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay, with df's columns."""
-    spark = df.sparkSession
-    folder = work_dir(spark, "rows")
-    df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.monotonically_increasing_id().alias("row")).write.parquet(folder)
-    staged = spark.read.parquet(folder)
-    found = groups(staged.select(F.col(f"all.`{id_column}`").alias("id"), F.col(f"all.`{text}`").alias("text"), "row"), "id", "text", F.col("row"))
-    return staged.join(found.filter("not kept").select("row"), "row", "left_anti").select("all.*")
+    """The rows of df that stay, with df's columns; see duplicates()."""
+    found = groups(df, id_column, text, F.monotonically_increasing_id())
+    decided = found.filter("group_size > 1").select("id", F.col("text_sha256").alias("node"), "kept")
+    return keep_rows(df, decided, id_column, sha256(text_of(text)))

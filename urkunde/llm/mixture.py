@@ -18,6 +18,8 @@ PASSES = 3
 WEIGHTS = (1, 2, 3)
 #: For each weight: (moment of the run, times the mean weight); linear in between, mean 1.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
+#: Sums of parts, at most, that are broadcast; more are joined by a shuffle.
+BROADCAST_PARTS = 100_000
 #: Documents of a source meet in at least as many parts; there are more with more rows.
 PARTS, PART_ROWS = 256, 4096
 
@@ -97,6 +99,8 @@ def plan(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: s
     parts = sums.groupBy("source", F.substring("part", 1, digits).alias("part")).agg(F.sum("size").alias("size"))
     parts = parts.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy("part")) - F.col("size")).drop("size")
     parts = cut(parts.join(by_source, parts["source"].eqNullSafe(by_source["source"])).select(parts["source"], "part", "before", "source_size", "weight_at", "target"))
+    if parts.count() <= BROADCAST_PARTS:
+        parts = F.broadcast(parts)
     rows = rows.withColumn("part", F.substring("order", 1, digits))
     within = Window.partitionBy("source", "part").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))

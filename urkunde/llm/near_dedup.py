@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_groups, map_batches, release, strings, text_of, work_dir
+from .common import cut, join_groups, keep_rows, map_batches, release, remove, strings, text_of, work_dir
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -254,15 +254,8 @@ def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(open_buckets, ["band", "sketch"])
 
 
-def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of df: the id, class_id, class_size, kept.
-
-    Texts are linked when the similarity of their runs of WORDS words is at least SIMILARITY; a class is what
-    links and equal texts connect. class_id is its least id (null is the least), class_size its number of
-    rows, and the row that is kept is that of class_id; of rows with the same id and text, one. Null counts as
-    empty; texts without words are linked to equal ones only. An empty table gives an empty result. Other
-    columns are not read.
-    """
+def rows_of_classes(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """id, node, class_id, class_size, kept for each row of df."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = df.select(F.col(f"`{id_column}`").alias("id"), text_of(text).alias("text"))
@@ -285,9 +278,9 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     firsts = cut(firsts)
     members = firsts.select("node", F.posexplode("sketches").alias("band", "sketch"))
     buckets = members.groupBy("band", "sketch").agg(F.count("*").alias("n")).filter("n > 1")
-    folder = work_dir(spark, "members")
-    members.join(buckets, ["band", "sketch"]).write.parquet(folder)
-    members = spark.read.parquet(folder)
+    members_at, texts_at = work_dir(spark, "members"), work_dir(spark, "texts")
+    members.join(buckets, ["band", "sketch"]).write.parquet(members_at)
+    members = spark.read.parquet(members_at)
 
     central = members.groupBy("node").agg(F.sum("n").alias("central"))
     tops = members.join(central, "node").groupBy("band", "sketch").agg(F.max(F.struct("central", "node")).alias("top"))
@@ -297,12 +290,11 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     star = star.join(whole.withColumnsRenamed({"node": "a", "sketches": "of_a"}), "a").join(whole.withColumnsRenamed({"node": "b", "sketches": "of_b"}), "b")
     tried = cut(star.filter(shared("of_a", "of_b") >= SHARED).select("a", "b"))
 
-    folder = work_dir(spark, "texts")
     needed = members.select("node").distinct().join(groups, "node").select("node", F.col("first.id").alias("id"))
     own = docs.withColumn("node", node_of(F.col("text")))
     # The id spreads a text's copies over the tasks; copies under one id are told apart afterwards.
-    own.join(needed, (own["node"] == needed["node"]) & own["id"].eqNullSafe(needed["id"]), "left_semi").dropDuplicates(["node"]).select("node", "text").write.parquet(folder)
-    texts = spark.read.parquet(folder)
+    own.join(needed, (own["node"] == needed["node"]) & own["id"].eqNullSafe(needed["id"]), "left_semi").dropDuplicates(["node"]).select("node", "text").write.parquet(texts_at)
+    texts = spark.read.parquet(texts_at)
 
     release(spark)
     links = verified(tried, texts)
@@ -323,16 +315,24 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     whole = found.groupBy("root").agg(F.min("first").alias("class"), F.sum("n").alias("class_size"))
     found = found.join(whole, "root").select("node", "n", "class", "class_size")
     joined = join_groups(rows.select("node", "id", "row"), found, "node", "n")
-    return joined.select(F.col("id").alias(id_column), F.col("class.id").alias("class_id"), "class_size", (F.col("row") == F.col("class.row")).alias("kept"))
+    for folder in (members_at, texts_at):
+        remove(spark, folder)
+    return joined.select("id", "node", F.col("class.id").alias("class_id"), "class_size", (F.col("row") == F.col("class.row")).alias("kept"))
+
+
+def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of df: the id, class_id, class_size, kept.
+
+    Texts are linked when the similarity of their runs of WORDS words is at least SIMILARITY; a class is what
+    links and equal texts connect. class_id is its least id (null is the least), class_size its number of
+    rows, and the row that is kept is that of class_id; of rows with the same id and text, one. Null counts as
+    empty; texts without words are linked to equal ones only. An empty table gives an empty result. Other
+    columns are not read.
+    """
+    return rows_of_classes(df, id_column, text).drop("node").withColumnRenamed("id", id_column)
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that are kept, with df's columns."""
-    spark = df.sparkSession
-    folder = work_dir(spark, "rows")
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.monotonically_increasing_id().alias("at"))
-    packed.write.parquet(folder)
-    staged = spark.read.parquet(folder)
-    # The id with the row's number is an identifier without repeats, in the order of the ids.
-    found = classes(staged.select(F.struct(F.col(f"all.`{id_column}`").alias("own"), "at").alias("id"), F.col(f"all.`{text}`").alias("text")), "id", "text")
-    return staged.join(found.filter("not kept").select(F.col("id.at").alias("at")), "at", "left_anti").select("all.*")
+    """The rows of df that are kept, with df's columns; see classes()."""
+    found = rows_of_classes(df, id_column, text)
+    return keep_rows(df, found.filter("class_size > 1").select("id", "node", "kept"), id_column, node_of(text_of(text)))
