@@ -4,7 +4,450 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import ERA_APPROACHES, OTHER_ERA
+from ..functions import dates, patterns, recommend, scoring
+from ..functions import text as texts
+from ..operators import assemble, attempts, extract, pixels, validate
+from ..operators.images import PIPELINES
+from ..sources import export, files
+from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return register
+
+
+def duck(spec: patterns.PatternSpec) -> str:
+    """A rule as a DuckDB expression for all its matches."""
+    regex = spec.regex.removeprefix("(?i)").replace(r"[\w", r"[\p{L}\p{N}_")
+    return f"regexp_extract_all(text, '(?im){regex}')"
+
+
+def duck_matches(field: str) -> str:
+    """found: doc_id, rule, rank, place, value, start_pos, confidence."""
+    parts = []
+    for rank, s in patterns.ranked(field):
+        regex = s.regex.removeprefix("(?i)").replace(r"[\w", r"[\p{L}\p{N}_")
+        parts.append(
+            f"SELECT doc_id, text, '{s.name}' AS pattern_name, {rank} AS pattern_rk, i AS place, m[i] AS value, {s.confidence}::DOUBLE AS confidence, "
+            f"(list_sum(list_transform(sp[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT AS start_pos "
+            f"FROM (SELECT doc_id, text, m, sp, unnest(generate_series(1, len(m))) AS i FROM (SELECT doc_id, text, {duck(s)} AS m, regexp_split_to_array(text, '(?im){regex}') AS sp FROM corpus))"
+        )
+    return f"WITH {fx.CORPUS_SQL}, found AS ({' UNION ALL '.join(parts)})"
+
+
+for _field in ("date", "publisher", "document_type", "title", "author"):
+
+    @query(
+        f"match_all_{_field}",
+        f"{duck_matches(_field)} SELECT doc_id, pattern_name, pattern_rk::BIGINT AS pattern_rk, "
+        "row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, pattern_rk, place) AS match_rk, value, confidence FROM found",
+    )
+    def _match_all(spark: SparkSession, sf_dir: str, field: str = _field) -> DataFrame:
+        out = extract.match_table(fx.corpus(spark, sf_dir), field)
+        return out.select("doc_id", "pattern_name", F.col("pattern_rk").cast("long").alias("pattern_rk"), F.col("match_rk").cast("long").alias("match_rk"), "value", "confidence")
+
+
+@query(
+    "match_positions",
+    f"{duck_matches('date')} SELECT doc_id, pattern_name, value, start_pos, start_pos + length(value) AS end_pos, "
+    "text[greatest(start_pos - 50, 0) + 1 : least(length(text), start_pos + length(value) + 50)] AS context FROM found",
+)
+def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract.match_table(fx.corpus(spark, sf_dir), "date")
+    return out.select("doc_id", "pattern_name", "value", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"), "context")
+
+
+def duck_best(field: str) -> tuple[str, str]:
+    own = [s for _, s in patterns.ranked(field)]
+    value = f"coalesce({', '.join(f'{duck(s)}[1]' for s in own)})" if own else "CAST(NULL AS VARCHAR)"
+    score = "CASE " + " ".join(f"WHEN len({duck(s)}) > 0 THEN {s.confidence}::DOUBLE" for s in own) + " END" if own else "CAST(NULL AS DOUBLE)"
+    return value, score
+
+
+for _field in ("title", "publisher", "document_type", "author", "profession"):
+    _value, _score = duck_best(_field)
+
+    @query(f"best_{_field}", f"WITH {fx.CORPUS_SQL} SELECT doc_id, {_value} AS {_field}, {_score} AS confidence FROM corpus")
+    def _best(spark: SparkSession, sf_dir: str, field: str = _field) -> DataFrame:
+        value, score = patterns.best(F.col("text"), field)
+        return fx.corpus(spark, sf_dir).select("doc_id", value.alias(field), score.alias("confidence"))
+
+
+MONTH_CASE = "CASE lower(regexp_extract(value, '(\\d{1,2})\\.\\s*([a-zA-ZäöüÄÖÜß]+)\\s*(\\d{4})', 2)) " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in dates.MONTHS.items()) + " END"
+NUM, NAM = r"(\d{1,2})\.(\d{1,2})\.(\d{4})", r"(\d{1,2})\.\s*([a-zA-ZäöüÄÖÜß]+)\s*(\d{4})"
+DATES_SQL = f"""{duck_matches("date")},
+rated AS (
+  SELECT doc_id, confidence + CASE WHEN contains(around, 'stand vom') THEN 0.2 WHEN contains(around, 'vom') THEN 0.1 ELSE 0 END::DOUBLE AS total, ord,
+    CASE WHEN regexp_extract(value, '{NUM}') <> ''
+      THEN try_strptime(regexp_extract(value, '{NUM}', 3) || '-' || regexp_extract(value, '{NUM}', 2) || '-' || regexp_extract(value, '{NUM}', 1), '%Y-%m-%d')
+      ELSE try_strptime(regexp_extract(value, '{NAM}', 3) || '-' || CAST({MONTH_CASE} AS VARCHAR) || '-' || regexp_extract(value, '{NAM}', 1), '%Y-%m-%d') END::DATE AS date
+  FROM (SELECT *, lower(text[greatest(start_pos - 50, 0) + 1 : least(length(text), start_pos + length(value) + 50)]) AS around,
+    row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, pattern_rk, place) AS ord FROM found)),
+dated AS (
+  SELECT doc_id, date, least(total, 1.0)::DOUBLE AS score FROM rated WHERE date IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, ord) = 1)"""
+
+
+@query("best_date", f"{DATES_SQL} SELECT corpus.doc_id, date, year(date) AS year, round(score, 6) AS confidence FROM corpus LEFT JOIN dated ON corpus.doc_id = dated.doc_id")
+def best_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fx.corpus(spark, sf_dir).select("doc_id", dates.best_date(F.col("text")).alias("d"))
+    return out.select("doc_id", F.col("d.date").alias("date"), F.year("d.date").cast("long").alias("year"), F.round("d.score", 6).alias("confidence"))
+
+
+_BESTS = {f: duck_best(f) for f in ("title", "publisher", "document_type", "author")}
+RECORD_SQL = f"""{DATES_SQL},
+record AS (
+  SELECT corpus.doc_id, {", ".join(f"{v} AS {f}, {s} AS {f}_score" for f, (v, s) in _BESTS.items())}, date, score, text
+  FROM corpus LEFT JOIN dated ON corpus.doc_id = dated.doc_id)"""
+MEAN = f"coalesce(list_avg(list_filter([{', '.join(f'{f}_score' for f in _BESTS)}, score], lambda x: x IS NOT NULL)), 0)"
+
+
+@query(
+    "metadata_record",
+    f"{RECORD_SQL} SELECT doc_id, title, publisher, document_type, CAST(NULL AS VARCHAR) AS profession, author, date, year(date) AS year, round({MEAN}, 6) AS overall_confidence, "
+    "CASE WHEN length(text) > 1000 THEN text[1:1000] || '...' ELSE text END AS raw_text_preview FROM record",
+)
+def metadata_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract.metadata(fx.corpus(spark, sf_dir))
+    return out.select(
+        "doc_id", "title", "publisher", "document_type", "profession", "author", "date", F.col("year").cast("long").alias("year"), F.round("overall_confidence", 6).alias("overall_confidence"), "raw_text_preview"
+    )
+
+
+@query(
+    "overall_confidence",
+    f"{RECORD_SQL} SELECT doc_id, {' + '.join(f'({f}_score IS NOT NULL)::BIGINT' for f in _BESTS)} + (score IS NOT NULL)::BIGINT AS n_scores, round({MEAN}, 6) AS overall_confidence FROM record",
+)
+def overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract.metadata(fx.corpus(spark, sf_dir))
+    return out.select("doc_id", F.size("confidence_scores").cast("long").alias("n_scores"), F.round("overall_confidence", 6).alias("overall_confidence"))
+
+
+@query(
+    "metadata_json_fields",
+    f"{RECORD_SQL} SELECT doc_id, title AS title, CAST(year(date) AS VARCHAR) AS year, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date, 0::BIGINT AS attempts, publisher AS publisher FROM record",
+)
+def metadata_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = extract.metadata(fx.corpus(spark, sf_dir))
+    out = export.records(records.withColumn("processing_metadata", F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"))))
+    out = out.select(F.to_json(F.struct(*export.KEYS), {"ignoreNullFields": "false"}).alias("j"))
+    field = lambda p: F.get_json_object("j", f"$.{p}")
+    return out.select(
+        field("processing_metadata.doc_id").cast("long").alias("doc_id"), field("title").alias("title"), field("year").alias("year"), field("date").alias("date"), field("ocr_attempts_count").cast("long").alias("attempts"), field("publisher").alias("publisher")
+    )
+
+
+@query("preview", "SELECT doc_id, CASE WHEN length(text) > 1000 THEN text[1:1000] || '...' ELSE text END AS preview, replace(text[1:300], chr(10), ' ') AS one_line FROM documents")
+def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select("doc_id", texts.preview(F.col("text")).alias("preview"), texts.one_line(F.col("text")).alias("one_line"))
+
+
+def duck_hits(text: str, words: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains({text}, '{w}')::INT" for w in words) + ")"
+
+
+STRIPPED = r"regexp_replace(regexp_replace(text, '^[\s\x{1c}-\x{1f}\x{85}\x{a0}]+', ''), '[\s\x{1c}-\x{1f}\x{85}\x{a0}]+$', '')"
+CONFIDENCE_SQL = (
+    f"CASE WHEN length({STRIPPED}) = 0 THEN 0.0 ELSE least(1.0, (0.0::DOUBLE + least(length({STRIPPED}) / 500.0::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE "
+    f"+ least({duck_hits('lower(text)', scoring.SCORED_WORDS)} / 8.0::DOUBLE, 1.0::DOUBLE) * 0.35::DOUBLE "
+    "+ least(len(regexp_extract_all(text, '[\\n().,:;]')) / 20.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE "
+    f"+ least(({' + '.join(f'regexp_matches(text, {chr(39)}{p}{chr(39)})::INT' for p in scoring.DATE_SIGNS)}) / 3.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE) "
+    "* CASE WHEN len(regexp_extract_all(text, '[^\\p{L}\\p{N}_\\s.,:;()\\-]')) / greatest(length(text), 1)::DOUBLE > 0.3 THEN 0.7 ELSE 1.0 END::DOUBLE) END"
+)
+
+
+@query("ocr_confidence", f"SELECT doc_id, round({CONFIDENCE_SQL}, 6)::DOUBLE AS confidence FROM documents")
+def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.round(scoring.ocr_confidence(F.col("text")), 6).alias("confidence"))
+
+
+@query(
+    "doc_type_detect",
+    f"""WITH hits AS (SELECT doc_id, {duck_hits("text", scoring.FRAKTUR_SIGNS)} AS f, {duck_hits("lower(text)", scoring.OFFICIAL_TERMS)} AS o, {duck_hits("lower(text)", scoring.TYPE_WORDS)} AS g FROM documents),
+scores AS (SELECT doc_id, f * 0.3::DOUBLE AS f, CASE WHEN g > 3 THEN 0.4 ELSE 0 END::DOUBLE AS m, o * 0.4::DOUBLE AS o, CASE WHEN f > 0 AND g > 2 THEN 0.3 ELSE 0 END::DOUBLE AS x FROM hits)
+SELECT doc_id, CASE WHEN greatest(f, m, o, x) < 0.3 THEN 'modern_german' WHEN f >= greatest(m, o, x) THEN 'fraktur' WHEN m >= greatest(o, x) THEN 'modern_german'
+  WHEN o >= x THEN 'official_document' ELSE 'mixed_period' END AS document_type,
+  round(CASE WHEN greatest(f, m, o, x) < 0.3 THEN 0.5 ELSE least(greatest(f, m, o, x), 1.0) END, 6)::DOUBLE AS confidence FROM scores""",
+)
+def doc_type_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fx.table(spark, sf_dir, "documents").select("doc_id", scoring.document_type(F.col("text")).alias("t"))
+    return out.select("doc_id", F.col("t.type").alias("document_type"), F.round("t.confidence", 6).alias("confidence"))
+
+
+QUALITY_SQL = """quality AS (SELECT *, CASE WHEN points >= 4 THEN 'excellent' WHEN points >= 3 THEN 'good' WHEN points >= 2 THEN 'fair' ELSE 'poor' END AS quality, brightness < 127 AS inverted FROM (
+  SELECT *, CASE WHEN contrast > 60 THEN 3 WHEN contrast > 40 THEN 2 WHEN contrast > 20 THEN 1 ELSE 0 END + CASE WHEN pixels > 1000000 THEN 2 WHEN pixels > 500000 THEN 1 ELSE 0 END AS points FROM metrics))"""
+ADVICE_SQL = f"""WITH {fx.METRICS_SQL}, {QUALITY_SQL},
+a AS (SELECT *, CASE doc_type WHEN 'fraktur' THEN ['fraktur_traditional', 'fraktur_enhanced'] WHEN 'official_document' THEN ['official_document', 'german_italic']
+  WHEN 'mixed_period' THEN ['mixed_period', 'standard'] ELSE ['modern_german', 'standard'] END AS l0 FROM quality),
+b AS (SELECT *, CASE quality WHEN 'poor' THEN ['enhanced'] || l0 WHEN 'excellent' THEN ['direct'] || l0 ELSE l0 END AS l1 FROM a),
+c AS (SELECT *, CASE WHEN inverted THEN l1[1:1] || ['minimal'] || l1[2:] ELSE l1 END AS l2 FROM b),
+d AS (SELECT *, CASE WHEN contrast < 30 THEN ['enhanced'] || l2 ELSE l2 END AS l3 FROM c),
+e AS (SELECT *, CASE WHEN noise > 0.6 AND NOT list_contains(l3, 'enhanced') THEN ['enhanced'] || l3 ELSE l3 END AS l4 FROM d),
+f AS (SELECT *, l4 || list_filter(['light', 'standard', 'direct'], lambda x: NOT list_contains(l4, x)) AS l5 FROM e),
+advice AS (SELECT *, l5[1:6] AS advised FROM f)"""
+
+
+def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
+    out = fx.metrics(spark, sf_dir).withColumns({"quality": scoring.image_quality(F.col("contrast"), F.col("pixels")), "inverted": scoring.is_inverted(F.col("brightness"))})
+    return out, [F.col(c) for c in ("doc_type", "quality", "inverted", "contrast", "noise")]
+
+
+@query("quality_bucket", f"WITH {fx.METRICS_SQL}, {QUALITY_SQL} SELECT page_id, quality, inverted FROM quality")
+def quality_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(spark, sf_dir)[0].select("page_id", "quality", "inverted")
+
+
+_REASONS = recommend.REASONS
+@query(
+    "recommend_approaches",
+    f"""{ADVICE_SQL} SELECT page_id, array_to_string(advised, ',') AS advised, concat_ws('; ',
+  CASE doc_type WHEN 'fraktur' THEN '{_REASONS["fraktur"]}' WHEN 'official_document' THEN '{_REASONS["official_document"]}' WHEN 'mixed_period' THEN '{_REASONS["mixed_period"]}' ELSE '{_REASONS["modern"]}' END,
+  CASE quality WHEN 'poor' THEN '{_REASONS["poor"]}' WHEN 'excellent' THEN '{_REASONS["excellent"]}' END, CASE WHEN inverted THEN '{_REASONS["inverted"]}' END,
+  CASE WHEN contrast < 30 THEN '{_REASONS["contrast"]}' END, CASE WHEN noise > 0.6 THEN '{_REASONS["noise"]}' END) AS reasons FROM advice""",
+)
+def recommend_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, given = measured(spark, sf_dir)
+    return out.select("page_id", F.array_join(recommend.recommended(*given), ",").alias("advised"), F.array_join(recommend.reasons(*given), "; ").alias("reasons"))
+
+
+CHOICE = "CASE page_id % 5 WHEN 0 THEN 'skip_analysis' WHEN 1 THEN 'all_recommended' WHEN 2 THEN 'newspaper' WHEN 3 THEN 'no such approach' END"
+
+
+@query(
+    "approach_selection",
+    f"""{ADVICE_SQL} SELECT page_id, rk, approach FROM (SELECT page_id, unnest(chosen) AS approach, generate_subscripts(chosen, 1) AS rk FROM (
+  SELECT page_id, CASE page_id % 5 WHEN 0 THEN ['standard', 'light', 'direct'] WHEN 1 THEN advised WHEN 2 THEN ['newspaper'] ELSE advised[1:4] END AS chosen FROM advice))""",
+)
+def approach_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, given = measured(spark, sf_dir)
+    chosen = recommend.selected(F.expr(CHOICE), recommend.recommended(*given), list(PIPELINES), [], 4)
+    return out.select("page_id", F.posexplode(chosen).alias("at", "approach")).select("page_id", (F.col("at") + 1).cast("long").alias("rk"), "approach")
+
+
+TRIED_SQL = f"""WITH {fx.ATTEMPTS_SQL}, tried AS (SELECT * EXCLUDE over FROM (SELECT *, coalesce(bool_or(confidence > 0.8 AND text_length > 100) OVER (
+  PARTITION BY page_id ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM attempts) WHERE NOT over)"""
+
+
+def tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.tried(fx.attempts(spark, sf_dir), ["page_id"])
+
+
+@query("early_exit_attempts", f"{TRIED_SQL} SELECT page_id, rk::BIGINT AS rk, confidence, text_length FROM tried")
+def early_exit_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tried(spark, sf_dir).select("page_id", F.col("rk").cast("long").alias("rk"), "confidence", F.col("text_length").cast("long").alias("text_length"))
+
+
+OUTCOME_SQL = f"""{TRIED_SQL}, best AS (SELECT page_id, coalesce(first(text ORDER BY confidence DESC, rk) FILTER (success AND confidence > 0), '') AS text,
+  first(approach ORDER BY confidence DESC, rk) FILTER (success) AS successful_approach, coalesce(max(confidence) FILTER (success), 0.0)::DOUBLE AS final_confidence,
+  count(*) AS n_attempts, count(*) FILTER (success) AS n_success FROM tried GROUP BY page_id)"""
+for _name, _columns in {"best_attempt": ["text"], "reported_attempt": ["successful_approach", "final_confidence"], "attempt_counts": ["n_attempts", "n_success"]}.items():
+
+    @query(_name, f"{OUTCOME_SQL} SELECT page_id, {', '.join(_columns)} FROM best")
+    def _outcome(spark: SparkSession, sf_dir: str, columns: tuple = tuple(_columns)) -> DataFrame:
+        return attempts.outcome(tried(spark, sf_dir), ["page_id"]).select("page_id", *columns)
+
+
+@query("excluded_approaches", f"WITH {fx.ATTEMPTS_SQL} SELECT page_id, count(*) AS n FROM attempts WHERE approach NOT IN ('other', 'light') GROUP BY page_id")
+def excluded_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.without_excluded(fx.attempts(spark, sf_dir), ["other", "light"]).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("unknown_approaches", f"WITH {fx.ATTEMPTS_SQL} SELECT page_id, rk::BIGINT AS rk, CASE WHEN approach = 'other' THEN 'Unknown approach: other' END AS error FROM attempts")
+def unknown_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.with_pipelines(fx.attempts(spark, sf_dir), list(PIPELINES)).select("page_id", F.col("rk").cast("long").alias("rk"), "error")
+
+
+@query(
+    "language_fallback",
+    f"""WITH {fx.ATTEMPTS_SQL} SELECT page_id, CASE WHEN coalesce(max(text_length) FILTER (rk = 1), 0) >= 20 THEN max(text) FILTER (rk = 1)
+  ELSE first(text ORDER BY text_length DESC, rk) END AS text FROM attempts GROUP BY page_id""",
+)
+def language_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.longest_fallback(fx.attempts(spark, sf_dir).withColumn("rk", F.col("rk") - 1), ["page_id"])
+
+
+BLANK = r"regexp_replace(text, '\s+', '', 'g') = ''"
+
+
+@query(
+    "page_assembly",
+    f"""WITH {fx.PAGES_SQL} SELECT doc_id, coalesce(string_agg(chr(10) || '--- Page ' || page_num || ' ---' || chr(10) || text, chr(10) ORDER BY page_num) FILTER (NOT {BLANK}), '') AS text
+  FROM doc_pages GROUP BY doc_id""",
+)
+def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.documents(fx.doc_pages(spark, sf_dir)).select("doc_id", "text")
+
+
+@query("page_counts", f"WITH {fx.PAGES_SQL} SELECT doc_id, count(*) AS total_pages, count(*) FILTER (NOT {BLANK}) AS successful_pages, bool_and({BLANK}) AS failed FROM doc_pages GROUP BY doc_id")
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.documents(fx.doc_pages(spark, sf_dir)).select("doc_id", "total_pages", "successful_pages", F.col("error").isNotNull().alias("failed"))
+
+
+@query("page_range", f"WITH {fx.PAGES_SQL} SELECT doc_id, count(*) AS n, min(page_num)::BIGINT AS first_page, '2-4' AS pages_processed FROM doc_pages WHERE page_num BETWEEN 2 AND 4 GROUP BY doc_id")
+def page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = assemble.page_range(fx.doc_pages(spark, sf_dir), 2, 4).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("page_num").cast("long").alias("first_page"))
+    return out.withColumn("pages_processed", texts.page_span(F.lit(2), F.lit(4)))
+
+
+@query("page_results", f"WITH {fx.PAGES_SQL} SELECT doc_id, string_agg(page_num::VARCHAR, ',' ORDER BY page_num) AS pages FROM doc_pages GROUP BY doc_id")
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.documents(fx.doc_pages(spark, sf_dir)).select("doc_id", F.array_join(F.transform("page_results", lambda p: p["page_num"].cast("string")), ",").alias("pages"))
+
+
+BATCH_SQL = "batch AS (SELECT conv_id AS doc_id, CASE WHEN conv_id % 5 = 0 THEN 'Processing failed' END AS error, CASE WHEN conv_id % 5 <> 0 THEN count(*) > 1 END AS success FROM conversations GROUP BY conv_id)"
+
+
+@query("batch_success", f"WITH {BATCH_SQL} SELECT count(*) AS documents, count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (coalesce(success, true)) AS counted_as_success FROM batch")
+def batch_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.batch_summary(fx.batch(spark, sf_dir))
+
+
+@query("batch_errors", f"WITH {BATCH_SQL} SELECT doc_id, error, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status FROM batch")
+def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble.with_processing(fx.batch(spark, sf_dir).withColumn("text", F.lit(""))).select("doc_id", "error", "status")
+
+
+def perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata records, most of them broken by one rule each."""
+    k = F.col("doc_id") % 6
+    out = extract.metadata(fx.corpus(spark, sf_dir))
+    return out.select(
+        "doc_id",
+        F.when(k == 5, "Kurz").otherwise(F.col("title")).alias("title"),
+        F.when(k == 5, "AB").otherwise(F.col("publisher")).alias("publisher"),
+        F.when(k == 2, F.to_date(F.lit("1700-01-01"))).otherwise(F.col("date")).alias("date"),
+        F.when(k == 1, F.col("year") + 1).when(k == 2, 1700).otherwise(F.col("year")).alias("year"),
+        F.when(k == 3, F.create_map(F.lit("title"), F.lit(1.2))).when(k == 4, F.create_map(F.lit("title"), F.lit(0.1))).otherwise(F.create_map(F.lit("title"), F.lit(0.9))).alias("confidence_scores"),
+    )
+
+
+FINDINGS_SQL = f"""{RECORD_SQL}, cases AS (SELECT doc_id, CASE WHEN doc_id % 6 = 5 THEN 'Kurz' ELSE title END AS title, CASE WHEN doc_id % 6 = 5 THEN 'AB' ELSE publisher END AS publisher,
+  CASE WHEN doc_id % 6 = 2 THEN DATE '1700-01-01' ELSE date END AS date, CASE doc_id % 6 WHEN 1 THEN year(date) + 1 WHEN 2 THEN 1700 ELSE year(date) END AS year,
+  CASE doc_id % 6 WHEN 3 THEN 1.2 WHEN 4 THEN 0.1 ELSE 0.9 END AS score FROM record),
+findings AS (
+  SELECT doc_id, 'warning' AS severity, 'date_range' AS rule FROM cases WHERE year(date) NOT BETWEEN 1800 AND 2030
+  UNION ALL SELECT doc_id, 'error', 'date_year' FROM cases WHERE date IS NOT NULL AND year <> 0 AND year <> year(date)
+  UNION ALL SELECT doc_id, 'error', 'score_range' FROM cases WHERE score < 0 OR score > 1
+  UNION ALL SELECT doc_id, 'warning', 'score_low' FROM cases WHERE score >= 0 AND score < 0.3
+  UNION ALL SELECT doc_id, 'warning', 'title_length' FROM cases WHERE title <> '' AND length(title) < 5
+  UNION ALL SELECT doc_id, 'warning', 'publisher_length' FROM cases WHERE publisher <> '' AND length(publisher) < 3)"""
+
+
+@query("validate_rules", f"{FINDINGS_SQL} SELECT doc_id, severity, rule FROM findings")
+def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.findings(perturbed(spark, sf_dir)).select("doc_id", "severity", "rule")
+
+
+@query(
+    "validate_summary",
+    f"""{FINDINGS_SQL} SELECT corpus.doc_id, count(*) FILTER (severity = 'error') = 0 AS is_valid, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings
+  FROM corpus LEFT JOIN findings ON corpus.doc_id = findings.doc_id GROUP BY corpus.doc_id""",
+)
+def validate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.summary(perturbed(spark, sf_dir))
+
+
+EXTENSION_SQL = r"lower(regexp_extract(url, '[^/.][^/]*?(\.[^./]+)$', 1))"
+
+
+@query("supported_files", f"SELECT page_id, {EXTENSION_SQL} AS ext, {EXTENSION_SQL} IN {files.EXTENSIONS} AS supported, CASE WHEN {EXTENSION_SQL} = '.pdf' THEN 'pdf' ELSE 'image' END AS branch FROM pages")
+def supported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return fx.table(spark, sf_dir, "pages").select("page_id", files.extension(url).alias("ext"), files.is_supported(url).alias("supported"), files.branch(url).alias("branch"))
+
+
+@query("file_hash", "SELECT doc_id, md5(text) AS md5 FROM documents")
+def file_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+@query("month_lookup", f"WITH {fx.CORPUS_SQL} SELECT doc_id, month FROM (SELECT doc_id, {MONTH_CASE.replace('value', 'text')}::BIGINT AS month FROM corpus)")
+def month_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.corpus(spark, sf_dir).select("doc_id", dates.month_number(F.regexp_extract("text", dates.NAMED, 2)).cast("long").alias("month"))
+
+
+@query(
+    "era_preferences",
+    "SELECT n_nationkey, CASE n_nationkey % 6 "
+    + " ".join(f"WHEN {i} THEN '{','.join(a)}'" for i, a in enumerate(ERA_APPROACHES.values()))
+    + f" ELSE '{','.join(OTHER_ERA)}' END AS approaches FROM nation",
+)
+def era_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eras = spark.createDataFrame([(e, ",".join(a)) for e, a in ERA_APPROACHES.items()], "era string, own string")
+    asked = fx.table(spark, sf_dir, "nation").withColumn("era", F.element_at(F.array(*map(F.lit, [*ERA_APPROACHES, "2050"])), (F.col("n_nationkey") % 6 + 1).cast("int")))
+    return asked.join(F.broadcast(eras), "era", "left").select("n_nationkey", F.coalesce("own", F.lit(",".join(OTHER_ERA))).alias("approaches"))  # five rows
+
+
+def pixel_query(name: str, sql: str, step: Callable[[DataFrame], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = step(fx.pixels(spark, sf_dir))
+        return out.select(*[F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+    query(name, f"WITH {fx.PIXELS_SQL} {sql}")(run)
+
+
+XYV = "page_id::BIGINT AS page_id, y::BIGINT AS y, x::BIGINT AS x"
+SIZE_SQL = ", dims AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM pixels)"
+pixel_query("img_brightness_contrast", "SELECT page_id::BIGINT AS page_id, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS contrast FROM pixels GROUP BY page_id", pixels.brightness_contrast)
+pixel_query("img_invert", f"SELECT {XYV}, 255 - v::BIGINT AS v FROM pixels", pixels.invert)
+pixel_query("img_contrast", f"SELECT {XYV}, least(255, round_even(abs(v * 1.2::DOUBLE + 10), 0))::BIGINT AS v FROM pixels", pixels.contrast)
+pixel_query("img_binarize", f"SELECT {XYV}, CASE WHEN v > 127 THEN 255 ELSE 0 END::BIGINT AS v FROM pixels", pixels.binarize)
+pixel_query("img_center_crop", f"{SIZE_SQL} SELECT {XYV}, v::BIGINT AS v FROM pixels, dims WHERE y >= h // 4 AND y < 3 * h // 4 AND x >= w // 4 AND x < 3 * w // 4", pixels.center)
+pixel_query(
+    "img_border",
+    f"{SIZE_SQL} SELECT 0::BIGINT AS page_id, a.y::BIGINT AS y, b.x::BIGINT AS x, coalesce(v, 255)::BIGINT AS v FROM dims, range(h + 10) a(y), range(w + 10) b(x) LEFT JOIN pixels p ON p.y + 5 = a.y AND p.x + 5 = b.x",
+    lambda p: pixels.border(p, 5),
+)
+pixel_query(
+    "img_noise",
+    """, laplacian AS (SELECT page_id, coalesce(lag(v) OVER r, lead(v) OVER r) + coalesce(lead(v) OVER r, lag(v) OVER r) + coalesce(lag(v) OVER c, lead(v) OVER c) + coalesce(lead(v) OVER c, lag(v) OVER c) - 4 * v AS l
+  FROM pixels WINDOW r AS (PARTITION BY page_id, y ORDER BY x), c AS (PARTITION BY page_id, x ORDER BY y))
+SELECT page_id::BIGINT AS page_id, round(least(var_pop(l) / 1000, 1.0), 6)::DOUBLE AS noise_level FROM laplacian GROUP BY page_id""",
+    pixels.noise,
+)
+pixel_query(
+    "img_otsu",
+    """, histogram AS (SELECT v, count(*)::DOUBLE AS n FROM pixels GROUP BY v),
+sums AS (SELECT v, sum(n) OVER (ORDER BY v) AS low, sum(n * v) OVER (ORDER BY v) AS low_sum, sum(n) OVER () AS total, sum(n * v) OVER () AS total_sum FROM histogram)
+SELECT 0::BIGINT AS page_id, v::BIGINT AS threshold FROM sums ORDER BY round(CASE WHEN total > low THEN low * (total - low) * ((low_sum / low) - (total_sum - low_sum) / (total - low)) ** 2 ELSE 0 END, 3) DESC, v LIMIT 1""",
+    pixels.otsu,
+)
+pixel_query("img_bounding_box", "SELECT page_id::BIGINT AS page_id, min(y)::BIGINT AS top, max(y)::BIGINT AS bottom, min(x)::BIGINT AS left, max(x)::BIGINT AS right FROM pixels WHERE v < 250 GROUP BY page_id".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'), pixels.bounding_box)
+
+
+def as_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixel relation as one row of the kind that the image source gives."""
+    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "v")))
+    whole = fx.pixels(spark, sf_dir).groupBy("page_id").agg(ordered.alias("p"), (F.max("x") + 1).alias("w"))
+    data = F.unhex(F.array_join(F.transform("p", lambda q: F.lpad(F.hex(q["v"].cast("long")), 2, "0")), ""))
+    image = F.struct(F.lit("").alias("origin"), (F.size("p") / F.col("w")).cast("int").alias("height"), F.col("w").cast("int").alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data"))
+    return whole.select(F.col("page_id").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), image.alias("image"))
+
+
+for _approach in PIPELINES:
+
+    @query(f"pipeline_{_approach}")
+    def _pipeline(spark: SparkSession, sf_dir: str, approach: str = _approach) -> DataFrame:
+        from ..operators.images import processed
+
+        return processed(as_images(spark, sf_dir), approach).withColumn("md5", F.md5("data")).drop("data")
+
+
+@query("img_analysis")
+def img_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.images import analysis, metrics
+
+    return analysis(metrics(as_images(spark, sf_dir)))
