@@ -130,7 +130,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pictures(vectors: DataFrame) -> DataFrame:
-    """vec_id, picture: each vector drawn as a grey PGM file, eight values a line and five pixels a value, smoothly.
+    """vec_id, picture: each vector drawn as a grey PGM file, eight values a line and four pixels a value, smoothly.
 
     No table holds images, so these stand for a media column.
     """
@@ -141,7 +141,7 @@ def pictures(vectors: DataFrame) -> DataFrame:
             for x in batch.column("embedding"):
                 v = np.array(x.as_py() or [], float)
                 v = np.concatenate([v, np.zeros(-len(v) % 8)]).reshape(-1, 8)
-                whole = image_copies.resized(128 + 400 * v, 5 * len(v), 40) if len(v) else np.zeros((1, 1))
+                whole = image_copies.resized(128 + 400 * v, 4 * len(v), 32) if len(v) else np.zeros((1, 1))
                 out.append(image_copies.pgm(np.clip(np.round(whole), 0, 255)))
             return [out]
 
