@@ -3,8 +3,8 @@
 Training counts which symbol follows each context of ORDER symbols; shorter contexts are sums of these, so the
 counts are all levels of the trie. A symbol's probability is its share at the longest context that was seen,
 after the escape share (distinct symbols over occurrences and distinct symbols) went on to the next shorter
-one, where symbols of the longer ones are left out. The whole blend is worked out once for each context, so
-that a document's code length is a sum of table entries.
+one, where symbols of the longer ones are left out. The blend is worked out once for all contexts, so that a
+document's code length is a sum of table entries.
 
 Beside it stands the count of words (base score): words with at least FREQUENT of all tokens, of which there
 are at most 1 / FREQUENT, go to the workers as a dictionary; the others are joined.
@@ -21,20 +21,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, strings, work_dir
+from .common import map_batches, remove, strings, work_dir
 
-#: Symbols of context.
-ORDER = 3
+#: Symbols of context, and how many of them have tables of all symbols.
+ORDER, DENSE = 5, 3
+#: Share of all symbols from which on what follows a longer context is kept; there are at most its inverse of a level.
+KEPT = 3e-7
 #: Symbol 0 ends a text (and stands before it), the last one is any byte that is not among the most frequent.
 SYMBOLS = 64
 #: Share of all tokens from which on a word is kept by every worker.
 FREQUENT = 1e-6
 #: Longer words are known by their digest.
 KEY_BYTES = 32
-#: Entries that a worker gathers before it passes them on.
-GATHER = 400_000
-#: Bytes counted at once.
-BLOCK = 4 << 20
+#: Words, and counted contexts with a symbol, that a worker gathers before it passes them on.
+GATHER, GRAMS = 400_000, 4_000_000
+#: Bytes counted, and scored, at once.
+BLOCK, SCORED = 2 << 20, 1 << 18
 
 
 def key_of(word: bytes) -> bytes:
@@ -88,29 +90,47 @@ PAD = b"\0" * ORDER
 BITS = 6
 
 
-def contexts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol's context as a number, and the symbols, of a padded sequence."""
-    at = np.zeros(len(symbols) - ORDER, np.int32)
+def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in symbols: each symbol's context as a number, the symbol, and where each text starts; ends included."""
+    whole = np.frombuffer(b"".join([PAD + t + b"\0" for t in texts]), np.uint8)
+    sizes = np.array([len(t) + 1 for t in texts])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    places = np.arange(sizes.sum()) + np.repeat(ORDER * np.arange(1, len(texts) + 1), sizes)
+    at = np.zeros(len(whole) - ORDER, np.int64)
     for i in range(ORDER):
-        at = (at << BITS) | symbols[i : len(symbols) - ORDER + i]
-    return at, symbols[ORDER:]
+        at = (at << BITS) | whole[i : len(whole) - ORDER + i]
+    return at[places - ORDER], whole[places], starts
+
+
+def added(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of each one's counts."""
+    if n is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def follow(docs: DataFrame, text: str, table: bytes) -> DataFrame:
     """gram, n: how often a symbol follows a context (gram: the context's symbols, then the symbol)."""
 
     def run(batches):
-        total = np.zeros(SYMBOLS ** (ORDER + 1), np.uint32)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         waiting: list[bytes] = []
         size = 0
 
         def count():
-            grams = []
-            for t in waiting:
-                at, symbol = contexts(np.frombuffer(PAD + t + b"\0", np.uint8))
-                grams.append((at << BITS) | symbol)
-            keys, n = np.unique(np.concatenate(grams), return_counts=True)
-            total[keys] += n.astype(np.uint32)
+            at, symbol, _ = sequences(waiting)
+            found.append(added((at << BITS) | symbol))
+            waiting.clear()
+
+        def merged():
+            return added(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+
+        def out(keys, n):
+            for i in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)].astype(np.int64))], ["gram", "n"])
 
         for batch in batches:
             for t in strings(batch, text):
@@ -118,16 +138,17 @@ def follow(docs: DataFrame, text: str, table: bytes) -> DataFrame:
                 size += len(t)
                 if size > BLOCK:
                     count()
-                    waiting.clear()
                     size = 0
+                    if sum(len(k) for k, _ in found) > GRAMS:
+                        found[:] = [merged()]
+                        if len(found[0][0]) > GRAMS // 2:
+                            yield from out(*found.pop())
         if waiting:
             count()
-        keys = np.flatnonzero(total)
-        for i in range(0, len(keys), 1 << 16):
-            part = keys[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["gram", "n"])
+        if found:
+            yield from out(*merged())
 
-    return docs.select(F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def blend(levels: list[np.ndarray]) -> np.ndarray:
@@ -148,14 +169,54 @@ def blend(levels: list[np.ndarray]) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
+class Hash:
+    """From whole numbers (not negative) to numbers, for arrays of keys at once; open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.zeros(1 << self.bits, np.float32)
+        slot, left = self.slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            put = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys there are, and their values (of others anything)."""
+        slot = self.slot(keys)
+        there = self.keys[slot]
+        hit = there == keys
+        going = np.flatnonzero(~hit & (there >= 0))
+        while len(going):
+            slot[going] = (slot[going] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[going]]
+            hit[going] = there == keys[going]
+            going = going[(there != keys[going]) & (there >= 0)]
+        return hit, self.values[slot]
+
+
 class Trie:
-    """rows: log10 probabilities, one row for each context that was seen, of any length; at: the row of each longest context."""
+    """The levels of the trie, with the blend of all shorter contexts worked out.
+
+    Up to DENSE symbols of context each context that was seen has a row of all symbols' log10 probabilities.
+    The longer levels keep what follows a context often; any other symbol gets the next shorter context's
+    probability, freed from what the kept ones have of it, times the escape share: one factor a context.
+    """
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, table: bytes, extra: np.ndarray):
+        """grams and counts: of DENSE symbols of context and one more."""
         self.table, self.extra = table, extra
+        self.levels: list[tuple[int, Hash, Hash]] = []  # the longest contexts first
         seen, n = [], []  # from the longest contexts to the empty one
         at, symbol = grams >> BITS, grams & (SYMBOLS - 1)
-        for order in range(ORDER, -1, -1):
+        for order in range(DENSE, -1, -1):
             own, where = np.unique(at & (SYMBOLS**order - 1), return_inverse=True)
             table_n = np.zeros((len(own), SYMBOLS))
             np.add.at(table_n, (where, symbol), counts.astype(float))
@@ -164,31 +225,78 @@ class Trie:
         if not len(grams):
             seen[-1], n[-1] = np.zeros(1, np.int64), np.zeros((1, SYMBOLS))
         rows, first = [], 0
-        self.at = np.zeros(SYMBOLS**ORDER, np.int32)
-        every = np.arange(SYMBOLS**ORDER)
-        for k in range(ORDER, -1, -1):  # shorter contexts first, so that longer ones take their place
-            order = ORDER - k
+        self.at = np.zeros(SYMBOLS**DENSE, np.int32)
+        every = np.arange(SYMBOLS**DENSE)
+        for k in range(DENSE, -1, -1):  # shorter contexts first, so that longer ones take their place
             for i in range(0, len(seen[k]), 4096):
                 own = seen[k][i : i + 4096]
-                below = [n[j][np.searchsorted(seen[j], own & (SYMBOLS ** (ORDER - j) - 1))] for j in range(k + 1, ORDER + 1)]
+                below = [n[j][np.searchsorted(seen[j], own & (SYMBOLS ** (DENSE - j) - 1))] for j in range(k + 1, DENSE + 1)]
                 rows.append(np.log10(blend([n[k][i : i + 4096], *below])).astype(np.float32))
-            last = every & (SYMBOLS**order - 1)
-            found = np.searchsorted(seen[k], last).clip(0, len(seen[k]) - 1) if len(seen[k]) else last * 0
-            hit = seen[k][found] == last if len(seen[k]) else np.zeros(len(last), bool)
-            self.at[hit] = first + found[hit]
+            if len(seen[k]):
+                last = every & (SYMBOLS ** (DENSE - k) - 1)
+                found = np.searchsorted(seen[k], last).clip(0, len(seen[k]) - 1)
+                hit = seen[k][found] == last
+                self.at[hit] = first + found[hit]
             first += len(seen[k])
         self.rows = np.concatenate(rows)
 
-    def score(self, low: bytes) -> float:
-        """log10 of the text's probability, its end included."""
-        t = low.translate(self.table)
-        at, symbol = contexts(np.frombuffer(PAD + t + b"\0", np.uint8))
-        out = float(self.rows[self.at[at], symbol].sum(dtype=np.float64))
-        if SYMBOLS - 1 in t:
-            out += float(self.extra[np.frombuffer(low, np.uint8)].sum())
+    def add(self, order: int, grams: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> None:
+        """A level of `order` symbols of context, one more than the longest so far: what is kept, and each one's
+        context's occurrences."""
+        at, symbol = grams >> BITS, grams & (SYMBOLS - 1)
+        own, first, where = np.unique(at, return_index=True, return_inverse=True)
+        kinds = np.bincount(where, minlength=len(own)).astype(float)
+        kept, whole = np.bincount(where, counts, len(own)), totals[first].astype(float)
+        below = np.bincount(where, 10.0 ** self.logs(at & (SYMBOLS ** (order - 1) - 1), symbol, order - 1), len(own))
+        rest = np.maximum(1 - below, 0)
+        open_ = rest > 1e-6  # else nothing can follow but what is kept
+        escape = np.where(open_, (whole - kept + kinds) / (whole + kinds), 1e-9)
+        p = (1 - escape)[where] * counts / kept[where]
+        self.levels.insert(0, (order, Hash(grams, np.log10(p)), Hash(own, np.log10(escape / np.maximum(rest, 1e-6)))))
+
+    def logs(self, at: np.ndarray, symbol: np.ndarray, longest: int = ORDER) -> np.ndarray:
+        """log10 of the symbols' probabilities after their contexts, of which the last `longest` symbols count."""
+        out = np.zeros(len(at))
+        left = np.arange(len(at))
+        for order, grams, factors in self.levels:
+            if order <= longest:
+                own = at[left] & (SYMBOLS**order - 1)
+                hit, value = grams.get((own << BITS) | symbol[left])
+                out[left[hit]] += value[hit]
+                left, own = left[~hit], own[~hit]
+                hit, value = factors.get(own)
+                out[left[hit]] += value[hit]
+        out[left] += self.rows[self.at[at[left] & (SYMBOLS**DENSE - 1)], symbol[left]]
+        return out
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """log10 of each text's probability, its end included. texts: lower-cased."""
+        symbols = [t.translate(self.table) for t in texts]
+        at, symbol, starts = sequences(symbols)
+        out = np.add.reduceat(self.logs(at, symbol), starts)
+        for i, t in enumerate(symbols):
+            if SYMBOLS - 1 in t:
+                out[i] += self.extra[np.frombuffer(texts[i], np.uint8)].sum()
         return out
 
 
+def learn(grams: DataFrame, table: bytes, extra: np.ndarray) -> Trie:
+    """The trie of counted grams."""
+    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def shortened(order: int) -> DataFrame:
+        return grams.groupBy(F.col("gram").bitwiseAND(SYMBOLS ** (order + 1) - 1).alias("gram")).agg(F.sum("n").alias("n"))
+
+    dense = shortened(DENSE).toArrow()
+    trie = Trie(dense["gram"].to_numpy(), dense["n"].to_numpy(), table, extra)
+    for order in range(DENSE + 1, ORDER + 1):
+        kept = F.when(F.col("n") >= total * KEPT, F.struct("gram", "n"))
+        contexts = shortened(order).groupBy(F.shiftright("gram", BITS).alias("at")).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("kept"))
+        own = contexts.select("total", F.explode("kept").alias("k")).select("k.gram", "k.n", "total").toArrow()
+        trie.add(order, own["gram"].to_numpy(), own["n"].to_numpy(), own["total"].to_numpy())
+    return trie
+
+
 def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: the id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -197,7 +305,8 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: st
     the probability of the bytes and the end under the trie. Null and empty texts consist of the end alone.
     With nothing to learn from, N = V = 0 and all symbols are equally likely. Repeated rows count and are
     scored as often as they occur; other columns are not read. What the driver collects and broadcasts is
-    bounded: at most SYMBOLS ** (ORDER + 1) counts, 1 / FREQUENT words of at most 33 bytes.
+    bounded: at most SYMBOLS ** (DENSE + 1) counts, 1 / KEPT of each longer context, 1 / FREQUENT words of at
+    most 33 bytes.
     """
     spark = docs.sparkSession
     train = docs.filter(~F.coalesce(held_out, F.lit(False))).select(F.col(f"`{text}`").cast("string").alias("text"))
@@ -215,8 +324,10 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: st
     n, v = n + ends, v + (ends > 0)
     frequent = {bytes(k): c for k, c in words.filter(F.col("n") >= n * FREQUENT).collect()}
     table, extra = symbol_table(octets)
-    counts = follow(train, "text", table).toArrow()
-    trie = Trie(counts["gram"].to_numpy().astype(np.int64), counts["n"].to_numpy(), table, extra)
+    grams_at = work_dir(spark, "grams")
+    follow(train, "text", table).write.parquet(grams_at)
+    trie = learn(spark.read.parquet(grams_at), table, extra)
+    remove(spark, grams_at)
     whole = float(np.log10(n + v + 1))
     shared = spark.sparkContext.broadcast((trie, {k: float(np.log10(c + 1)) for k, c in frequent.items()}))
 
@@ -227,8 +338,15 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: st
 
         def function(batch):
             out: list[list] = [[], [], [], [], [], []]
+            waiting: list[bytes] = []
+            size = 0
             for t in strings(batch, "text"):
                 low = lowered(t)
+                waiting.append(low)
+                size += len(low)
+                if size > SCORED:
+                    out[3] += model.scores(waiting).tolist()
+                    waiting, size = [], 0
                 tokens = low.split()
                 found = list(map(get, tokens))
                 missing: Counter = Counter()
@@ -243,9 +361,10 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: st
                 out[0].append(len(tokens) + 1)
                 out[1].append(len(tokens) + (ends > 0) - missing.total())
                 out[2].append(sum(found) + end - (len(tokens) + 1) * whole)
-                out[3].append(model.score(low))
                 out[4].append(list(missing))
                 out[5].append(list(missing.values()))
+            if waiting:
+                out[3] += model.scores(waiting).tolist()
             return out
 
         return function
