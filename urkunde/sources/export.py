@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,10 @@ def png(height: int, width: int, channels: int, data: bytes) -> bytes:
 
 def write_steps(images: DataFrame, folder: str) -> None:
     """Images after chains (operators.images.processed) as Parquet by approach and step, with the PNG files as a column."""
-    encode = F.udf(png, "binary")
+
+    @F.pandas_udf("binary")
+    def encode(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([png(*x) for x in zip(height, width, channels, data, strict=True)], dtype=object)
+
     out = images.withColumn("png", encode("height", "width", "channels", "data")).drop("data")
     out.write.mode("overwrite").partitionBy("approach", "step").parquet(folder)
