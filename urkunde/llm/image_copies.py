@@ -24,7 +24,7 @@ STEP, LEVELS = 1.25, 4
 RESPONSE = 0.08
 RADIUS = 7
 #: Descriptors that differ in less than TABLES bits surely meet; those that meet may differ in DISTANCE bits.
-BITS, TABLES, DISTANCE = 256, 4, 16
+BITS, TABLES, DISTANCE = 256, 4, 8
 #: Matches that must agree on one change, and how far they may stray: places in pixels, scale by a factor, angle in degrees.
 AGREEING, STRAY, SCALE, ANGLE = 6, 4.0, 1.4, 20.0
 #: Second matches that are tried with each first one.
