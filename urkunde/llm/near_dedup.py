@@ -6,7 +6,7 @@ SKETCHES sketches are candidates. Candidates are verified by a banded alignment
 
 Groups can be very large, so candidates are not all pairs of a bucket. First each text is verified against the
 most central text of each of its buckets (the one whose sketches are shared most), then against the text of another
-component that its signature agrees with most. What that connects needs no further pairs. Last, bucket by
+component that its signature agrees with most, as long as that connects any. What is connected needs no further pairs. Last, by
 bucket and in blocks, only texts of different components whose signatures agree are paired. Every candidate
 pair is so either verified or within a component already: no link is lost.
 """
@@ -28,6 +28,12 @@ SKETCHES, KEEP = 24, 3
 #: Sketches that a pair to be verified shares (at a similarity of 0.8 on average 12, and 4 or more), and values that its
 #: signatures (the KEEP least of each hash function) share of all SKETCHES * KEEP (at 0.8 on average 59, and 48 or more).
 SHARED, AGREE = 3, 47
+#: Least hashes of a text's shingles that are kept for the last round; of texts with fewer shingles, so all of them.
+LOW = 256
+#: Similarities by all shingles, and estimated from the LOW least (4 standard deviations below 0.8), of pairs to be verified.
+EXACT, ESTIMATED = 0.79, 0.7
+#: Pairs of a text in a round of nearest ones.
+NEAREST = 4
 #: Texts of a bucket that are compared at once.
 BLOCK = 1024
 
@@ -78,11 +84,12 @@ def shingles(text: str) -> np.ndarray:
     return out
 
 
-def sketch(text: str) -> tuple[list[int], bytes]:
-    """Sketches, and the signature: the KEEP least hashes under each function, 16 bits of each; nothing for a text without words."""
+def sketch(text: str) -> tuple[list[int], bytes, bytes]:
+    """Sketches, the signature (the KEEP least hashes under each function, 16 bits of each) and the LOW least hashes under
+    one function, 32 bits of each; nothing for a text without words."""
     plain = shingles(text)
     if not len(plain):
-        return [], b""
+        return [], b"", b""
     labelled = plain
     own, where, times = np.unique(plain, return_inverse=True, return_counts=True)
     with np.errstate(over="ignore"):
@@ -100,7 +107,20 @@ def sketch(text: str) -> tuple[list[int], bytes]:
             least[i : i + step, :keep] = np.take_along_axis(value, at, 1)
             for k in range(keep):
                 out[i : i + step] = mix(out[i : i + step] + plain[at[:, k]] * np.uint64(2 * k + 1))
-    return out.view(np.int64).tolist(), (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+        low = mix(labelled ^ PRIME) >> np.uint64(32)
+    low = low if len(low) <= LOW else np.partition(low, LOW - 1)[:LOW]
+    return out.view(np.int64).tolist(), (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), low.astype(np.uint32).tobytes()
+
+
+def likely(a: set[int], b: set[int]) -> bool:
+    """Whether two texts' least hashes let them be near duplicates."""
+    if max(len(a), len(b)) < LOW:
+        both = len(a & b)
+        return both >= EXACT * (len(a) + len(b) - both)
+    end = min(max(x) for x in (a, b) if len(x) == LOW)
+    a, b = {x for x in a if x <= end}, {x for x in b if x <= end}
+    both = len(a & b)
+    return both >= ESTIMATED * (len(a) + len(b) - both)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -180,15 +200,16 @@ def components(links: DataFrame) -> DataFrame:
 def block_pairs(members: DataFrame, nearest: bool) -> DataFrame:
     """Pairs of a bucket's members of different roots that share SHARED sketches and AGREE values of their signatures.
 
-    nearest: of each text only the pair of the most shared values in any bucket, so that there are no more pairs
-    than texts. Otherwise a pair is given once, in the first of the buckets that it shares.
-    members: band, sketch, n, node, root, sketches, least.
+    nearest: of each text only the NEAREST pairs of the most shared values, taken from the best ones with the bucket's
+    largest component and with the others, so that there are at most so many times as many pairs as texts.
+    Otherwise a pair is given once, in the first of the buckets that it shares.
+    members: band, sketch, n, node, root, sketches, least and, for all pairs, low.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.array("own") if nearest else F.sequence(F.lit(0), blocks - 1))
     rows = members.withColumn("own", own).withColumn("other", other)
-    rows = rows.select("band", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketches", "least")
+    rows = rows.select("band", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketches", "least", *["low"] * (not nearest))
     rows = rows.repartition("band", "sketch", "i", "j").sortWithinPartitions("band", "sketch", "i", "j")
 
     def pairs(group):
@@ -201,6 +222,13 @@ def block_pairs(members: DataFrame, nearest: bool) -> DataFrame:
             return
         most = np.argmax(np.bincount(y, minlength=len(roots)))
         sketches, least = np.array([r[7] for r in right]), np.array([np.frombuffer(r[8], np.uint16) for r in right]).reshape(-1, SKETCHES, KEEP)
+        lows: dict[bytes, set[int]] = {}
+
+        def low(r) -> set[int]:
+            if (out := lows.get(r[5])) is None:
+                out = lows[r[5]] = set(np.frombuffer(r[9], np.uint32).tolist())
+            return out
+
         for k, r in enumerate(left):
             if nearest and x[k] == most:
                 continue
@@ -212,15 +240,16 @@ def block_pairs(members: DataFrame, nearest: bool) -> DataFrame:
             fit = fit[keep]
             own = np.frombuffer(r[8], np.uint16).reshape(SKETCHES, KEEP)
             values = sum((least[fit] == np.roll(own, t, axis=1)).sum((1, 2)) for t in range(KEEP))
+            fit, values = fit[values >= AGREE], values[values >= AGREE]
             if nearest:
-                fit = fit[values == max(AGREE, values.max(initial=0))][:1]
-            else:
-                fit = fit[values >= AGREE]
+                for own in (y[fit] == most, y[fit] != most):
+                    if own.any():
+                        m = int(fit[own][values[own].argmax()])
+                        yield r[5], right[m][5], int(values[own].max())
+                continue
             for m in fit.tolist():
                 a, b = r[5], right[m][5]
-                if nearest:
-                    yield a, b, int(values.max())
-                elif i != j or a < b:
+                if (i != j or a < b) and likely(low(r), low(right[m])):
                     yield min(a, b), max(a, b), 0
 
     def run(batches):
@@ -242,7 +271,9 @@ def block_pairs(members: DataFrame, nearest: bool) -> DataFrame:
 
     found = rows.mapInArrow(run, "a binary, b binary, values int")
     if nearest:
-        found = found.groupBy("a").agg(F.max(F.struct("values", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+        # A text has at most two candidates in each of its buckets.
+        top = F.slice(F.sort_array(F.collect_set(F.struct("values", "b")), asc=False), 1, NEAREST)
+        found = found.groupBy("a").agg(top.alias("top")).select("a", F.explode("top.b").alias("b"))
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.select("a", "b").distinct()
 
@@ -263,18 +294,18 @@ def rows_of_classes(df: DataFrame, id_column: str, text: str) -> DataFrame:
     def make():
         def function(batch):
             found = [sketch(t) for t in strings(batch, "text")]
-            return [[x[0] for x in found], [x[1] for x in found]]
+            return [[x[k] for x in found] for k in range(3)]
 
         return function
 
-    arrays = [("sketches", T.ArrayType(T.LongType())), ("least", T.BinaryType())]
+    arrays = [("sketches", T.ArrayType(T.LongType())), ("least", T.BinaryType()), ("low", T.BinaryType())]
     folder = work_dir(spark, "sketches")
     nodes = docs.withColumn("node", node_of(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
     map_batches(nodes, arrays, make, ["id", "node", "row"]).write.parquet(folder)
     rows = spark.read.parquet(folder)
     # Equal texts are one node; its row of least id stands for it.
     groups = cut(rows.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")))
-    firsts = rows.join(groups.select("node", F.col("first.row").alias("row")), ["node", "row"]).select("node", "sketches", "least")
+    firsts = rows.join(groups.select("node", F.col("first.row").alias("row")), ["node", "row"]).select("node", "row", "sketches", "least")
     firsts = cut(firsts)
     members = firsts.select("node", F.posexplode("sketches").alias("band", "sketch"))
     buckets = members.groupBy("band", "sketch").agg(F.count("*").alias("n")).filter("n > 1")
@@ -300,16 +331,22 @@ def rows_of_classes(df: DataFrame, id_column: str, text: str) -> DataFrame:
     links = verified(tried, texts)
     roots = components(links)
     release(spark)
-    signed = ["band", "sketch", "n", "node", "root", "sketches", "least"]
-    for nearest in (True, False):
+    signed = ["band", "sketch", "n", "node", "row", "root", "sketches", "least"]
+    nearest = True
+    while True:  # rounds of nearest pairs as long as they connect anything, and one of all that are left
         open_rows = open_members(members, roots).join(firsts, "node").select(*signed)
+        if not nearest:
+            open_rows = open_rows.join(rows.select("node", "row", "low"), ["node", "row"])
         more = cut(block_pairs(open_rows, nearest).join(tried, ["a", "b"], "left_anti"))
         found = verified(more, texts)
-        if not found.isEmpty():
+        connected = not found.isEmpty()
+        if connected:
             links = cut(links.unionByName(found))
             roots = components(links)
-        tried = tried.unionByName(more)
         release(spark)
+        if not nearest:
+            break
+        tried, nearest = cut(tried.unionByName(more)), connected
 
     found = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = found.groupBy("root").agg(F.min("first").alias("class"), F.sum("n").alias("class_size"))
