@@ -13,6 +13,8 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ from .bpe import LETTERS, MARK, Merges, Transducer, letters
 from .common import map_batches, strings
 
 #: Words whose ids a worker keeps; the memo starts anew beyond that.
-WORDS = 500_000
+WORDS = 250_000
 #: Longer words are not kept.
 WORD_LENGTH = 64
 # Fixed value: the pattern by which vocabularies of this kind find words in a normalised text.
@@ -165,17 +167,22 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
         c = codec(path)
 
         def function(batch):
-            out: list[list] = [[] for _ in fields]
+            n: list[int] = []
+            every: list[bytes] = []
+            hashes: list[list[str]] = [[], []]
             for t in strings(batch, text):
                 ids, names = c.both(t)
-                row = [len(ids) // 4]
+                n.append(len(ids) // 4)
                 if with_ids:
-                    row.append(array("I", ids).tolist())
+                    every.append(ids)
                 if digests:
-                    row += [hashlib.sha256(ids).hexdigest(), hashlib.sha256(names.encode("utf-8", "surrogatepass")).hexdigest()]
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            return out
+                    hashes[0].append(hashlib.sha256(ids).hexdigest())
+                    hashes[1].append(hashlib.sha256(names.encode("utf-8", "surrogatepass")).hexdigest())
+            whole = [n]
+            if with_ids:
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                whole.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(every), np.int32))))
+            return whole + hashes * digests
 
         return function
 

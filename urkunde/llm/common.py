@@ -92,7 +92,7 @@ def map_batches(
         for batch in batches:
             if batch.num_rows:
                 made = [
-                    x if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(len(names) + i).type)
+                    x.cast(arrow.field(len(names) + i).type) if isinstance(x, pa.Array) else pa.array(x, type=arrow.field(len(names) + i).type)
                     for i, x in enumerate(function(batch))
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], schema=arrow)
