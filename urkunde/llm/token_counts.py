@@ -13,6 +13,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .bpe import Merges, letters
 from .common import map_batches, strings
@@ -25,6 +26,8 @@ UNIT_LENGTH = 64
 # Fixed value: the pattern by which byte-level vocabularies of this kind cut a text.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = letters(" ")
+#: Up to here all versions of Unicode agree on what is a letter.
+LATIN = "\u024f"
 #: White space with what follows it: a text's pieces never straddle a unit.
 UNIT = r"(?:\s+(?<! ))?'(?:s|t|re|ve|m|ll|d)|\s*(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+"
 
@@ -51,21 +54,25 @@ class Tables(dict):
             ends.append(at)
         return [counts[e] for e in ends]
 
-    def __missing__(self, unit: str) -> bytes:
+    def changes(self, unit: str, shape: str) -> bytes:
+        """The changes along a unit. shape: the unit with letters of its length that the pattern takes for what they are."""
         if unit[0] == " " and unit.isascii() and unit[1:].isalpha():  # the common case: one piece of one-byte letters
             counts = self.merges.last_tokens(SPACE + unit[1:])[1]
         else:
-            first, *pieces = self.pieces(unit)
-            counts = self.piece(first)
-            for p in pieces:
+            counts, at = [0], 0
+            for p in self.pieces(shape):
                 base = counts[-1]
-                counts += [base + x for x in self.piece(p)[1:]]
+                counts += [base + x for x in self.piece(unit[at : at + len(p)])[1:]]
+                at += len(p)
         if unit[0].isspace() and 1 < (spaces := self.spaces(unit).end()) < len(unit):
             counts[spaces] = self.piece(unit[:spaces])[-1]  # cut off here, all the white space is one piece
-        changes = [b - a for a, b in zip(counts, counts[1:], strict=False)]
-        if min(changes) < -128 or max(changes) > 127:
+        steps = [b - a for a, b in zip(counts, counts[1:], strict=False)]
+        if min(steps) < -128 or max(steps) > 127:
             raise OverflowError("a count changes by more than a byte holds")
-        out = bytes([x & 255 for x in changes])
+        return bytes([x & 255 for x in steps])
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self.changes(unit, unit)
         if len(unit) <= UNIT_LENGTH:
             if len(self) >= UNITS:
                 self.clear()
@@ -95,6 +102,8 @@ class TokenCounter:
 
     def __init__(self, path: str):
         self.merges = Merges(path)
+        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.shapes: dict[str, str] = {}
         self.tables = Tables(self.merges)
         self.words = Words(self.tables)
         self.units = self.words.units
@@ -106,24 +115,52 @@ class TokenCounter:
         """A signed byte for each code point; their sum up to a place is the token count of the text up to there."""
         if not self.special or not any(s in text for s in self.special):
             return self.plain(text)
+        def count(table: bytes) -> int:
+            return int(np.frombuffer(table, np.int8).sum())
+
         out: list[bytes] = []
-        tail = ""  # the last unit, from which a special string's first letters go on as ordinary text
+        odd = self.odd(text)
+        tail = ("", b"")  # the last unit, from which a special string's first letters go on as ordinary text
         for i, part in enumerate(self.split(text)):
             if i % 2 == 0:
-                units = self.units(part)
-                out += map(self.tables.__getitem__, units)
-                tail = units[-1] if units else ""
+                units = self.unit_tables(part, odd)
+                out += [t for _, t in units]
+                tail = units[-1] if units else ("", b"")
                 continue
-            whole = int(np.frombuffer(self.tables[tail], np.int8).sum()) if tail else 0
             counts = [0]
             for j in range(1, len(part)):
-                counts.append(sum(int(np.frombuffer(self.tables[u], np.int8).sum()) for u in self.units(tail + part[:j])) - whole)
+                counts.append(sum(count(t) for _, t in self.unit_tables(tail[0] + part[:j], odd)) - count(tail[1]))
             out.append(np.diff(np.array([*counts, 1])).astype(np.int8).tobytes())
-            tail = ""
+            tail = ("", b"")
         return b"".join(out)
 
+    def shape(self, c: str) -> str:
+        """The character, or a common one of the kind that the library takes it for if the pattern does not."""
+        if (out := self.shapes.get(c)) is None:
+            kinds = [len(self.cut(x + c)) == 1 for x in "a1."]
+            own = [len(self.tables.pieces(x + c)) == 1 for x in "a1."]
+            out = self.shapes[c] = c if kinds == own or not any(kinds) else "\u4e2d\u0663\u2020"[kinds.index(True)]
+        return out
+
+    def odd(self, text: str) -> dict[str, str]:
+        """The characters that the pattern takes for another kind than the library, with their shapes."""
+        return {c: s for c in set(text) if c > LATIN and (s := self.shape(c)) != c}
+
+    def unit_tables(self, text: str, odd: dict[str, str]) -> list[tuple[str, bytes]]:
+        """A text's units, each with its table."""
+        if not odd:
+            return [(u, self.tables[u]) for u in self.units(text)]
+        at, out = 0, []
+        for shape in self.units(text.translate(str.maketrans(odd))):
+            unit = text[at : at + len(shape)]
+            out.append((unit, self.tables.changes(unit, shape)))
+            at += len(shape)
+        return out
+
     def plain(self, text: str) -> bytes:
         """The table of a text without special strings."""
+        if not text.isascii() and (odd := self.odd(text)):
+            return b"".join([t for _, t in self.unit_tables(text, odd)])
         if self.two_spaces(text):
             return b"".join(map(self.tables.__getitem__, self.units(text)))
         first, *words = text.split(" ")  # a single space opens a unit
