@@ -19,6 +19,8 @@ from .common import cut, keep_rows, release, text_of, work_dir
 STREAMING = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 #: A digest with more than this share of all rows is hot; there are fewer than its inverse, so these may be broadcast.
 HOT_SHARE = 0.001
