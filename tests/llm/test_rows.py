@@ -2,8 +2,10 @@ import collections
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from urkunde.llm import exact_dedup, image_copies, mixture, near_dedup, url_rules
 from urkunde.llm.queries import ORACLES, QUERIES
@@ -221,14 +223,48 @@ def test_pipeline(spark, tmp_path):
     odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", None, "src0", 0), (-1, "", None, "src0", 0), (-2, "A plain sentence. " * 20000, "en", "src1", 7)], docs.schema)
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     docs.unionByName(odd).write.parquet(str(tmp_path / "documents.parquet"))
-    now, counts = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    given, now, found = spark.read.parquet(str(tmp_path / "documents.parquet")), None, []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, now.limit(0), str(tmp_path)).collect()
-        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"stage{i}"))
+        before = given if now is None else now
+        stage(spark, before.limit(0), str(tmp_path)).collect()
+        stage(spark, before, str(tmp_path)).write.parquet(str(tmp_path / f"stage{i}"))
         now = spark.read.parquet(str(tmp_path / f"stage{i}"))
         if i < 4:
             assert now.columns == docs.columns
-        counts.append(now.count())
-    assert counts[0] >= counts[1] >= counts[2] > 100
-    assert now.filter("size(ids) <> n_tokens").count() == 0
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[-1]
+        found.append(now.collect())
+    quality, exact, near, mixed, encoded = found
+    # 1: rows of the input, among them nearly all that are labelled good, and few of the others
+    good = {r.doc_id: r.quality for r in labels.collect()}
+    kept = collections.Counter(good.get(r.doc_id) for r in quality)
+    assert {tuple(r) for r in quality} <= {tuple(r) for r in given.collect()}
+    assert kept[1] >= 0.97 * sum(good.values()) and kept[0] <= 0.1 * (len(good) - sum(good.values()))
+    # 2: of equal texts the largest id
+    last = {}
+    for r in quality:
+        last[r.text or ""] = max(last.get(r.text or "", -9), -9 if r.doc_id is None else r.doc_id)
+    assert sorted((r.text or "", -9 if r.doc_id is None else r.doc_id) for r in exact) == sorted(last.items())
+    # 3: of linked texts the least id
+    sets, parent = [shingled(r.text or "") for r in exact], list(range(len(exact)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(exact)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * max(1, len(sets[i] | sets[j])):
+                parent[find(i)] = find(j)
+    least = collections.defaultdict(list)
+    for i, r in enumerate(exact):
+        least[find(i)].append(-9 if r.doc_id is None else r.doc_id)
+    assert sorted(-9 if r.doc_id is None else r.doc_id for r in near) == sorted(min(x) for x in least.values())
+    # 4: each document as often as it is taken, to the nearest whole
+    times = {r.doc_id: int(r.taken / r.size + 0.5) if r.size else 0 for r in mixture.plan(spark.createDataFrame(near, docs.schema)).collect()}
+    assert collections.Counter(r.doc_id for r in mixed) == collections.Counter({k: v for k, v in times.items() if v})
+    # 5: the library's ids
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(encoded) == len(mixed)
+    for r in encoded:
+        assert r.ids == library.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(encoded)
