@@ -29,7 +29,7 @@ SAMPLE = 1500
 SAMPLE_PASSAGES = 40_000
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.003, 1e-4
 #: Bytes that are encoded at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 THRESHOLD = 0.7
 
 
