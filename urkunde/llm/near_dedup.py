@@ -331,12 +331,11 @@ def rows_of_classes(df: DataFrame, id_column: str, text: str) -> DataFrame:
     links = verified(tried, texts)
     roots = components(links)
     release(spark)
-    signed = ["band", "sketch", "n", "node", "row", "root", "sketches", "least"]
+    signed = ["band", "sketch", "n", "node", "root", "sketches", "least"]
     nearest = True
     while True:  # rounds of nearest pairs as long as they connect anything, and one of all that are left
-        open_rows = open_members(members, roots).join(firsts, "node").select(*signed)
-        if not nearest:
-            open_rows = open_rows.join(rows.select("node", "row", "low"), ["node", "row"])
+        signs = firsts if nearest else rows.drop("id").join(firsts.select("node", "row"), ["node", "row"], "left_semi")
+        open_rows = open_members(members, roots).join(signs, "node").select(*signed, *["low"] * (not nearest))
         more = cut(block_pairs(open_rows, nearest).join(tried, ["a", "b"], "left_anti"))
         found = verified(more, texts)
         connected = not found.isEmpty()
