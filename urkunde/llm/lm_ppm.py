@@ -63,7 +63,7 @@ def gather(docs: DataFrame, text: str) -> DataFrame:
             for t in strings(batch, text):
                 low = lowered(t)
                 octets += np.bincount(np.frombuffer(low, np.uint8), minlength=256)
-                words.update(map(key_of, low.split()) if len(low) > KEY_BYTES else [key_of(w) for w in low.split()])
+                words.update(map(key_of, low.split()))
                 if len(words) > GATHER:
                     yield out()
         for b in np.flatnonzero(octets):
