@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, keep_rows, release, text_of, work_dir
 
-#: The state lives in RocksDB. Each of its partitions is small; space must not be set aside for it.
+#: The state lives in RocksDB. No space is set aside for its files, and its memory is bounded and given back when a task ends.
 STREAMING = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
