@@ -207,6 +207,18 @@ def test_images(spark):
     assert image_copies.search(df.limit(0), F.lit(True), "id", "file").count() == 0
 
 
+def test_pictures_hold_corners(spark):
+    """Nearly all of the query's pictures have enough places for AGREEING matches."""
+    from urkunde.llm.queries import pictures
+
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").limit(100)
+    places = []
+    for r in pictures(vectors).collect():
+        at, _ = image_copies.describe(image_copies.read_image(bytes(r.picture)))
+        places.append(len(np.unique(np.round((at[:, 0] + 1j * at[:, 1]) / image_copies.STRAY))))
+    assert np.mean(np.array(places) >= image_copies.AGREEING) >= 0.97
+
+
 def test_png():
     from urkunde.sources.export import png
 
