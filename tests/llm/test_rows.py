@@ -207,6 +207,46 @@ def test_images(spark):
     assert image_copies.search(df.limit(0), F.lit(True), "id", "file").count() == 0
 
 
+def crop(a):
+    return a[5:-3, 6:-2]
+
+
+def test_image_links_are_exact(spark):
+    """Against comparing all descriptors of all pairs, on the query's pictures with edits of them; and the share that is found."""
+    from pyspark.sql import types as T
+
+    from urkunde.llm.queries import pictures
+
+    rng = np.random.default_rng(3)
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").limit(40)
+    drawn = [image_copies.read_image(bytes(r.picture)) for r in pictures(vectors).orderBy("vec_id").collect()]
+    assert all(a.shape == (64, 64) for a in drawn)
+    edits = {"crop": crop, "noise": lambda a: np.clip(a + rng.normal(0, 4, a.shape), 0, 255).round()}
+    made = [(k * 100 + i, k > 0, np.asarray(e(a), np.uint8)) for k, e in enumerate([lambda a: a, *edits.values()]) for i, a in enumerate(drawn)]
+    sets = {i: (q, *image_copies.describe(a)) for i, q, a in made}
+    rows = [(i, q, at.astype(np.float32).tobytes(), [r.tobytes() for r in bits]) for i, (q, at, bits) in sets.items()]
+    described = spark.createDataFrame(rows, T.StructType.fromDDL("image long, asks boolean, at binary, bits array<binary>"))
+    got = sorted(map(tuple, image_copies.links(described).collect()))
+    near = {i: (at.astype(np.float32).astype(float), bits) for i, (_, at, bits) in sets.items()}
+    want = [(i, j, image_copies.matches(*near[i], *near[j])) for i, (q, *_) in sets.items() if q for j in near if i != j]
+    assert got == sorted(x for x in want if x[2] >= image_copies.AGREEING)
+    for k in (1, 2):
+        share = sum((k * 100 + i, i) in {x[:2] for x in got} for i in range(len(drawn))) / len(drawn)
+        print(list(edits)[k - 1], share)
+        assert share >= 0.85
+
+
+def test_near_descriptors_share_a_table():
+    rng = np.random.default_rng(5)
+    one = rng.integers(0, 256, (400, 32), dtype=np.uint8)
+    bits = np.unpackbits(one, axis=1)
+    for k, row in enumerate(bits):
+        row[rng.choice(256, k % (image_copies.DISTANCE + 1), replace=False)] ^= 1
+    asked, stored = (image_copies.Corners([0], [np.zeros((400, 4), np.float32).tobytes()], [[r.tobytes() for r in x]]) for x in (one, np.packbits(bits, axis=1)))
+    a, b, apart = image_copies.Tables(asked).near(stored)
+    assert {(k, k, k % (image_copies.DISTANCE + 1)) for k in range(400)} <= set(zip(a.tolist(), b.tolist(), apart.tolist(), strict=True))
+
+
 def test_pictures_hold_corners(spark):
     """Nearly all of the query's pictures have enough places for AGREEING matches."""
     from urkunde.llm.queries import pictures

@@ -2,8 +2,8 @@
 
 Corners are found at several scales, each gets an orientation from its patch's centre of mass and a binary
 descriptor from intensity tests that are turned with it. Descriptors meet in hash tables over their parts: two
-that differ in at most TABLES - 1 bits agree in a whole part. A query and a stored image whose matched corners
-agree on one change of scale, angle and place are copies.
+that differ in at most DISTANCE = TABLES - 1 bits agree in a whole part, so none of these is missed. A query and a
+stored image whose matched corners agree on one change of scale, angle and place are copies.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +24,15 @@ STEP, LEVELS = 1.25, 4
 #: Corners that are described: all local maxima of the response above this share of the image's largest.
 RESPONSE = 0.08
 RADIUS = 7
-#: Descriptors that differ in less than TABLES bits surely meet; those that meet may differ in DISTANCE bits.
-BITS, TABLES, DISTANCE = 256, 4, 8
+#: Matched descriptors may differ in DISTANCE bits; with one part more, those that do surely meet.
+BITS, DISTANCE = 256, 8
+TABLES = DISTANCE + 1
 #: Matches that must agree on one change, and how far they may stray: places in pixels, scale by a factor, angle in degrees.
 AGREEING, STRAY, SCALE, ANGLE = 6, 4.0, 1.4, 20.0
 #: Second matches that are tried with each first one.
 SIDE = 64
+#: Descriptors of queries, and of images, that are held against each other at once, and pairs of them.
+CORNERS, PAIRS = 1 << 16, 1 << 17
 
 
 def tests() -> np.ndarray:
@@ -167,7 +171,7 @@ def read_png(content: bytes) -> np.ndarray | None:
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
-    """The most matches (rows of corners of two images) that agree on one change of scale, angle and place."""
+    """The most matches (rows of corners of two images) that agree on one change of scale, angle and place; 0 if under AGREEING."""
     if len(a) < AGREEING:
         return 0
     scale = b[:, 2] - a[:, 2]
@@ -182,9 +186,11 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
             if abs(change) < 0.2 or abs(np.log(abs(change)) - scale[k]) > np.log(SCALE):
                 continue
             fit = near & (np.abs(z_b[k] + change * (z_a - z_a[k]) - z_b) <= STRAY)
+            if np.count_nonzero(fit) <= max(best, AGREEING - 1):
+                continue
             count = min(len(np.unique(np.round(z_a[fit] / STRAY))), len(np.unique(np.round(z_b[fit] / STRAY))))
             best = max(best, count)
-    return best
+    return best if best >= AGREEING else 0
 
 
 def matches(pairs_a: np.ndarray, bits_a: np.ndarray, pairs_b: np.ndarray, bits_b: np.ndarray) -> int:
@@ -197,32 +203,120 @@ def matches(pairs_a: np.ndarray, bits_a: np.ndarray, pairs_b: np.ndarray, bits_b
     return consensus(pairs_a[good], pairs_b[nearest[good]])
 
 
+def parts(words: np.ndarray) -> list[np.ndarray]:
+    """Of descriptors as 64-bit words: the values of each of the TABLES parts of their bits."""
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(words), BITS // 8), axis=1)
+    edges = np.linspace(0, BITS, TABLES + 1).astype(int)
+    return [bits[:, i:j] @ (1 << np.arange(j - i, dtype=np.int64)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+
+class Corners:
+    """Corners of several images in one: number of the image, place and descriptor of each."""
+
+    def __init__(self, images: list[int], at: list[bytes], bits: list[list[bytes]]):
+        self.images = np.array(images, np.int64)
+        self.owner = np.repeat(np.arange(len(images)), [len(x) for x in bits])
+        self.at = np.frombuffer(b"".join(at), np.float32).reshape(-1, 4).astype(float)
+        self.words = np.frombuffer(b"".join([d for x in bits for d in x]), np.uint64).reshape(-1, BITS // 64)
+        self.parts = parts(self.words)
+
+
+class Tables:
+    """Hash tables (here: sorted parts) over the corners of queries."""
+
+    def __init__(self, asked: Corners):
+        self.asked = asked
+        self.orders = [np.argsort(p) for p in asked.parts]
+        self.sorted = [p[o] for p, o in zip(asked.parts, self.orders, strict=True)]
+        self.words = [np.ascontiguousarray(asked.words[o].T) for o in self.orders]
+
+    def near(self, stored: Corners) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of a query's and an image's descriptor that differ in at most DISTANCE bits, and in how many."""
+        codes = [np.zeros(0, np.int64)]
+        columns = np.ascontiguousarray(stored.words.T)
+        for own, order, keys, words in zip(stored.parts, self.orders, self.sorted, self.words, strict=True):
+            low = np.searchsorted(keys, own)
+            n = np.searchsorted(keys, own, "right") - low
+            ends = np.cumsum(n)
+            i = 0
+            while i < len(own):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+                k = n[i:j]
+                a = np.arange(k.sum()) + np.repeat(low[i:j] - np.cumsum(k) + k, k)
+                apart = np.bitwise_count(words[0][a] ^ np.repeat(columns[0][i:j], k))
+                keep = np.flatnonzero(apart <= DISTANCE)
+                a, b, apart = a[keep], np.repeat(np.arange(i, j), k)[keep], apart[keep]
+                for w in range(1, BITS // 64):
+                    apart = apart + np.bitwise_count(words[w][a] ^ columns[w][b])
+                    keep = np.flatnonzero(apart <= DISTANCE)
+                    a, b, apart = a[keep], b[keep], apart[keep]
+                codes.append(order[a] * len(own) + b)
+                i = j
+        code = np.sort(np.concatenate(codes))
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+        a, b = np.divmod(code, max(1, len(stored.owner)))
+        return a, b, np.bitwise_count(self.asked.words[a] ^ stored.words[b]).sum(1, dtype=np.int64)
+
+    def copies(self, stored: Corners) -> list[tuple[int, int, int]]:
+        """(query, image, agreeing) of all pairs with at least AGREEING agreeing matches; as matches() finds them."""
+        a, b, apart = self.near(stored)
+        if not len(a):
+            return []
+        image = stored.owner[b]
+        start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (image[1:] != image[:-1])]))
+        first = np.minimum.reduceat(apart * len(a) + np.arange(len(a)), start) % len(a)  # the image's nearest descriptor to each of the query's
+        a, b = a[first], b[first]
+        q, image = self.asked.owner[a], stored.owner[b]
+        order = np.argsort(q * len(stored.images) + image, kind="stable")
+        order = order[self.asked.images[q[order]] != stored.images[image[order]]]
+        a, b, q, image = a[order], b[order], q[order], image[order]
+        start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (image[1:] != image[:-1])])) if len(a) else np.zeros(0, int)
+        n = np.diff(np.concatenate([start, [len(a)]]))
+        out = []
+        for size in np.unique(n[n >= AGREEING]).tolist():
+            groups, step = start[n == size], max(1, PAIRS // size**2)
+            for i in range(0, len(groups), step):
+                rows = groups[i : i + step, None] + np.arange(size)
+                change = stored.at[b[rows], 2:] - self.asked.at[a[rows], 2:]
+                scale = np.abs(change[:, :, None, 0] - change[:, None, :, 0]) <= np.log(SCALE)
+                turn = np.abs((change[:, :, None, 1] - change[:, None, :, 1] + np.pi) % (2 * np.pi) - np.pi) <= np.radians(ANGLE) + 1e-9
+                for r in rows[(scale & turn).sum(2).max(1) >= AGREEING]:  # only these can agree
+                    count = consensus(self.asked.at[a[r]], stored.at[b[r]])
+                    if count >= AGREEING:
+                        out.append((int(self.asked.images[q[r[0]]]), int(stored.images[image[r[0]]]), count))
+        return out
+
+
 def links(described: DataFrame) -> DataFrame:
     """query, image, agreeing: pairs that are copies. described: image (number), asks, at, bits.
 
-    An image that agrees with a query in AGREEING corners shares at least as many table entries with it, so
-    only such pairs are compared; entries are counted once for each pair of images and value.
+    Queries are taken in blocks of about CORNERS descriptors, and each block's tables go over all images where they
+    are. Nothing is shuffled, and what is sent is bounded; the passes over the images grow with the queries.
     """
-    size = BITS // 8 // TABLES
-    parts = F.expr(f"transform(sequence(0, {TABLES - 1}), t -> xxhash64(t, substring(d, t * {size} + 1, {size})))")
-    keys = described.select("image", "asks", F.explode("bits").alias("d")).select("image", "asks", F.explode(parts).alias("key")).distinct()
-    asked = keys.filter("asks").select(F.col("image").alias("query"), "key")
-    pairs = asked.join(keys.select("image", "key"), "key").filter("query <> image").groupBy("query", "image").count()
-    pairs = pairs.filter(F.col("count") >= AGREEING).select("query", "image")
-    one = described.filter("asks").select(F.col("image").alias("query"), F.col("at").alias("at_q"), F.col("bits").alias("bits_q"))
-    whole = pairs.join(described.select("image", "at", "bits"), "image").join(one, "query")
-
-    def make():
-        def corner_sets(batch, at, bits):
-            for x, y in zip(batch.column(at), batch.column(bits), strict=True):
-                yield np.frombuffer(x.as_py(), np.float32).reshape(-1, 4).astype(float), np.frombuffer(b"".join(y.as_py()), np.uint8).reshape(-1, BITS // 8)
-
-        def function(batch):
-            return [[matches(*q, *i) for q, i in zip(corner_sets(batch, "at_q", "bits_q"), corner_sets(batch, "at", "bits"), strict=True)]]
-
-        return function
-
-    return map_batches(whole, [("agreeing", T.IntegerType())], make, ["query", "image"]).filter(F.col("agreeing") >= AGREEING)
+    spark = described.sparkSession
+    folder = work_dir(spark, "links")
+    asked = described.filter("asks").select("image", "at", "bits")
+    blocks = -(-(asked.agg(F.coalesce(F.sum(F.size("bits")), F.lit(0))).first()[0]) // CORNERS)
+    spark.createDataFrame([], "query long, image long, agreeing int").write.parquet(folder)
+    for block in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("image"), F.lit(blocks)) == block).toArrow().to_pydict()
+        shared = spark.sparkContext.broadcast((own["image"], own["at"], own["bits"]))
+
+        def run(batches, shared=shared):
+            tables = Tables(Corners(*shared.value))
+            for batch in batches:
+                images, at, bits = (c.to_pylist() for c in batch.columns)
+                ends, i, out = np.cumsum([len(x) for x in bits]), 0, []
+                while i < len(images):
+                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CORNERS, "right")))
+                    out += tables.copies(Corners(images[i:j], at[i:j], bits[i:j]))
+                    i = j
+                kinds = (pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["query", "image", "agreeing"])
+
+        described.select("image", "at", "bits").mapInArrow(run, "query long, image long, agreeing int").write.mode("append").parquet(folder)
+        shared.destroy()
+    return spark.read.parquet(folder)
 
 
 def search(df: DataFrame, is_query: Column, id_column: str, content: str) -> DataFrame:
