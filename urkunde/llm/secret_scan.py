@@ -10,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
+from math import log2
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -34,6 +36,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # of at least LEAST characters
 AROUND = 512
 #: Share of its own bytes that a candidate must add.
 NOVELTY = 0.8
+#: Bytes from which on zstandard codes literals by their frequency.
+CODED = 64
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key private_key public_key client_secret client_id username "
     "authorization bearer credential signature certificate session cookie config settings environment production "
@@ -52,6 +56,19 @@ def added_bytes(candidate: str, around: str) -> int:
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
+def is_novel(candidate: str, around: str) -> bool:
+    """Whether the candidate adds NOVELTY of its bytes; from 64 bytes on, of what its alphabet alone lets them come to.
+
+    zstandard codes the characters of longer strings by their frequencies, so that a random string of 16 different
+    characters adds half of its bytes.
+    """
+    bits = 8.0
+    if len(candidate) >= CODED:
+        shares = [n / len(candidate) for n in Counter(candidate).values()]
+        bits = -sum(x * log2(x) for x in shares)
+    return added_bytes(candidate, around) >= NOVELTY * len(candidate) * bits / 8
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end), sorted."""
     found = []
@@ -89,7 +106,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             continue
         value = text[start:end]
         kinds = bool(re.search(r"[a-z]", value)) + bool(re.search(r"[A-Z]", value)) + bool(re.search(r"\d", value))
-        if kinds >= 2 and added_bytes(value, text[max(0, start - AROUND) : start] + text[end : end + AROUND]) >= NOVELTY * len(value):
+        if kinds >= 2 and is_novel(value, text[max(0, start - AROUND) : start] + text[end : end + AROUND]):
             out.append((start, 3, end))
     return out
 
