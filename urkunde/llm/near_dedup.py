@@ -7,8 +7,8 @@ SKETCHES sketches are candidates. Candidates are verified by a banded alignment
 Groups can be very large, so candidates are not all pairs of a bucket. First each text is verified against the
 most central text of each of its buckets (the one whose sketches are shared most), then against the text of another
 component that its signature agrees with most, as long as that connects any. What is connected needs no further pairs. Last, by
-bucket and in blocks, only texts of different components whose signatures agree are paired. Every candidate
-pair is so either verified or within a component already: no link is lost.
+bucket and in blocks, only texts of different components whose signatures agree are paired. Pairs
+alike as sets that differ in order or repetition may share too few sketches, or agree too little, to be tried.
 """
 
 from __future__ import annotations
