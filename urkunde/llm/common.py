@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows in an Arrow batch. Texts can be long, and a batch is held whole on both sides of the pipe.
-BATCH_ROWS = 1000
+#: Rows, and bytes, in an Arrow batch. Texts can be long, and a batch is held whole on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Characters of a word separator.
 NO_SPACE = r"[^\x20\x09-\x0D]+"
 
 
+def not_local(master: str) -> bool:
+    return master != "local" and not master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
+    """The folder that the driver and all executors see; a temporary one only where the session names none and is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not named and context._jsc.sc().getCheckpointDir().isEmpty() and not_local(context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
     if named:
         if context._jsc.sc().getCheckpointDir().isEmpty():
             context.setCheckpointDir(named)
@@ -37,6 +43,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, folders: list[str], name: str) -> DataFrame:
+    """The rows of df written to a new folder and read again; the folder is added to those to be removed."""
+    folders.append(work_dir(df.sparkSession, name))
+    df.write.parquet(folders[-1])
+    return df.sparkSession.read.schema(df.schema).parquet(folders[-1])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -69,6 +82,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits on Arrow batches to BATCH_ROWS and BATCH_BYTES; they act when a plan runs, so they stay.
+
+    Smaller limits of the caller's are left as they are.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key, None) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_batches(
     df: DataFrame,
     fields: list[tuple[str, T.DataType]],
@@ -80,7 +105,7 @@ def map_batches(
     make() runs once a task and gives a function from a batch to the new columns. keep names the columns
     that go on; a kept column of a new column's name gives way to it. Rows stay where they are.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(df.sparkSession)
     new = {n for n, _ in fields}
     kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name not in new]
     schema = T.StructType([*kept, *(T.StructField(n, t, True) for n, t in fields)])
@@ -122,20 +147,40 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFra
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(groups.filter(~is_hot), key))
 
 
+#: Bits of the filter that says which rows may have one of many keys; it is sent to all tasks whatever the number of keys.
+FILTER_BITS = 1 << 23
+
+
+def may_have(rows: DataFrame, key: Column, keys: Column, of: DataFrame) -> DataFrame:
+    """rows with a column `may`: false only where no row of `of` has this key.
+
+    The keys set bits of a table of FILTER_BITS, which is at most 2 MB, so that rows without such a key are told
+    where they are and only the others need a shuffle. With very many keys all bits are set: more rows are shuffled.
+    """
+    place = F.pmod(F.xxhash64(keys), F.lit(FILTER_BITS)).alias("place")
+    words = of.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
+    marked = rows.withColumn("place", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("word", F.shiftright("place", 6))
+    joined = marked.join(F.broadcast(words), "word", "left")
+    may = F.expr("coalesce(shiftrightunsigned(bits, cast(place & 63 as int)) & 1L, 0L) = 1L")
+    return joined.withColumn("may", may).drop("word", "place", "bits")
+
+
 def keep_rows(df: DataFrame, decided: DataFrame, id_column: str, node: Column) -> DataFrame:
     """The rows of df that are kept, with df's columns.
 
     decided: id, node, kept for all rows of the groups that lose any. Rows with the same id and node are told
-    apart by nothing: of them one is kept if one is.
+    apart by nothing: of them one is kept if one is. Rows of other nodes are not moved.
     """
-    keys = cut(decided.groupBy("id", "node").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    keys = cut(decided.groupBy("id", "node").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"), F.col(f"`{id_column}`").alias("own_id"), node.alias("own_node"))
+    rows = may_have(rows, F.concat_ws(" ", F.hex("own_node"), F.col("own_id").cast("string")), F.concat_ws(" ", F.hex("node"), F.col("id").cast("string")), keys)
+    moved = rows.filter("may").drop("may")
 
     def same(k: DataFrame) -> Column:
-        return (rows["own_node"] == k["node"]) & rows["own_id"].eqNullSafe(k["id"])
+        return (moved["own_node"] == k["node"]) & moved["own_id"].eqNullSafe(k["id"])
 
-    gone, repeated = keys.filter("not kept or n > 1"), keys.filter("kept and n > 1")
-    out = rows.join(gone, same(gone), "left_anti")
+    repeated = keys.filter("kept")
+    out = rows.filter("not may").drop("may").unionByName(moved.join(keys, same(keys), "left_anti"))
     if not repeated.isEmpty():
-        out = out.unionByName(rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["own_id", "own_node"]))
+        out = out.unionByName(moved.join(repeated, same(repeated), "left_semi").dropDuplicates(["own_id", "own_node"]))
     return out.select("all.*")

@@ -2,40 +2,41 @@
 
 A sketch holds, for one hash function, the KEEP least of a text's occurrence-labelled shingles in the order of
 the text, so that two texts share it with a chance that follows their edit similarity. Texts that share one of
-SKETCHES sketches are candidates. Candidates are verified by a banded alignment of their shingles.
+SKETCHES sketches are candidates. Candidates are verified by a banded alignment of their shingles, which alone
+decides: the same shingles in another order are no link.
 
 Groups can be very large, so candidates are not all pairs of a bucket. First each text is verified against the
-most central text of each of its buckets (the one whose sketches are shared most), then against the text of another
-component that its signature agrees with most, as long as that connects any. What is connected needs no further pairs. Last, by
-bucket and in blocks, only texts of different components whose signatures agree are paired. Pairs
-alike as sets that differ in order or repetition may share too few sketches, or agree too little, to be tried.
+most central text of each of its buckets (the one whose sketches are shared most). What that connects needs no
+further pairs. Then the buckets that still hold more than one component are gone through in blocks: each task keeps
+the components of its own texts, so that texts which a link has just connected are not aligned again, and passes
+over pairs only by bounds that no link can miss (lengths, and counts of shingles by their hash). So the only links
+that can be lost are those between texts that share no sketch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_groups, keep_rows, map_batches, release, remove, strings, text_of, work_dir
+from .common import bound_batches, cut, join_groups, keep_rows, map_batches, may_have, release, remove, staged, strings, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Texts of similarity 0.8 share a sketch with a chance of 0.8 ** KEEP, and none of all with about 4e-8.
 SKETCHES, KEEP = 24, 3
-#: Sketches that a pair to be verified shares (at a similarity of 0.8 on average 12, and 4 or more), and values that its
-#: signatures (the KEEP least of each hash function) share of all SKETCHES * KEEP (at 0.8 on average 59, and 48 or more).
-SHARED, AGREE = 3, 47
-#: Least hashes of a text's shingles that are kept for the last round; of texts with fewer shingles, so all of them.
-LOW = 256
-#: Similarities by all shingles, and estimated from the LOW least (4 standard deviations below 0.8), of pairs to be verified.
-EXACT, ESTIMATED = 0.79, 0.7
-#: Pairs of a text in a round of nearest ones.
-NEAREST = 4
-#: Texts of a bucket that are compared at once.
-BLOCK = 1024
+#: Texts, and shingles, of a bucket that make a block; each task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Pairs with one hub that a task verifies.
+HUB_PAIRS = 1024
+#: Counts by hash that a task holds at once, and how many of them a text has.
+COUNTS, LEAST_COUNTS, MOST_COUNTS = 1 << 22, 256, 1 << 14
+#: Links of a task that are connected at once before they are passed on.
+FOREST = 1 << 19
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -84,12 +85,11 @@ def shingles(text: str) -> np.ndarray:
     return out
 
 
-def sketch(text: str) -> tuple[list[int], bytes, bytes]:
-    """Sketches, the signature (the KEEP least hashes under each function, 16 bits of each) and the LOW least hashes under
-    one function, 32 bits of each; nothing for a text without words."""
+def sketch(text: str) -> tuple[list[int], int]:
+    """Sketches, each mixed with its number, and the number of shingles; nothing for a text without words."""
     plain = shingles(text)
     if not len(plain):
-        return [], b"", b""
+        return [], 0
     labelled = plain
     own, where, times = np.unique(plain, return_inverse=True, return_counts=True)
     with np.errstate(over="ignore"):
@@ -99,32 +99,23 @@ def sketch(text: str) -> tuple[list[int], bytes, bytes]:
             which[order] = np.arange(len(plain)) - np.repeat(np.cumsum(times) - times, times)
             labelled = mix(plain + which * PRIME)
         keep = min(KEEP, len(plain))
-        out, least = np.zeros(SKETCHES, np.uint64), np.zeros((SKETCHES, KEEP), np.uint64)
+        out = SEEDS.copy()
         step = max(1, PIECE // len(plain))
         for i in range(0, SKETCHES, step):
             value = mix(labelled[None, :] ^ SEEDS[i : i + step, None])
             at = np.sort(np.argpartition(value, keep - 1, axis=1)[:, :keep], axis=1)
-            least[i : i + step, :keep] = np.take_along_axis(value, at, 1)
             for k in range(keep):
                 out[i : i + step] = mix(out[i : i + step] + plain[at[:, k]] * np.uint64(2 * k + 1))
-        low = mix(labelled ^ PRIME) >> np.uint64(32)
-    low = low if len(low) <= LOW else np.partition(low, LOW - 1)[:LOW]
-    return out.view(np.int64).tolist(), (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), low.astype(np.uint32).tobytes()
+    return out.view(np.int64).tolist(), len(plain)
 
 
-def likely(a: set[int], b: set[int]) -> bool:
-    """Whether two texts' least hashes let them be near duplicates."""
-    if max(len(a), len(b)) < LOW:
-        both = len(a & b)
-        return both >= EXACT * (len(a) + len(b) - both)
-    end = min(max(x) for x in (a, b) if len(x) == LOW)
-    a, b = {x for x in a if x <= end}, {x for x in b if x <= end}
-    both = len(a & b)
-    return both >= ESTIMATED * (len(a) + len(b) - both)
+def reaches(matched, a, b):
+    """Whether that many matched shingles make texts of a and b shingles near duplicates."""
+    return matched >= SIMILARITY * (a + b - matched)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """The larger of the share of common shingles and of the share that an alignment in the same order matches.
+    """The share of all shingles that an alignment in the same order matches: matched / (len(a) + len(b) - matched).
 
     The band holds every alignment of similarity SIMILARITY; pairs that cannot reach it by counts give 0.
     """
@@ -132,11 +123,10 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
         a, b = b, a
     x, y = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
     _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    common = len(i) / max(1, len(x[0]) + len(y[0]) - len(i))
-    both = int(np.minimum(x[1][i], y[1][j]).sum())
-    if both < SIMILARITY * (len(a) + len(b) - both):
-        return common if common >= SIMILARITY else 0.0
-    band = int(np.ceil((1 - SIMILARITY) * (len(a) + len(b))))
+    if not reaches(int(np.minimum(x[1][i], y[1][j]).sum()), len(a), len(b)):
+        return 0.0
+    # At most (1 - s) / (1 + s) of all shingles stay unmatched, and a match's places differ by no more than these.
+    band = int((1 - SIMILARITY) / (1 + SIMILARITY) * (len(a) + len(b))) + 1
     places: dict[int, int] = {}
     for k, s in enumerate(a.tolist()):
         places[s] = places.get(s, 0) | (1 << k)
@@ -149,7 +139,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
             u = row & m
             row = ((row + u) | (row - u)) & ones
     matched = len(a) - row.bit_count()
-    return max(common, matched / (len(a) + len(b) - matched))
+    return matched / (len(a) + len(b) - matched)
 
 
 def node_of(text: Column) -> Column:
@@ -157,15 +147,8 @@ def node_of(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
-def shared(a: str, b: str) -> Column:
-    """How many sketches two texts share."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are near duplicates. texts: node, text."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    """Of pairs (a, b), the links. The pairs of an `a` are dealt to tasks by HUB_PAIRS, each of which gets its text once."""
 
     def make():
         def function(batch):
@@ -178,190 +161,206 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return function
 
-    whole = pairs.join(two, "b").join(one, "a")
-    return cut(map_batches(whole, [("near", T.BooleanType())], make, ["a", "b"]).filter("near").select("a", "b"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts"))
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    two = pairs.join(parts, "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    two = two.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    return map_batches(two.join(one, ["a", "part"]), [("near", T.BooleanType())], make, ["a", "b"]).filter("near").select("a", "b")
+
+
+class Forest(dict):
+    """Components of what has been linked: from each member to another on the way to the root."""
+
+    def root(self, x):
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def link(self, a, b) -> None:
+        a, b = self.root(a), self.root(b)
+        self.setdefault(a, a), self.setdefault(b, b)
+        self[max(a, b)] = min(a, b)
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) that connect the same: each task's components as stars around their least node."""
+
+    def run(batches):
+        forest = Forest()
+
+        def out():
+            found = [(x, r) for x in forest if (r := forest.root(x)) != x]
+            forest.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in range(2)], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                forest.link(a, b)
+            if len(forest) > FOREST:
+                yield out()
+        if forest:
+            yield out()
+
+    return links.select("a", "b").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root: the least node that links lead to, by least neighbours and shortcuts until nothing changes."""
-    links = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    roots = cut(links.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    spark, folders, spent = links.sparkSession, [], []
+    links = staged(stars(links), folders, "links")
+    links = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).repartition("a"), folders, "links")
+    roots = staged(links.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), spent, "roots")
     while True:
         near = links.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         stepped = roots.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         over = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        found = cut(stepped.join(over, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")))
-        changed = found.filter("root <> was").limit(1).count()
-        roots = found.drop("was")
+        found = staged(stepped.join(over, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), folders, "roots")
+        changed = not found.filter("root <> was").isEmpty()
+        for folder in spent:
+            remove(spark, folder)
+        roots, spent = found.drop("was"), [folders.pop()]
+        del near, stepped, over, found
+        release(spark)
         if not changed:
-            return roots
-
-
-def block_pairs(members: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of a bucket's members of different roots that share SHARED sketches and AGREE values of their signatures.
-
-    nearest: of each text only the NEAREST pairs of the most shared values, taken from the best ones with the bucket's
-    largest component and with the others, so that there are at most so many times as many pairs as texts.
-    Otherwise a pair is given once, in the first of the buckets that it shares.
-    members: band, sketch, n, node, root, sketches, least and, for all pairs, low.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.array("own") if nearest else F.sequence(F.lit(0), blocks - 1))
-    rows = members.withColumn("own", own).withColumn("other", other)
-    rows = rows.select("band", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketches", "least", *["low"] * (not nearest))
-    rows = rows.repartition("band", "sketch", "i", "j").sortWithinPartitions("band", "sketch", "i", "j")
-
-    def pairs(group):
-        band, _, i, j = group[0][:4]
-        left = [r for r in group if r[4] == i]
-        right = [r for r in group if r[4] == j]
-        roots: dict[bytes, int] = {}
-        x, y = (np.array([roots.setdefault(r[6], len(roots)) for r in rs], int) for rs in (left, right))
-        if len(roots) < 2:
-            return
-        most = np.argmax(np.bincount(y, minlength=len(roots)))
-        sketches, least = np.array([r[7] for r in right]), np.array([np.frombuffer(r[8], np.uint16) for r in right]).reshape(-1, SKETCHES, KEEP)
-        lows: dict[bytes, set[int]] = {}
-
-        def low(r) -> set[int]:
-            if (out := lows.get(r[5])) is None:
-                out = lows[r[5]] = set(np.frombuffer(r[9], np.uint32).tolist())
+            out = cut(roots)
+            for folder in [*folders, *spent]:
+                remove(spark, folder)
             return out
 
-        for k, r in enumerate(left):
-            if nearest and x[k] == most:
-                continue
-            fit = np.flatnonzero(y != x[k])
-            same = sketches[fit] == np.array(r[7])
-            keep = same.sum(1) >= SHARED
-            if not nearest:
-                keep &= same.argmax(1) == band
-            fit = fit[keep]
-            own = np.frombuffer(r[8], np.uint16).reshape(SKETCHES, KEEP)
-            values = sum((least[fit] == np.roll(own, t, axis=1)).sum((1, 2)) for t in range(KEEP))
-            fit, values = fit[values >= AGREE], values[values >= AGREE]
-            if nearest:
-                for own in (y[fit] == most, y[fit] != most):
-                    if own.any():
-                        m = int(fit[own][values[own].argmax()])
-                        yield r[5], right[m][5], int(values[own].max())
-                continue
-            for m in fit.tolist():
-                a, b = r[5], right[m][5]
-                if (i != j or a < b) and likely(low(r), low(right[m])):
-                    yield min(a, b), max(a, b), 0
+
+def block_links(left: list[tuple], right: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+    """Links between texts (node, root, text) of two blocks, or in one if both are the same, that connect what was not connected."""
+    same = left is right
+    rows = left if same else left + right
+    names: dict[bytes, int] = {}
+    root = np.array([names.setdefault(r[1], len(names)) for r in rows], int)
+    if len(names) < 2:
+        return
+    texts = [shingles(r[2]) for r in rows]
+    n = np.array([len(t) for t in texts])
+    size = LEAST_COUNTS
+    while size < min(MOST_COUNTS, n.max(), COUNTS // len(rows)):
+        size *= 2
+    counts = np.stack([np.bincount((t & np.uint64(size - 1)).astype(int), minlength=size) for t in texts]).astype(np.int32)
+    first = 0 if same else len(left)
+    for k in range(len(left)):
+        other = np.arange(max(first, k + 1), len(rows))
+        other = other[(root[other] != root[k]) & reaches(np.minimum(n[other], n[k]), n[other], n[k])]
+        bound = np.concatenate([np.minimum(counts[other[i : i + BLOCK]], counts[k]).sum(1) for i in range(0, len(other), BLOCK)]) if len(other) else other
+        fit = reaches(bound, n[other], n[k])
+        for m in other[fit][np.argsort(-bound[fit], kind="stable")].tolist():
+            if root[m] != root[k] and similarity(texts[k], texts[m]) >= SIMILARITY:
+                root[root == root[m]] = root[k]
+                yield rows[k][0], rows[m][0]
+
+
+def open_links(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) within the buckets that hold more than one component; members: bucket, node, size."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = rooted.join(buckets.filter("low <> high").select("bucket", blocks.alias("blocks")), "bucket").join(texts, "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "text")
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
-        group: list = []
+        key, left, right = None, [], []
 
-        def out(found):
-            kinds = (pa.binary(), pa.binary(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], t) for k, t in enumerate(kinds)], ["a", "b", "values"])
+        def out():
+            found = list(block_links(left, left if key[1] == key[2] else right))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in range(2)], ["a", "b"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if group and row[:4] != group[0][:4]:
-                    if found := list(pairs(group)):
-                        yield out(found)
-                    group = []
-                group.append(row)
-        if group and (found := list(pairs(group))):
-            yield out(found)
-
-    found = rows.mapInArrow(run, "a binary, b binary, values int")
-    if nearest:
-        # A text has at most two candidates in each of its buckets.
-        top = F.slice(F.sort_array(F.collect_set(F.struct("values", "b")), asc=False), 1, NEAREST)
-        found = found.groupBy("a").agg(top.alias("top")).select("a", F.explode("top.b").alias("b"))
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.select("a", "b").distinct()
-
-
-def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members, with their roots, of the buckets that hold more than one component."""
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_buckets = rooted.groupBy("band", "sketch").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band", "sketch")
-    return rooted.join(open_buckets, ["band", "sketch"])
+                if key != row[:3]:
+                    if key is not None:
+                        yield out()
+                    key, left, right = row[:3], [], []
+                (left if row[3] == row[1] else right).append(row[4:])
+        if key is not None:
+            yield out()
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root of all texts that are linked to another. nodes: node, id, size, sketches."""
+    spark, folders = docs.sparkSession, []
+    exploded = nodes.select("node", "size", F.explode("sketches").alias("bucket"))
+    buckets = exploded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = staged(exploded.join(buckets, "bucket"), folders, "members")
+    del exploded, buckets
+    release(spark)
+
+    central = members.groupBy("node").agg(F.sum("n").alias("central"))
+    tops = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", "node")).alias("top"))
+    pairs = members.join(tops.select("bucket", F.col("top.node").alias("a")), "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    pairs = staged(pairs, folders, "pairs")
+    del central, tops
+    release(spark)
+
+    own = docs.select(node_of(F.col("text")).alias("node"), "text")
+    needed = members.select("node").distinct()
+    own = may_have(own, F.col("node"), F.col("node"), needed).filter("may").select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+    texts = staged(own.join(needed, "node", "left_semi"), folders, "texts")
+    del own, needed
+    release(spark)
+
+    links = staged(verified(pairs, texts), folders, "links")
+    release(spark)
+    roots = components(links)
+    release(spark)
+    more = staged(open_links(members.drop("n"), roots, texts), folders, "links")
+    release(spark)
+    found = components(links.unionByName(more)) if not more.isEmpty() else roots
+    for folder in folders:
+        remove(spark, folder)
+    return found
 
 
 def rows_of_classes(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """id, node, class_id, class_size, kept for each row of df."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bound_batches(spark)
     docs = df.select(F.col(f"`{id_column}`").alias("id"), text_of(text).alias("text"))
 
     def make():
         def function(batch):
             found = [sketch(t) for t in strings(batch, "text")]
-            return [[x[k] for x in found] for k in range(3)]
+            return [[x[k] for x in found] for k in range(2)]
 
         return function
 
-    arrays = [("sketches", T.ArrayType(T.LongType())), ("least", T.BinaryType()), ("low", T.BinaryType())]
-    folder = work_dir(spark, "sketches")
-    nodes = docs.withColumn("node", node_of(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
-    map_batches(nodes, arrays, make, ["id", "node", "row"]).write.parquet(folder)
-    rows = spark.read.parquet(folder)
+    folders: list[str] = []
+    own = docs.withColumn("node", node_of(F.col("text"))).withColumn("row", F.monotonically_increasing_id())
+    rows = staged(map_batches(own, [("sketches", T.ArrayType(T.LongType())), ("size", T.LongType())], make, ["id", "node", "row"]), folders, "sketches")
     # Equal texts are one node; its row of least id stands for it.
-    groups = cut(rows.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")))
-    firsts = rows.join(groups.select("node", F.col("first.row").alias("row")), ["node", "row"]).select("node", "row", "sketches", "least")
-    firsts = cut(firsts)
-    members = firsts.select("node", F.posexplode("sketches").alias("band", "sketch"))
-    buckets = members.groupBy("band", "sketch").agg(F.count("*").alias("n")).filter("n > 1")
-    members_at, texts_at = work_dir(spark, "members"), work_dir(spark, "texts")
-    members.join(buckets, ["band", "sketch"]).write.parquet(members_at)
-    members = spark.read.parquet(members_at)
-
-    central = members.groupBy("node").agg(F.sum("n").alias("central"))
-    tops = members.join(central, "node").groupBy("band", "sketch").agg(F.max(F.struct("central", "node")).alias("top"))
-    star = members.join(tops.select("band", "sketch", F.col("top.node").alias("hub")), ["band", "sketch"]).filter("node <> hub")
-    star = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    whole = firsts.select("node", "sketches")
-    star = star.join(whole.withColumnsRenamed({"node": "a", "sketches": "of_a"}), "a").join(whole.withColumnsRenamed({"node": "b", "sketches": "of_b"}), "b")
-    tried = cut(star.filter(shared("of_a", "of_b") >= SHARED).select("a", "b"))
-
-    needed = members.select("node").distinct().join(groups, "node").select("node", F.col("first.id").alias("id"))
-    own = docs.withColumn("node", node_of(F.col("text")))
-    # The id spreads a text's copies over the tasks; copies under one id are told apart afterwards.
-    own.join(needed, (own["node"] == needed["node"]) & own["id"].eqNullSafe(needed["id"]), "left_semi").dropDuplicates(["node"]).select("node", "text").write.parquet(texts_at)
-    texts = spark.read.parquet(texts_at)
-
+    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n"), F.first("sketches").alias("sketches"), F.first("size").alias("size"))
+    nodes = staged(nodes, folders, "nodes")
     release(spark)
-    links = verified(tried, texts)
-    roots = components(links)
-    release(spark)
-    signed = ["band", "sketch", "n", "node", "root", "sketches", "least"]
-    nearest = True
-    while True:  # rounds of nearest pairs as long as they connect anything, and one of all that are left
-        signs = firsts if nearest else rows.drop("id").join(firsts.select("node", "row"), ["node", "row"], "left_semi")
-        open_rows = open_members(members, roots).join(signs, "node").select(*signed, *["low"] * (not nearest))
-        more = cut(block_pairs(open_rows, nearest).join(tried, ["a", "b"], "left_anti"))
-        found = verified(more, texts)
-        connected = not found.isEmpty()
-        if connected:
-            links = cut(links.unionByName(found))
-            roots = components(links)
-        release(spark)
-        if not nearest:
-            break
-        tried, nearest = cut(tried.unionByName(more)), connected
-
-    found = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = linked(docs.select("text"), nodes.select("node", "size", "sketches"))
+    found = nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = found.groupBy("root").agg(F.min("first").alias("class"), F.sum("n").alias("class_size"))
     found = found.join(whole, "root").select("node", "n", "class", "class_size")
-    joined = join_groups(rows.select("node", "id", "row"), found, "node", "n")
-    for folder in (members_at, texts_at):
+    out = cut(
+        join_groups(rows.select("node", "id", "row"), found, "node", "n").select(
+            "id", "node", F.col("class.id").alias("class_id"), "class_size", (F.col("row") == F.col("class.row")).alias("kept")
+        )
+    )
+    del found, whole
+    for folder in folders:
         remove(spark, folder)
-    return joined.select("id", "node", F.col("class.id").alias("class_id"), "class_size", (F.col("row") == F.col("class.row")).alias("kept"))
+    release(spark)
+    return out
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: the id, class_id, class_size, kept.
 
-    Texts are linked when the similarity of their runs of WORDS words is at least SIMILARITY; a class is what
-    links and equal texts connect. class_id is its least id (null is the least), class_size its number of
-    rows, and the row that is kept is that of class_id; of rows with the same id and text, one. Null counts as
+    Texts are linked when an alignment of their runs of WORDS words matches at least SIMILARITY of them; a class
+    is what links and equal texts connect. class_id is its least id (null is the least), class_size its number
+    of rows, and the row that is kept is that of class_id; of rows with the same id and text, one. Null counts as
     empty; texts without words are linked to equal ones only. An empty table gives an empty result. Other
     columns are not read.
     """
