@@ -74,7 +74,8 @@ def plan(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: s
 
     A source's taken words are its target, rounded: full passes and then the first words of one more, whose
     last document is taken in part. None is taken more than PASSES times. The order of a source's documents
-    is that of the md5 of their ids; of equal ids, by size. Null ids and sources are values of their own;
+    is that of the md5 of their ids (of a null id, of its text's md5); of equal ids, by size, the text's md5 and the
+    kept columns, so that rows which tie in all of these are the same. Null ids and sources are values of their own;
     null and empty texts have size 0, are never taken and have no positions. An empty table gives an empty
     result. Kept columns named like a new one are replaced. Reruns agree.
 
@@ -83,11 +84,14 @@ def plan(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: s
     """
     new = ("size", "source_size", "target", "taken", "positions")
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
+    content, types = F.md5(text_of(text).cast("binary")), dict(df.dtypes)
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
         F.col(f"`{source}`").alias("source"),
         F.regexp_count(text_of(text), F.lit(NO_SPACE)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).cast("binary")).alias("order"),
+        F.md5(F.coalesce(F.col(f"`{id_column}`").cast("string"), content).cast("binary")).alias("order"),
+        content.alias("tie"),
+        F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c in kept if "map<" not in types[c] and "variant" not in types[c]]).alias("last"),
     )
     # Sums for the finest parts that a digit of the order allows tell how many parts are needed.
     sums = cut(rows.groupBy("source", F.substring("order", 1, 4).alias("part")).agg(F.sum("size").alias("size"), F.count("*").alias("n")))
@@ -102,7 +106,7 @@ def plan(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: s
     if parts.count() <= BROADCAST_PARTS:
         parts = F.broadcast(parts)
     rows = rows.withColumn("part", F.substring("order", 1, digits))
-    within = Window.partitionBy("source", "part").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "part").orderBy("order", "size", "tie", "last").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.alias("r").join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part")))
     due = F.round("target").cast("long")
@@ -120,7 +124,7 @@ def plan(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: s
         "target",
         (passes * F.col("size") + partly).cast("long").alias("taken"),
         F.when(F.col("size") > 0, shares).otherwise(F.array().cast("array<double>")).alias("positions"),
-        F.col("order").alias("_order"),
+        F.struct("order", "size", "tie", "last").alias("_order"),
     )
 
 

@@ -87,7 +87,7 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op9_mixture"] = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+         md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS o FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 ranked AS (
   SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (3 * source_size)::DOUBLE AS most FROM sizes),
