@@ -1,6 +1,8 @@
 import collections
+import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -121,6 +123,30 @@ def test_quality_gradients():
         assert g[k][i] == pytest.approx((up - down) / (2 * step), abs=1e-6)
 
 
+def test_quality_against_a_plain_forward_pass(spark):
+    """Scores of whole texts, passage by passage, from the model that the query's function learns."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    out = remainder("doc_id", 4) == 2
+    model = quality_mil.fit(docs, labels.filter(~out), "doc_id", "text", "quality")
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality_mil.classify(docs, labels, out).collect()[:40]:
+        raw, encoded, weights = texts[r.doc_id].encode(), [], []
+        n = max(1, len(raw) // 512)
+        for i in range(n):
+            x = np.zeros(512)
+            for j in range(i * 512, (i + 1) * 512 if i < n - 1 else len(raw)):
+                x[raw[j]] += 1
+                if j:
+                    x[256 + ((raw[j - 1] * 2654435761 + raw[j] * 40503) >> 7) % 256] += 1
+            x = np.sqrt(np.concatenate([x[:256] / max(1, x[:256].sum()), x[256:] / max(1, x[256:].sum())]))
+            h = np.tanh(x @ w["E"] + w["e"])
+            encoded.append(h)
+            weights.append(math.exp(float((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"])))
+        z = sum(h * a for h, a in zip(encoded, weights, strict=True)) / sum(weights)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-float(z @ w["c"] + w["b"][0]))), abs=1e-4)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "q"), (2, "", "q"), (None, "text " * 40000, "q"), (3, "a", "q"), (3, "a", "q")], "doc_id bigint, text string, score string")
     kind = "doc_id bigint, quality int"
@@ -150,6 +176,7 @@ def test_secrets_against_brute_force(spark):
         want = brute_spans(docs[r.doc_id])
         hits += len(want)
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in want) for k in range(3)]
+        assert r.base_sha256 == hashlib.sha256(secret_scan.joined(want).encode()).hexdigest()
         assert set(secret_scan.joined(want).split(",")) <= set(r.spans.split(","))
     assert hits > 10
 
@@ -165,6 +192,69 @@ def test_secret_kinds():
     assert secret_scan.novel_spans(repeated, []) == []
 
 
+PLANTED = [
+    ("authorization header Xk9mQz4LwP7vRt2NbYh5Jd8S sent", ["Xk9mQz4LwP7vRt2NbYh5Jd8S"]),
+    ("Bearer  eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9xQ7 and so on", ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9xQ7"]),
+    ("the credential is 9F86D081884C7D659A2FEAA0C55AD015 for now", ["9F86D081884C7D659A2FEAA0C55AD015"]),
+    ("token Xk9mQz4LwP7vRtsecretNbYh5Jd8SqW3eR6tY9uI1oP", ["NbYh5Jd8SqW3eR6tY9uI1oP"]),  # a sensitive word inside
+    ("secret ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", []),  # the identifiers explain it
+    ("no such word Xk9mQz4LwP7vRt2NbYh5Jd8S here", []),
+    ("token Xk9mQz4LwP7vRt2NbYh5Jd8S again Xk9mQz4LwP7vRt2NbYh5Jd8S", []),  # the text around explains it
+    ("token = Xk9mQz4LwP7vRt2NbYh5Jd8S", []),  # a base span already
+    ("token " + "x" * 60 + " Xk9mQz4LwP7vRt2NbYh5Jd8S", []),  # too far away
+]
+
+
+def brute_novel(text):
+    """All substrings that are whole runs, or what follows the last sensitive word inside; measured one by one."""
+    out, base = [], brute_spans(text)
+    ends = [e for e in range(len(text) + 1) for w in SENSITIVE if text[:e].lower().endswith(w)]
+    letter = lambda i: 0 <= i < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[i])
+    for s in range(len(text)):
+        if letter(s) and not letter(s - 1):
+            e = s
+            while letter(e):
+                e += 1
+            before = [w for w in ends if s - secret_scan.REACH <= w <= e - 16]
+            if e - s < 16 or not before:
+                continue
+            at = max(s, *before, -1)
+            value = text[at:e]
+            if any(x < e and y > at for x, _, y in base) or sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", r"\d")) < 2:
+                continue
+            around = text[max(0, at - secret_scan.AROUND) : at] + text[e : e + secret_scan.AROUND]
+            if len(value) >= 64:
+                n = collections.Counter(value)
+                bits = -sum(x / len(value) * math.log2(x / len(value)) for x in n.values())
+            else:
+                bits = 8
+            if secret_scan.added_bytes(value, around) >= 0.8 * len(value) * bits / 8:
+                out.append((at, 3, e))
+    return out
+
+
+SENSITIVE = ["passw", "secret", "token", "apikey", "api_key", "api-key", "credential", "bearer", "authorization", "signature"] + [f"{a}{b}key" for a in ("private", "access") for b in ("", "_", "-")]
+
+
+def test_novelty_decides(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(PLANTED)] + [(100, " . ".join(t for t, _ in PLANTED)), (101, "secret " * 30 + "Xk9mQz4LwP7vRt2NbYh5Jd8S")]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for i, t in rows:
+        base = brute_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(secret_scan.joined(base).encode()).hexdigest()
+        assert got[i].spans == secret_scan.joined(sorted(base + brute_novel(t))), t
+    for i, (t, want) in enumerate(PLANTED):
+        assert [t[s:e] for s, k, e in brute_novel(t)] == want, t
+    assert sum("novel" in r.spans for r in got.values()) >= 4
+
+
+def test_secrets_in_linear_time():
+    began = time.process_time()
+    secret_scan.novel_spans("secret token " * 400_000 + "Xk9mQz4LwP7vRt2NbYh5Jd8S", [])
+    secret_scan.novel_spans("token" * 1_000_000, [])
+    assert time.process_time() - began < 10
+
+
 def test_secret_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (None, "token = " * 20000, 0), (3, "secret " * 20000 + "a" * 100000, 0), (4, "é token = abcdefgh", 0), (4, "é token = abcdefgh", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, spans int")

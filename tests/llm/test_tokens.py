@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -6,6 +7,7 @@ from tokenizers import Tokenizer
 
 from urkunde.llm import bpe_codec, token_counts
 from urkunde.llm.bpe import MARK, Transducer, letters
+from urkunde.llm.queries import QUERIES
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PARTS = [
@@ -52,7 +54,8 @@ def test_codec_against_library(codec):
     for t in texts(3000, 15, 2):
         ids = library.encode(t, add_special_tokens=False).ids
         assert codec.encode(t) == ids
-        assert codec.both(t)[1] == codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert "".join(codec.named.feed([i]) for i in ids) + codec.named.end() == codec.decode(ids)
 
 
 def test_transducer_is_bounded(codec):
@@ -67,7 +70,8 @@ def test_transducer_is_bounded(codec):
             most = max(most, len(machine.word))
         out += machine.feed(letters(word)[-1] + MARK) + machine.end()
         assert [codec.merges.ids[x] for x in out] == library.encode(word, add_special_tokens=False).ids
-        assert most <= 6 * machine.lookahead
+        assert most <= 3 * machine.lookahead
+        assert machine.encode(letters(word) + MARK) == out
 
 
 def test_text_round_trip(codec):
@@ -75,6 +79,31 @@ def test_text_round_trip(codec):
         assert codec.decode_text(codec.encode(t)) == t
 
 
+def test_every_word_goes_through_the_transducer(monkeypatch):
+    own = bpe_codec.Codec(WORD)
+    fed = []
+    feed = Transducer.feed
+    monkeypatch.setattr(Transducer, "feed", lambda self, x: fed.append(x) or feed(self, x))
+    text = "Some words recur , some words do not 42 " + "x" * 500
+    own.encode(text)
+    assert "".join(fed) == "".join(letters(w) + MARK for w in ["some", "words", "recur", ",", "do", "not", "4", "2", "x" * 500])
+
+
+def test_queries_against_library(spark):
+    """All columns of op1 and op6, through the queries."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    one, six = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    for r in QUERIES["op1_token_counts"](spark, "/root/testdata/sf0.001").collect():
+        n = len(one.encode(docs[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 1024)
+        counts = token_counts.prefix_counts(r.prefix_table)
+        assert len(counts) == len(docs[r.doc_id]) + 1 and counts[-1] == n
+    for r in QUERIES["op6_bpe_codec"](spark, "/root/testdata/sf0.001").collect():
+        ids = six.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(six.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 ROWS = [(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "The cat " * 20000, None), (4, "a<|endoftext|>b", "y")]
 
 
@@ -85,7 +114,7 @@ def test_frames(spark):
     counted = token_counts.token_counts(df, BYTE, limit=10, with_table=True)
     assert sorted((r.doc_id or 0, r.n_tokens) for r in counted.collect()) == want(BYTE)
     long = [r for r in counted.collect() if r.doc_id is None][0]
-    assert long.over_limit and long.n_bytes == 160000 and len(long.prefix_table) == 160000
+    assert long.over_limit and long.n_bytes == 160000 and len(long.prefix_table) == 2 * 160000
     assert len(library[BYTE].encode(ROWS[3][1][: long.keep_chars]).ids) <= 10
     encoded = bpe_codec.encode(df, WORD, digests=True)
     assert sorted((r.doc_id or 0, r.n_tokens) for r in encoded.collect()) == want(WORD)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from math import log2
 
@@ -32,6 +32,7 @@ CONTEXT = re.compile(r"(?ai:passw|secret|token|api[_-]?key|credential|bearer|aut
 REACH = 48
 LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # of at least LEAST characters
+LOWER, UPPER, DIGIT = re.compile(r"[a-z]").search, re.compile(r"[A-Z]").search, re.compile(r"\d").search
 #: Code points of text on each side that prime the dictionary.
 AROUND = 512
 #: Share of its own bytes that a candidate must add.
@@ -82,17 +83,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates after a sensitive word that no base span touches, mix kinds of characters and do not compress."""
+    """Candidates after a sensitive word that no base span touches, mix kinds of characters and do not compress.
+
+    A candidate is a whole run of its characters, or what of it follows the last sensitive word inside; so candidates
+    do not overlap, and the text is gone through once.
+    """
     low = text.lower()
     if not any(x in low for x in LIKELY):
         return []
-    found: set[tuple[int, int]] = set()
-    for word in CONTEXT.finditer(text):
-        at, stop = word.end(), word.end() + REACH
-        while m := CANDIDATE.search(text, at, stop + LEAST):
-            whole = CANDIDATE.match(text, m.start())
-            found.add(whole.span())
-            at = whole.end()
+    words = [m.end() for m in CONTEXT.finditer(text)]
     taken: list[list[int]] = []
     for start, _, end in base:
         if taken and start < taken[-1][1]:
@@ -100,12 +99,17 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         else:
             taken.append([start, end])
     out = []
-    for start, end in sorted(found):
+    for run in CANDIDATE.finditer(text):
+        start, end = run.span()
+        i = bisect_right(words, end - LEAST)
+        if not i or words[i - 1] < start - REACH:
+            continue
+        start = max(start, words[i - 1])  # what follows the last sensitive word, if one is inside
         i = bisect_left(taken, [end]) - 1
         if i >= 0 and taken[i][1] > start:
             continue
         value = text[start:end]
-        kinds = bool(re.search(r"[a-z]", value)) + bool(re.search(r"[A-Z]", value)) + bool(re.search(r"\d", value))
+        kinds = bool(LOWER(value)) + bool(UPPER(value)) + bool(DIGIT(value))
         if kinds >= 2 and is_novel(value, text[max(0, start - AROUND) : start] + text[end : end + AROUND]):
             out.append((start, 3, end))
     return out
@@ -119,7 +123,11 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     """Adds n_assign, n_access, n_hex, base_sha256 (of the base spans, kind:start:end by start and kind, joined by
     commas, code points, end exclusive) and spans (all spans, joined likewise).
 
-    Matches of one kind do not overlap, those of different kinds may. Null and empty texts have no spans and
+    Matches of one kind do not overlap, those of different kinds may. Beside the three base kinds, `novel` are runs of
+    at least LEAST letters, digits and +/_=- that start at most REACH characters after a sensitive word, hold two of
+    lower case, upper case and digits, are touched by no base span, and add at least NOVELTY of their own bytes (of
+    what their alphabet allows, from CODED on) to a zstandard frame primed with identifiers and the AROUND characters
+    on each side. Null and empty texts have no spans and
     the digest of the empty string. Rows are neither moved nor merged, so repeated rows need no rule and an
     empty table stays empty. A column that has a new column's name is replaced.
     """
