@@ -25,8 +25,9 @@ FEATURES = BYTES + PAIRS
 HIDDEN, GATE = 32, 16
 #: Labelled documents of either label that training sees at most, those of the least md5 of their id.
 SAMPLE = 1500
-#: Passages that training sees at most of all the sample's documents, taken evenly over each.
-SAMPLE_PASSAGES = 40_000
+#: Passages that the sampled documents of either label have at most together. Documents are taken whole, in that order; one
+#: that does not fit any more is left out.
+SAMPLE_PASSAGES = 20_000
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.003, 1e-4
 #: Bytes that are encoded at once.
 BLOCK = 1 << 20
@@ -132,17 +133,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: st
     sample = [r for k in (0, 1) for r in votes.filter(F.col("y") == k).orderBy(order, "id").limit(SAMPLE).collect()]
     if len({r.y for r in sample}) < 2:
         return float(sample[0].y) if sample else 0.5
-    chosen = docs.sparkSession.createDataFrame(sample, votes.schema)
-    most = max(1, SAMPLE_PASSAGES // len(sample))
+
+    def rows_of(rows: list) -> DataFrame:
+        chosen = docs.sparkSession.createDataFrame(rows, votes.schema)
+        return docs.select(name.alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+
+    sizes = rows_of(sample).groupBy("id").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n")).collect()
+    of = {r.id: max(1, r.n // PASSAGE) for r in sizes}
+    room, taken = [SAMPLE_PASSAGES] * 2, []
+    for r in sample:
+        if r.id in of and of[r.id] <= room[r.y]:
+            room[r.y] -= of[r.id]
+            taken.append(r)
+    if len({r.y for r in taken}) < 2:
+        return float(taken[0].y) if taken else 0.5
 
     def encode(batches):
         for batch in batches:
-            rows = [count([t])[0] for t in strings(batch, "text")]
-            rows = [c if len(c) <= most else c[np.linspace(0, len(c) - 1, most).astype(int)] for c in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([c.astype(np.uint16).tobytes() for c in rows])], ["id", "y", "bag"])
+            bags = [count([t])[0].astype(np.uint16).tobytes() for t in strings(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(bags, pa.binary())], ["id", "y", "bag"])
 
-    chosen = docs.select(name.alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    found = chosen.mapInArrow(encode, f"id {dict(docs.dtypes)[id_column]}, y int, bag binary")
+    found = rows_of(taken).mapInArrow(encode, f"id {dict(docs.dtypes)[id_column]}, y int, bag binary")
     # A repeated id gives one bag.
     bags = sorted(found.groupBy("id").agg(F.max(F.struct("bag", "y")).alias("x")).select("id", "x.*").collect(), key=lambda r: str(r.id))
     y = np.array([r.y for r in bags])
@@ -160,7 +171,8 @@ def classify(
     once the mean label counts. Null and empty texts are one empty passage. With a single label in the
     training rows, or none, every score is that label or 0.5. Repeated rows are scored alike; an empty table
     stays empty; a kept column named like a new one is replaced. Training sees at most SAMPLE documents of
-    either label and about SAMPLE_PASSAGES passages; scoring sees every passage of every row.
+    either label with at most SAMPLE_PASSAGES passages together, and all passages of these; scoring sees every
+    passage of every row.
     """
     model = fit(docs, labels.filter(~F.coalesce(held_out, F.lit(False))), id_column, text, label)
     shared = docs.sparkSession.sparkContext.broadcast(model)
