@@ -111,7 +111,7 @@ class Merges:
 
 
 class Transducer:
-    """Encodes a word letter by letter and gives out each token once no later letter can change it.
+    """Takes a word's letters and gives out each token once no later letter can change it.
 
     The encoding of any longer prefix ends with one token of at most `lookahead` letters, so it goes on
     from the encoding of one of the last `lookahead` prefixes. A token that all of those share is stable.
@@ -129,29 +129,41 @@ class Transducer:
         self.last: list[str] = [""]  # last token of the prefix that ends at base + i
         self.out = 0  # where the next token to be given out starts
 
-    def feed(self, symbol: str) -> list[str]:
-        """Takes the next symbol (a letter, with MARK if it ends a word); gives the tokens that are now stable."""
-        m = self.merges
-        self.word += symbol
-        n = len(self.word)
-        for _ in symbol[1:]:
-            self.last.append("")
-        for start in range(n - len(symbol), -1, -1):
-            token = self.word[start:]
-            if token not in m.tails:
-                self.last.append("")
-                break
-            if token in m.ids and (self.base + start == 0 or self.last[start] and m.compatible(self.last[start], token)):
-                self.last.append(token)
-                break
-        else:
-            self.last.append("")
-        return self.settle() if n >= 4 * self.lookahead else []
+    def feed(self, symbols: str) -> list[str]:
+        """Takes the next letters (with MARK after the one that ends a word); gives the tokens that are now stable."""
+        last, word, first = self.last, self.word + symbols, not self.base
+        tail, known, compatible = self.merges.tails.get, self.merges.known.get, self.merges.compatible
+        n = len(word)
+        marked = symbols[-1:] == MARK
+        for end in range(len(self.word) + 1, n + 1):
+            found, start = "", end
+            if marked and end >= n - 1:
+                if end < n:  # no symbol ends between a letter and its mark
+                    last.append(found)
+                    continue
+                start -= 1
+            while start:
+                start -= 1
+                token = word[start:end]
+                if not (whole := tail(token)):
+                    if whole is None:
+                        break
+                elif not start and first:
+                    found = token
+                elif before := last[start]:
+                    if (apart := known((before, token))) is None:
+                        apart = compatible(before, token)
+                    if apart:
+                        found = token
+                        break
+            last.append(found)
+        self.word = word
+        return self.settle() if n >= 2 * self.lookahead else []
 
     def chain(self, end: int) -> list[int]:
         """Where the tokens of the prefix up to `end` start, back to the first that is not given out."""
-        starts = []
-        while end > self.out - self.base:
+        starts, stop = [], self.out - self.base
+        while end > stop:
             end -= len(self.last[end])
             starts.append(end)
         return starts[::-1]
@@ -162,7 +174,7 @@ class Transducer:
         shared = set(ways[0]).intersection(*ways[1:])
         stop = max(shared)
         tokens = self.tokens(ways[0], stop)
-        drop = max(0, min(stop, n - 2 * self.lookahead))
+        drop = max(0, min(stop, n - self.lookahead))
         self.out = self.base + stop
         self.word, self.last, self.base = self.word[drop:], self.last[drop:], self.base + drop
         return tokens
@@ -178,10 +190,14 @@ class Transducer:
         return out
 
     def encode(self, word: str) -> list[str]:
+        """All tokens of a word in letters, fed in pieces of the lookahead."""
+        step = self.lookahead
+        if len(word) <= step:
+            return self.feed(word) + self.end()
         out: list[str] = []
-        body = word[:-2] if word.endswith(MARK) else word
-        for x in body:
-            out += self.feed(x)
-        if len(body) < len(word):
-            out += self.feed(word[-2:])
+        at = 0
+        while at < len(word):
+            stop = at + step if at + step + 1 < len(word) else len(word)  # the mark stays with its letter
+            out += self.feed(word[at:stop])
+            at = stop
         return out + self.end()

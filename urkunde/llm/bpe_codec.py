@@ -2,7 +2,7 @@
 
 A text is normalised and cut into words as the vocabulary file says. Each word goes through the transducer
 of bpe.py, which gives out a token as soon as no later letter can change it. Words recur, so a bounded memo
-keeps their ids.
+keeps their ids. Decoding runs the ids through a machine that holds back only an unfinished code point.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import codecs
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from .common import map_batches, strings
 WORDS = 250_000
 #: Longer words are not kept.
 WORD_LENGTH = 64
+#: Ids that are decoded at once.
+FED = 1 << 16
 # Fixed value: the pattern by which vocabularies of this kind find words in a normalised text.
 WORD = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Up to here, lower() and split() do what the library does; beyond, its own normaliser is asked.
@@ -34,49 +36,55 @@ LATIN = "ɏ"
 
 
 class ByteText:
-    """Incremental machine from tokens to text: holds back at most the bytes of one unfinished code point."""
+    """Incremental machine from ids to text: holds back at most the bytes of one unfinished code point."""
 
-    def __init__(self, names: dict[int, str], suffix: str = ""):
-        self.names, self.suffix = names, suffix
-        self.bytes = {c: b for b, c in LETTERS.items()}
+    def __init__(self, pieces: dict[int, bytes], between: bytes = b""):
+        self.get, self.between = pieces.get, between
         self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        self.begun = False
 
-    def feed(self, token: int) -> str:
-        name, space = self.names[token], ""
-        if self.suffix and name.endswith(self.suffix):
-            name, space = name[: -len(self.suffix)], " "
-        return self.decoder.decode(bytes(self.bytes[c] for c in name)) + space
+    def feed(self, ids: Iterable[int]) -> str:
+        """The text that the next ids complete; ids without a token are passed over."""
+        found = [x for x in map(self.get, ids) if x is not None]
+        whole = self.between.join(found)
+        if self.begun and found:
+            whole = self.between + whole
+        self.begun |= bool(found)
+        return self.decoder.decode(whole)
 
     def end(self) -> str:
-        return self.decoder.decode(b"", final=True)
-
-    def text(self, ids: Iterable[int]) -> str:
+        out = self.decoder.decode(b"", final=True)
         self.decoder.reset()
-        return "".join([*map(self.feed, ids), self.end()])
+        self.begun = False
+        return out
+
+    def text(self, ids: Sequence[int]) -> Iterator[str]:
+        """The text of all ids, piece by piece."""
+        for i in range(0, len(ids), FED):
+            yield self.feed(ids[i : i + FED])
+        yield self.end()
 
 
 class Pieces(dict):
-    """From what stands between spaces to its ids (unsigned, 32 bits) and its tokens' names joined by a space."""
+    """From what stands between spaces to its ids (unsigned, 32 bits)."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
         self.find = regex.compile(WORD).findall
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[bytes, str]:
-        found = [self.word(w) for w in (self.find(piece) if piece.isascii() or max(piece) <= LATIN else self.codec.cut(piece))]
-        out = found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), " ".join([x[1] for x in found]))
+    def __missing__(self, piece: str) -> bytes:
+        out = b"".join([self.word(w) for w in (self.find(piece) if piece.isascii() or max(piece) <= LATIN else self.codec.cut(piece))])
         if len(piece) <= WORD_LENGTH:
             if len(self) >= WORDS:
                 self.clear()
             self[piece] = out
         return out
 
-    def word(self, word: str) -> tuple[bytes, str]:
+    def word(self, word: str) -> bytes:
         if (out := self.words.get(word)) is None:
-            ids = list(self.codec.encode_word(word))
-            out = (array("I", ids).tobytes(), " ".join([self.codec.merges.names[i] for i in ids]))
+            out = array("I", self.codec.encode_word(word)).tobytes()
             if len(word) <= WORD_LENGTH:
                 if len(self.words) >= WORDS:
                     self.words.clear()
@@ -93,53 +101,51 @@ class Codec:
         self.normalise = library.normalizer.normalize_str
         self.in_letters = library.pre_tokenizer.pre_tokenize_str
         self.byte_of = {c: b for b, c in LETTERS.items()}
+        names, suffix = self.merges.names, self.merges.suffix
+        self.named = ByteText({i: t.encode("utf-8") for i, t in names.items()}, b" ")
+        self.plain = ByteText({i: self.bytes_of(t, suffix) for i, t in names.items()})
         self.odd_space = re.compile("[\x1c-\x1f]").search
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")").split
         self.pieces = Pieces(self)
 
+    def bytes_of(self, name: str, suffix: str) -> bytes:
+        ends = bool(suffix) and name.endswith(suffix)
+        return bytes(self.byte_of[c] for c in (name[: -len(suffix)] if ends else name)) + b" " * ends
+
     def cut(self, piece: str) -> list[str]:
         """The words of a piece in whose letters two versions of Unicode may differ, as the library cuts them."""
         return [bytes(self.byte_of[c] for c in w).decode("utf-8") for w, _ in self.in_letters(piece)]
 
-    def encode_word(self, word: str) -> Iterator[int]:
+    def encode_word(self, word: str) -> list[int]:
         """Ids of one word of a normalised text."""
-        m, text = self.merges, letters(word) + MARK
-        if len(text) > 4 * m.longest:
-            yield from (m.ids[t] for t in self.transducer.encode(text))
-            return
-        last, _ = m.last_tokens(text)  # all of it fits in the window: nothing needs to go out before its end
-        end, out = len(text), []
-        while end:
-            out.append(m.ids[last[end]])
-            end -= len(last[end])
-        yield from reversed(out)
-
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """Ids and names of a text without special strings."""
+        ids = self.merges.ids
+        return [ids[t] for t in self.transducer.encode(letters(word) + MARK)]
+
+    def parts(self, text: str) -> list[bytes]:
+        """Ids of a text without special strings."""
         if not text.isascii() and max(text) > LATIN or self.odd_space(text):
             return [self.pieces[p] for p in self.normalise(text).split(" ") if p]
         return list(map(self.pieces.__getitem__, text.lower().split()))
 
-    def both(self, text: str) -> tuple[bytes, str]:
-        """Ids (little-endian, unsigned, 32 bits) and the tokens' names joined by a space."""
+    def packed(self, text: str) -> bytes:
+        """Ids, little-endian, unsigned, of 32 bits."""
         if "<|" in text and len(segments := self.split(text)) > 1:
-            found = []
+            found: list[bytes] = []
             for i, x in enumerate(segments):
-                found += [(array("I", [self.merges.special[x]]).tobytes(), x)] if i % 2 else self.parts(x)
-        else:
-            found = self.parts(text)
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+                found += [array("I", [self.merges.special[x]]).tobytes()] if i % 2 else self.parts(x)
+            return b"".join(found)
+        return b"".join(self.parts(text))
 
     def encode(self, text: str) -> list[int]:
-        return array("I", self.both(text)[0]).tolist()
+        return array("I", self.packed(text)).tolist()
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """As the library without a decoder: the tokens' names, joined by a space."""
-        return " ".join([self.merges.names[i] for i in ids])
+        return "".join(self.named.text(ids))
 
-    def decode_text(self, ids: Iterable[int]) -> str:
+    def decode_text(self, ids: Sequence[int]) -> str:
         """The bytes behind the tokens as text, a space after each word."""
-        return ByteText(self.merges.names, self.merges.suffix).text(ids)
+        return "".join(self.plain.text(ids))
 
 
 _codecs: dict[str, Codec] = {}
@@ -171,13 +177,16 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None
             every: list[bytes] = []
             hashes: list[list[str]] = [[], []]
             for t in strings(batch, text):
-                ids, names = c.both(t)
+                ids = c.packed(t)
                 n.append(len(ids) // 4)
                 if with_ids:
                     every.append(ids)
                 if digests:
                     hashes[0].append(hashlib.sha256(ids).hexdigest())
-                    hashes[1].append(hashlib.sha256(names.encode("utf-8", "surrogatepass")).hexdigest())
+                    decoded = hashlib.sha256()
+                    for x in c.named.text(array("I", ids)):
+                        decoded.update(x.encode("utf-8"))
+                    hashes[1].append(decoded.hexdigest())
             whole = [n]
             if with_ids:
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))

@@ -25,7 +25,7 @@ def query(function):
 @query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024, keep=["doc_id"])
+    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024, keep=["doc_id"], with_table=True)
 
 
 @query

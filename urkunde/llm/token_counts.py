@@ -1,13 +1,15 @@
 """Token counts of all prefixes of a text.
 
 A text is cut where the library's pattern cuts it. Inside each piece a dynamic program over prefixes gives
-the number of tokens of every prefix. The counts are kept as one signed byte per code point, the change from
-the prefix before, so that any budget or truncation question is a cumulative sum and needs no new encoding.
+the number of tokens of every prefix. The counts are kept as two bytes per code point, the change from the prefix
+before, so that any budget or truncation question is a cumulative sum and needs no new encoding. (A letter more
+can only change what its last token covers, so a change is at most the longest token's letters.)
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -67,9 +69,7 @@ class Tables(dict):
         if unit[0].isspace() and 1 < (spaces := self.spaces(unit).end()) < len(unit):
             counts[spaces] = self.piece(unit[:spaces])[-1]  # cut off here, all the white space is one piece
         steps = [b - a for a, b in zip(counts, counts[1:], strict=False)]
-        if min(steps) < -128 or max(steps) > 127:
-            raise OverflowError("a count changes by more than a byte holds")
-        return bytes([x & 255 for x in steps])
+        return array("h", steps).tobytes()
 
     def __missing__(self, unit: str) -> bytes:
         out = self.changes(unit, unit)
@@ -112,11 +112,11 @@ class TokenCounter:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
     def table(self, text: str) -> bytes:
-        """A signed byte for each code point; their sum up to a place is the token count of the text up to there."""
+        """A signed 16-bit number for each code point; their sum up to a place is the token count of the text up to there."""
         if not self.special or not any(s in text for s in self.special):
             return self.plain(text)
         def count(table: bytes) -> int:
-            return int(np.frombuffer(table, np.int8).sum())
+            return int(np.frombuffer(table, np.int16).sum())
 
         out: list[bytes] = []
         odd = self.odd(text)
@@ -130,7 +130,7 @@ class TokenCounter:
             counts = [0]
             for j in range(1, len(part)):
                 counts.append(sum(count(t) for _, t in self.unit_tables(tail[0] + part[:j], odd)) - count(tail[1]))
-            out.append(np.diff(np.array([*counts, 1])).astype(np.int8).tobytes())
+            out.append(np.diff(np.array([*counts, 1])).astype(np.int16).tobytes())
             tail = ("", b"")
         return b"".join(out)
 
@@ -172,7 +172,7 @@ class TokenCounter:
 
 
 def prefix_counts(table: bytes) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.frombuffer(table, np.int8), dtype=np.int64)])
+    return np.concatenate([[0], np.cumsum(np.frombuffer(table, np.int16), dtype=np.int64)])
 
 
 def longest_prefix(table: bytes, budget: int) -> int:
