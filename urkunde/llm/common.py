@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +95,18 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 64) -> Iterator[None]:
+    """Arrow batches of few rows for the plans that run meanwhile: rows that a join has given whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def map_batches(
     df: DataFrame,
     fields: list[tuple[str, T.DataType]],

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, join_groups, keep_rows, map_batches, may_have, release, remove, staged, strings, text_of
+from .common import bound_batches, cut, join_groups, keep_rows, map_batches, may_have, release, remove, small_batches, staged, strings, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -35,6 +35,8 @@ BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 HUB_PAIRS = 1024
 #: Counts by hash that a task holds at once, and how many of them a text has.
 COUNTS, LEAST_COUNTS, MOST_COUNTS = 1 << 22, 256, 1 << 14
+#: Occurrences of a shingle, and shingles that an occurrence stands for, beyond which its places are kept as bits.
+OFTEN = 64
 #: Links of a task that are connected at once before they are passed on.
 FOREST = 1 << 19
 
@@ -127,15 +129,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
         return 0.0
     # At most (1 - s) / (1 + s) of all shingles stay unmatched, and a match's places differ by no more than these.
     band = int((1 - SIMILARITY) / (1 + SIMILARITY) * (len(a) + len(b))) + 1
-    places: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for k, s in enumerate(a.tolist()):
-        places[s] = places.get(s, 0) | (1 << k)
+        places.setdefault(s, []).append(k)
+    # Where a shingle is, as bits, for the few that recur often; else made when needed, as all of them have too many bits.
+    often = {s: sum(1 << k for k in at) for s, at in places.items() if len(at) > max(OFTEN, len(a) // OFTEN)}
     ones = (1 << len(a)) - 1
     row = ones  # a zero bit for each step of the longest common subsequence
     width = (1 << (2 * band + 1)) - 1
     for k, s in enumerate(b.tolist()):
-        if m := places.get(s, 0):
-            m &= width << (k - band) if k >= band else width >> (band - k)
+        if at := places.get(s):
+            if m := often.get(s, 0):
+                m &= width << (k - band) if k >= band else width >> (band - k)
+            else:
+                for p in at:
+                    if abs(p - k) <= band:
+                        m |= 1 << p
             u = row & m
             row = ((row + u) | (row - u)) & ones
     matched = len(a) - row.bit_count()
@@ -307,11 +316,13 @@ def linked(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     del own, needed
     release(spark)
 
-    links = staged(verified(pairs, texts), folders, "links")
+    with small_batches(spark):
+        links = staged(verified(pairs, texts), folders, "links")
     release(spark)
     roots = components(links)
     release(spark)
-    more = staged(open_links(members.drop("n"), roots, texts), folders, "links")
+    with small_batches(spark):
+        more = staged(open_links(members.drop("n"), roots, texts), folders, "links")
     release(spark)
     found = components(links.unionByName(more)) if not more.isEmpty() else roots
     for folder in folders:
