@@ -38,36 +38,50 @@ def test_scores_against_counts(spark):
     check_scores(docs, QUERIES["op2_lm_ppm"](spark, SF).collect())
 
 
-def test_blend_is_a_distribution():
-    rng = np.random.default_rng(1)
-    levels = [np.floor(rng.pareto(0.7, (50, lm_ppm.SYMBOLS)) * (rng.random((50, lm_ppm.SYMBOLS)) < 0.1)) for _ in range(4)]
-    p = lm_ppm.blend(levels)
-    assert np.allclose(p.sum(1), 1) and (p > 0).all()
-    counts = levels[0][0]
-    if counts.sum():
-        s = int(counts.argmax())
-        assert p[0, s] == pytest.approx(counts[s] / (counts.sum() + (counts > 0).sum()))
-
-
-def test_trie_is_a_distribution_and_learns():
-    text = b"the cat sat on the mat. the dog sat on the log. " * 40
-    table, extra = lm_ppm.symbol_table(np.bincount(np.frombuffer(text, np.uint8), minlength=256).astype(float))
-    at, symbol, _ = lm_ppm.sequences([text.translate(table)])
-    grams, n = lm_ppm.added((at << lm_ppm.BITS) | symbol)
-
-    def level(order):
-        keys, counts = lm_ppm.added(grams & (lm_ppm.SYMBOLS ** (order + 1) - 1), n)
-        _, where = np.unique(keys >> lm_ppm.BITS, return_inverse=True)
-        return keys, counts, np.bincount(where, counts)[where]
-
-    trie = lm_ppm.Trie(*level(lm_ppm.DENSE)[:2], table, extra)
-    for order in range(lm_ppm.DENSE + 1, lm_ppm.ORDER + 1):
-        trie.add(order, *level(order))
-    for context in (int(at[5]), int(at[100]), 12345):
-        every = np.arange(lm_ppm.SYMBOLS)
-        assert (10.0 ** trie.logs(np.full(lm_ppm.SYMBOLS, context), every)).sum() == pytest.approx(1, abs=2e-3)
-    known, odd = trie.scores([b"the cat sat on the log.", b"zqx jvk wwy pqf xzz kk."])
-    assert known > odd / 2
+def plain_model(texts):
+    """From a context to its counts, in dictionaries; the context's bytes are padded with the end on the left."""
+    model = collections.defaultdict(collections.Counter)
+    for t in texts:
+        whole = b"\xff" * 5 + t + b"\xff"
+        for i in range(5, len(whole)):
+            for k in range(6):
+                model[whole[i - k : i]][whole[i]] += 1
+    return model
+
+
+def plain_probability(model, context, symbol):
+    """Partial matching by its definition: escapes by distinct symbols, exclusion by freeing the shorter context's share of them."""
+    counts = model.get(context)
+    if counts is None:
+        return plain_probability(model, context[1:], symbol) if context else 1 / 256
+    n, d = sum(counts.values()), len(counts) if len(counts) < 256 else 0
+    if symbol in counts:
+        return counts[symbol] / (n + d)
+    below = (lambda x: plain_probability(model, context[1:], x)) if context else lambda x: 1 / 256
+    return d / (n + d) * below(symbol) / (1 - sum(map(below, counts)))
+
+
+@pytest.mark.parametrize("size", [lm_ppm.SHARD, 300])
+def test_scores_against_plain_partial_matching(spark, monkeypatch, size):
+    """Also with so small shards that there are many."""
+    monkeypatch.setattr(lm_ppm, "SHARD", size)
+    rng = np.random.default_rng(5)
+    words = ["the", "cat", "dög", "中文", "sat", "on", "mat", "\x00", "Ünder", "x" * 9]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 12))))) for i in range(60)] + [(60, None), (61, "unseen ÿ☃ q")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lower = [(t or "").encode().lower() for _, t in rows]
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    model = plain_model([lower[i] for i in train])
+    for r in lm_ppm.score(df, remainder("doc_id", 7) == 2).collect():
+        whole = b"\xff" * 5 + lower[r.doc_id] + b"\xff"
+        want = sum(math.log10(plain_probability(model, whole[i - 5 : i], whole[i])) for i in range(5, len(whole)))
+        assert r.score == pytest.approx(want, rel=1e-4, abs=1e-4), r
+
+
+def test_plain_model_is_a_distribution():
+    model = plain_model([b"the cat sat on the mat", b"the dog"])
+    for context in (b"he ca", b"zz th", b"\xff\xff\xff\xff\xff", b"qqqqq"):
+        assert sum(plain_probability(model, context, s) for s in range(256)) == pytest.approx(1)
 
 
 def test_hash():

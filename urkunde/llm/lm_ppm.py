@@ -1,10 +1,14 @@
 """Scoring by partial matching: a trie of byte contexts with escapes and symbol exclusion.
 
-Training counts which symbol follows each context of ORDER symbols; shorter contexts are sums of these, so the
-counts are all levels of the trie. A symbol's probability is its share at the longest context that was seen,
-after the escape share (distinct symbols over occurrences and distinct symbols) went on to the next shorter
-one, where symbols of the longer ones are left out. The blend is worked out once for all contexts, so that a
-document's code length is a sum of table entries.
+Training counts which symbol follows each context of ORDER bytes; shorter contexts are sums of these, so the counts
+are all levels of the trie. A symbol seen after the longest context has its share of n + d there (n occurrences, d
+distinct symbols); else the escape share d / (n + d) goes to the next shorter context, whose probabilities are
+freed from those of the symbols just excluded. After the empty context all symbols are equally likely.
+
+Nothing is cut off: the trie is a table that grows with the corpus and is built by joins. Scoring sends it to the
+workers in shards of bounded size, one after the other. A shard holds the contexts that end with certain three
+bytes, with all shorter ones, so it knows all about a symbol after such a context, and a document's code length is
+the sum of what the shards add.
 
 Beside it stands the count of words (base score): words with at least FREQUENT of all tokens, of which there
 are at most 1 / FREQUENT, go to the workers as a dictionary; the others are joined.
@@ -17,18 +21,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, remove, strings, work_dir
+from .common import bound_batches, map_batches, remove, staged, strings
 
-#: Symbols of context, and how many of them have tables of all symbols.
-ORDER, DENSE = 5, 3
-#: Share of all symbols from which on what follows a longer context is kept; there are at most its inverse of a level.
-KEPT = 3e-7
-#: Symbol 0 ends a text (and stands before it), the last one is any byte that is not among the most frequent.
-SYMBOLS = 64
+#: Bytes of context, and of those that decide on the shard.
+ORDER, CELL = 5, 3
+#: Symbols: the bytes, of which END is in no UTF-8 text; it ends a text and stands before it.
+SYMBOLS, END = 256, 0xFF
+#: Entries of a shard, on average.
+SHARD = 1 << 21
 #: Share of all tokens from which on a word is kept by every worker.
 FREQUENT = 1e-6
 #: Longer words are known by their digest.
@@ -48,11 +52,10 @@ def lowered(text: str) -> bytes:
 
 
 def gather(docs: DataFrame, text: str) -> DataFrame:
-    """key, n: words of the texts, and single bytes under 0xFF and the byte. Added up within a task first."""
+    """key, n: words of the texts. Added up within a task first."""
 
     def run(batches):
         words: Counter = Counter()
-        octets = np.zeros(256, np.int64)
 
         def out():
             items = list(words.items())
@@ -61,45 +64,32 @@ def gather(docs: DataFrame, text: str) -> DataFrame:
 
         for batch in batches:
             for t in strings(batch, text):
-                low = lowered(t)
-                octets += np.bincount(np.frombuffer(low, np.uint8), minlength=256)
-                words.update(map(key_of, low.split()))
+                words.update(map(key_of, lowered(t).split()))
                 if len(words) > GATHER:
                     yield out()
-        for b in np.flatnonzero(octets):
-            words[bytes((0xFF, b))] = int(octets[b])  # no UTF-8 text has the byte 0xFF
         if words:
             yield out()
 
-    return docs.select(F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def symbol_table(octets: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """From a byte to its symbol, and log10 of its share among the bytes of the last symbol (0 for others)."""
-    order = sorted(range(256), key=lambda b: (-int(octets[b]), b))
-    table = np.full(256, SYMBOLS - 1, np.uint8)
-    for i, b in enumerate(order[: SYMBOLS - 2]):
-        table[b] = i + 1
-    rare = np.array(order[SYMBOLS - 2 :])
-    extra = np.zeros(256)
-    extra[rare] = np.log10((octets[rare] + 1.0) / (octets[rare].sum() + len(rare)))
-    return table.tobytes(), extra
+PAD = bytes([END]) * 7
+BITS = 8
 
 
-PAD = b"\0" * ORDER
-BITS = 6
+def low(order: int) -> int:
+    """The bits of the last `order` bytes."""
+    return (1 << BITS * order) - 1
 
 
-def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts in symbols: each symbol's context as a number, the symbol, and where each text starts; ends included."""
-    whole = np.frombuffer(b"".join([PAD + t + b"\0" for t in texts]), np.uint8)
+def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' grams (a context's bytes and then the symbol, as one number), ends included, and where each text starts."""
+    whole = b"".join([PAD + t + PAD[:1] for t in texts])
     sizes = np.array([len(t) + 1 for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    places = np.arange(sizes.sum()) + np.repeat(ORDER * np.arange(1, len(texts) + 1), sizes)
-    at = np.zeros(len(whole) - ORDER, np.int64)
-    for i in range(ORDER):
-        at = (at << BITS) | whole[i : len(whole) - ORDER + i]
-    return at[places - ORDER], whole[places], starts
+    windows = np.ndarray((len(whole) - 7,), ">u8", whole, 0, (1,))  # the eight bytes from each place on
+    places = np.arange(sizes.sum()) + np.repeat(7 * np.arange(len(texts)), sizes)
+    return windows[places].astype(np.int64) & low(ORDER + 1), starts
 
 
 def added(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +102,8 @@ def added(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def follow(docs: DataFrame, text: str, table: bytes) -> DataFrame:
-    """gram, n: how often a symbol follows a context (gram: the context's symbols, then the symbol)."""
+def follow(docs: DataFrame, text: str) -> DataFrame:
+    """gram, n: how often a symbol follows a context of ORDER bytes."""
 
     def run(batches):
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -121,8 +111,7 @@ def follow(docs: DataFrame, text: str, table: bytes) -> DataFrame:
         size = 0
 
         def count():
-            at, symbol, _ = sequences(waiting)
-            found.append(added((at << BITS) | symbol))
+            found.append(added(sequences(waiting)[0]))
             waiting.clear()
 
         def merged():
@@ -134,8 +123,8 @@ def follow(docs: DataFrame, text: str, table: bytes) -> DataFrame:
 
         for batch in batches:
             for t in strings(batch, text):
-                waiting.append(lowered(t).translate(table))
-                size += len(t)
+                waiting.append(lowered(t))
+                size += len(waiting[-1])
                 if size > BLOCK:
                     count()
                     size = 0
@@ -148,25 +137,12 @@ def follow(docs: DataFrame, text: str, table: bytes) -> DataFrame:
         if found:
             yield from out(*merged())
 
-    return docs.select(F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def blend(levels: list[np.ndarray]) -> np.ndarray:
-    """Probabilities from counts at the longest context and each shorter one (contexts x symbols each)."""
-    p = np.zeros_like(levels[0])
-    left = np.ones((len(p), 1))
-    out = np.zeros(p.shape, bool)
-    for counts in levels:
-        c = np.where(out, 0.0, counts)
-        n, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-        seen = n > 0
-        whole = np.where(seen, n + kinds, 1.0)
-        p += np.where(seen, left * c / whole, 0.0)
-        left = np.where(seen, left * kinds / whole, left)
-        out |= counts > 0
-    rest = (~out).sum(1, keepdims=True)
-    p += np.where(out, 0.0, left / np.maximum(rest, 1))
-    return p / p.sum(1, keepdims=True)
+def cell_of(key, context):
+    """The cell of a context, spread; the same for columns and arrays."""
+    return ((context & low(CELL)) * 2654435769 >> 8) if key is None else F.shiftright(context.bitwiseAND(low(CELL)) * F.lit(2654435769), 8)
 
 
 class Hash:
@@ -202,99 +178,115 @@ class Hash:
         return hit, self.values[slot]
 
 
-class Trie:
-    """The levels of the trie, with the blend of all shorter contexts worked out.
-
-    Up to DENSE symbols of context each context that was seen has a row of all symbols' log10 probabilities.
-    The longer levels keep what follows a context often; any other symbol gets the next shorter context's
-    probability, freed from what the kept ones have of it, times the escape share: one factor a context.
-    """
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, table: bytes, extra: np.ndarray):
-        """grams and counts: of DENSE symbols of context and one more."""
-        self.table, self.extra = table, extra
-        self.levels: list[tuple[int, Hash, Hash]] = []  # the longest contexts first
-        seen, n = [], []  # from the longest contexts to the empty one
-        at, symbol = grams >> BITS, grams & (SYMBOLS - 1)
-        for order in range(DENSE, -1, -1):
-            own, where = np.unique(at & (SYMBOLS**order - 1), return_inverse=True)
-            table_n = np.zeros((len(own), SYMBOLS))
-            np.add.at(table_n, (where, symbol), counts.astype(float))
-            seen.append(own)
-            n.append(table_n)
-        if not len(grams):
-            seen[-1], n[-1] = np.zeros(1, np.int64), np.zeros((1, SYMBOLS))
-        rows, first = [], 0
-        self.at = np.zeros(SYMBOLS**DENSE, np.int32)
-        every = np.arange(SYMBOLS**DENSE)
-        for k in range(DENSE, -1, -1):  # shorter contexts first, so that longer ones take their place
-            for i in range(0, len(seen[k]), 4096):
-                own = seen[k][i : i + 4096]
-                below = [n[j][np.searchsorted(seen[j], own & (SYMBOLS ** (DENSE - j) - 1))] for j in range(k + 1, DENSE + 1)]
-                rows.append(np.log10(blend([n[k][i : i + 4096], *below])).astype(np.float32))
-            if len(seen[k]):
-                last = every & (SYMBOLS ** (DENSE - k) - 1)
-                found = np.searchsorted(seen[k], last).clip(0, len(seen[k]) - 1)
-                hit = seen[k][found] == last
-                self.at[hit] = first + found[hit]
-            first += len(seen[k])
-        self.rows = np.concatenate(rows)
-
-    def add(self, order: int, grams: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> None:
-        """A level of `order` symbols of context, one more than the longest so far: what is kept, and each one's
-        context's occurrences."""
-        at, symbol = grams >> BITS, grams & (SYMBOLS - 1)
-        own, first, where = np.unique(at, return_index=True, return_inverse=True)
-        kinds = np.bincount(where, minlength=len(own)).astype(float)
-        kept, whole = np.bincount(where, counts, len(own)), totals[first].astype(float)
-        below = np.bincount(where, 10.0 ** self.logs(at & (SYMBOLS ** (order - 1) - 1), symbol, order - 1), len(own))
-        rest = np.maximum(1 - below, 0)
-        open_ = rest > 1e-6  # else nothing can follow but what is kept
-        escape = np.where(open_, (whole - kept + kinds) / (whole + kinds), 1e-9)
-        p = (1 - escape)[where] * counts / kept[where]
-        self.levels.insert(0, (order, Hash(grams, np.log10(p)), Hash(own, np.log10(escape / np.maximum(rest, 1e-6)))))
-
-    def logs(self, at: np.ndarray, symbol: np.ndarray, longest: int = ORDER) -> np.ndarray:
-        """log10 of the symbols' probabilities after their contexts, of which the last `longest` symbols count."""
-        out = np.zeros(len(at))
-        left = np.arange(len(at))
-        for order, grams, factors in self.levels:
-            if order <= longest:
-                own = at[left] & (SYMBOLS**order - 1)
-                hit, value = grams.get((own << BITS) | symbol[left])
-                out[left[hit]] += value[hit]
-                left, own = left[~hit], own[~hit]
-                hit, value = factors.get(own)
-                out[left[hit]] += value[hit]
-        out[left] += self.rows[self.at[at[left] & (SYMBOLS**DENSE - 1)], symbol[left]]
+#: Levels are told apart by bits above a gram's: its own number for grams, and LEVELS more for contexts.
+LEVEL, LEVELS = BITS * (ORDER + 1), 8
+
+
+def trie(grams: DataFrame, folders: list[str]) -> DataFrame:
+    """key, value, cell of all levels of the trie: log10 of a symbol's share at its context, and of the factor that
+    the escape from a context gives to the next shorter one's probabilities. cell is null up to CELL - 1 bytes of context."""
+    levels = [grams]
+    for order in range(ORDER - 1, -1, -1):
+        own = levels[0].groupBy(F.col("gram").bitwiseAND(low(order + 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        levels.insert(0, staged(own, folders, "grams"))
+    entries, shorter = [], None
+    context = Window.partitionBy("context")
+    for order, own in enumerate(levels):
+        own = own.withColumn("context", F.shiftright("gram", BITS))
+        if shorter is None:
+            own = own.withColumn("below", F.lit(1.0 / SYMBOLS))
+        else:
+            own = own.withColumn("shorter", F.col("gram").bitwiseAND(low(order))).join(shorter, "shorter")
+        own = own.select(
+            "gram", "context", "n", F.sum("n").over(context).alias("whole"), F.count("*").over(context).alias("kinds"),
+            F.sum("below").over(context).alias("below"), (F.min("gram").over(context) == F.col("gram")).alias("first"),
+        )
+        escapes = F.when(F.col("kinds") < SYMBOLS, F.col("kinds")).otherwise(0)
+        share = F.col("n") / (F.col("whole") + escapes)
+        factor = F.when(escapes > 0, F.log10(escapes / (F.col("whole") + escapes)) - F.log10(F.greatest(1 - F.col("below"), F.lit(1e-15)))).otherwise(0.0)
+        own = staged(own.select("gram", "context", share.alias("share"), F.when(F.col("first"), factor).alias("factor")), folders, "level")
+        shorter = own.select(F.col("gram").alias("shorter"), F.col("share").alias("below"))
+        cell = cell_of("key", F.col("context")) if order >= CELL else F.lit(None).cast("long")
+        entries.append(own.select(F.col("gram").bitwiseOR(order << LEVEL).alias("key"), F.log10("share").cast("float").alias("value"), cell.alias("cell")))
+        ends = own.filter("factor is not null")
+        entries.append(ends.select(F.col("context").bitwiseOR((LEVELS + order) << LEVEL).alias("key"), F.col("factor").cast("float").alias("value"), cell.alias("cell")))
+    out = entries[0]
+    for more in entries[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class Shard:
+    """A part of the trie that knows all about certain contexts."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, number: int, shards: int):
+        self.table, self.number, self.shards = Hash(keys, values), number, shards
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities of symbols after their contexts."""
+        out = np.zeros(len(grams))
+        left = np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            own = grams[left] & low(order + 1)
+            hit, value = self.table.get(own | order << LEVEL)
+            out[left[hit]] += value[hit]
+            left, own = left[~hit], own[~hit]
+            if not len(left):
+                return out
+            hit, value = self.table.get(own >> BITS | (LEVELS + order) << LEVEL)
+            out[left] += np.where(hit, value, 0)
+        out[left] -= np.log10(SYMBOLS)
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of each text's probability, its end included. texts: lower-cased."""
-        symbols = [t.translate(self.table) for t in texts]
-        at, symbol, starts = sequences(symbols)
-        out = np.add.reduceat(self.logs(at, symbol), starts)
-        for i, t in enumerate(symbols):
-            if SYMBOLS - 1 in t:
-                out[i] += self.extra[np.frombuffer(texts[i], np.uint8)].sum()
-        return out
-
-
-def learn(grams: DataFrame, table: bytes, extra: np.ndarray) -> Trie:
-    """The trie of counted grams."""
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    def shortened(order: int) -> DataFrame:
-        return grams.groupBy(F.col("gram").bitwiseAND(SYMBOLS ** (order + 1) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-
-    dense = shortened(DENSE).toArrow()
-    trie = Trie(dense["gram"].to_numpy(), dense["n"].to_numpy(), table, extra)
-    for order in range(DENSE + 1, ORDER + 1):
-        kept = F.when(F.col("n") >= total * KEPT, F.struct("gram", "n"))
-        contexts = shortened(order).groupBy(F.shiftright("gram", BITS).alias("at")).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("kept"))
-        own = contexts.select("total", F.explode("kept").alias("k")).select("k.gram", "k.n", "total").toArrow()
-        trie.add(order, own["gram"].to_numpy(), own["n"].to_numpy(), own["total"].to_numpy())
-    return trie
+        """What this shard's contexts add to log10 of each text's probability, its end included. texts: lower-cased."""
+        grams, starts = sequences(texts)
+        out = np.zeros(len(grams))
+        if self.shards == 1:
+            out = self.logs(grams)
+        else:
+            own = np.flatnonzero(cell_of(None, grams >> BITS) % self.shards == self.number)
+            out[own] = self.logs(grams[own])
+        return np.add.reduceat(out, starts)
+
+
+def code_lengths(rows: DataFrame, grams: DataFrame, folders: list[str]) -> DataFrame:
+    """row, score: log10 of each text's probability. rows: row, text."""
+    spark = rows.sparkSession
+    entries = trie(grams, folders)
+    shards = max(1, -(-entries.filter("cell is not null").count() // SHARD))
+    table = entries.withColumn("shard", F.coalesce(F.pmod("cell", F.lit(shards)), F.lit(-1)).cast("int")).drop("cell")
+    folders.append(f"{folders[0]}-trie")
+    table.write.partitionBy("shard").parquet(folders[-1])
+    table = spark.read.schema(table.schema).parquet(folders[-1])
+    folders.append(f"{folders[0]}-parts")
+    for number in range(shards):
+        own = table.filter(F.col("shard").isin(-1, number)).select("key", "value").toArrow()
+        shared = spark.sparkContext.broadcast(Shard(own["key"].to_numpy(), own["value"].to_numpy(), number, shards))
+        del own
+
+        def make(shared=shared):
+            shard = shared.value
+
+            def function(batch):
+                out: list[float] = []
+                waiting: list[bytes] = []
+                size = 0
+                for t in strings(batch, "text"):
+                    waiting.append(lowered(t))
+                    size += len(waiting[-1])
+                    if size > SCORED:
+                        out += shard.scores(waiting).tolist()
+                        waiting, size = [], 0
+                if waiting:
+                    out += shard.scores(waiting).tolist()
+                return [out]
+
+            return function
+
+        map_batches(rows, [("score", T.DoubleType())], make, ["row"]).write.mode("append").parquet(folders[-1])
+        shared.destroy()
+    return spark.read.parquet(folders[-1]).groupBy("row").agg(F.sum("score").alias("score"))
 
 
 def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,50 +296,35 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: st
     ASCII white space and one end; base_score adds log10((c + 1) / (N + V + 1)) of each, score is log10 of
     the probability of the bytes and the end under the trie. Null and empty texts consist of the end alone.
     With nothing to learn from, N = V = 0 and all symbols are equally likely. Repeated rows count and are
-    scored as often as they occur; other columns are not read. What the driver collects and broadcasts is
-    bounded: at most SYMBOLS ** (DENSE + 1) counts, 1 / KEPT of each longer context, 1 / FREQUENT words of at
-    most 33 bytes.
+    scored as often as they occur; other columns are not read.
+
+    What the driver collects and broadcasts is bounded: 1 / FREQUENT words of at most 33 bytes, and one shard at a
+    time, of about SHARD entries beside those of contexts under CELL bytes (at most SYMBOLS ** CELL, in texts of a few
+    languages some ten thousand). The rows are staged once and gone through once for each shard.
     """
-    spark = docs.sparkSession
-    train = docs.filter(~F.coalesce(held_out, F.lit(False))).select(F.col(f"`{text}`").cast("string").alias("text"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    folder = work_dir(spark, "words")
-    gather(train, "text").write.parquet(folder)
-    gathered = spark.read.parquet(folder)
-    is_byte = (F.octet_length("key") == 2) & (F.substring("key", 1, 1) == F.lit(b"\xff"))
-    octets = np.zeros(256)
-    for key, n in gathered.filter(is_byte).collect():
-        octets[key[1]] = n
-    words = gathered.filter(~is_byte)
+    spark, folders = docs.sparkSession, []
+    bound_batches(spark)
+    rows = docs.select(
+        F.col(f"`{id_column}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")
+    )
+    rows = staged(rows, folders, "rows")
+    train = rows.filter("not held_out")
+    words = staged(gather(train, "text"), folders, "words")
     ends = train.count()
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
     frequent = {bytes(k): c for k, c in words.filter(F.col("n") >= n * FREQUENT).collect()}
-    table, extra = symbol_table(octets)
-    grams_at = work_dir(spark, "grams")
-    follow(train, "text", table).write.parquet(grams_at)
-    trie = learn(spark.read.parquet(grams_at), table, extra)
-    remove(spark, grams_at)
     whole = float(np.log10(n + v + 1))
-    shared = spark.sparkContext.broadcast((trie, {k: float(np.log10(c + 1)) for k, c in frequent.items()}))
+    shared = spark.sparkContext.broadcast({k: float(np.log10(c + 1)) for k, c in frequent.items()})
 
     def make():
-        model, logs = shared.value
-        get = logs.get
+        get = shared.value.get
         end = float(np.log10(ends + 1))
 
         def function(batch):
-            out: list[list] = [[], [], [], [], [], []]
-            waiting: list[bytes] = []
-            size = 0
+            out: list[list] = [[], [], [], [], []]
             for t in strings(batch, "text"):
-                low = lowered(t)
-                waiting.append(low)
-                size += len(low)
-                if size > SCORED:
-                    out[3] += model.scores(waiting).tolist()
-                    waiting, size = [], 0
-                tokens = low.split()
+                tokens = lowered(t).split()
                 found = list(map(get, tokens))
                 missing: Counter = Counter()
                 if None in found:
@@ -361,35 +338,37 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text: st
                 out[0].append(len(tokens) + 1)
                 out[1].append(len(tokens) + (ends > 0) - missing.total())
                 out[2].append(sum(found) + end - (len(tokens) + 1) * whole)
-                out[4].append(list(missing))
-                out[5].append(list(missing.values()))
-            if waiting:
-                out[3] += model.scores(waiting).tolist()
+                out[3].append(list(missing))
+                out[4].append(list(missing.values()))
             return out
 
         return function
 
-    rows = docs.select(
-        F.col(f"`{id_column}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("row")
-    )
-    fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("missing", T.ArrayType(T.BinaryType())), ("times", T.ArrayType(T.LongType()))]
-    folder = work_dir(spark, "scored")
-    map_batches(rows, fields, make, ["id", "held_out", "row"]).write.parquet(folder)
-    scored = spark.read.parquet(folder)
+    fields = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("missing", T.ArrayType(T.BinaryType())), ("times", T.ArrayType(T.LongType()))]
+    counted = staged(map_batches(rows, fields, make, ["id", "held_out", "row"]), folders, "counted")
     rare = words.filter(F.col("n") < n * FREQUENT)
     more = (
-        scored.select("row", F.explode(F.arrays_zip("missing", "times")).alias("x"))
+        counted.select("row", F.explode(F.arrays_zip("missing", "times")).alias("x"))
         .select("row", F.col("x.missing").alias("key"), F.col("x.times").alias("times"))
         .join(rare, "key")
         .groupBy("row")
         .agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     )
-    return scored.join(more, "row", "left").select(
-        F.col("id").alias(id_column),
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
-        "score",
+    grams = staged(follow(train, "text"), folders, "grams")
+    scored = code_lengths(rows.select("row", "text"), grams, folders)
+    out = staged(
+        counted.drop("missing", "times").join(scored, "row").join(more, "row", "left").select(
+            F.col("id").alias(id_column),
+            "held_out",
+            "n_tokens",
+            (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+            F.lit(n).cast("long").alias("train_tokens"),
+            (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"),
+            "score",
+        ),
+        [],
+        "scores",
     )
+    for folder in folders:
+        remove(spark, folder)
+    return out
