@@ -1,9 +1,11 @@
 """Cropped and edited copies of images by local descriptors.
 
 Corners are found at several scales, each gets an orientation from its patch's centre of mass and a binary
-descriptor from intensity tests that are turned with it. Descriptors meet in hash tables over their parts: two
-that differ in at most DISTANCE = TABLES - 1 bits agree in a whole part, so none of these is missed. A query and a
-stored image whose matched corners agree on one change of scale, angle and place are copies.
+descriptor from intensity tests that are turned with it. Descriptors meet in hash tables, each over KEY of their
+bits: two that differ in 16 of 256 bits meet in one of the tables with a chance of 0.94, in DISTANCE bits of 0.69. A
+copy shares many more corners than the AGREEING it needs, so few copies are lost; tests measure the share against
+comparing all descriptors. A query and a stored image whose matched corners agree on one change of scale, angle and
+place are copies.
 """
 
 from __future__ import annotations
@@ -17,32 +19,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_groups, map_batches, work_dir
+from .common import cut, join_groups, map_batches, remove, staged, work_dir
 
 #: Factors between image sizes, and how many sizes.
 STEP, LEVELS = 1.25, 4
 #: Corners that are described: all local maxima of the response above this share of the image's largest.
 RESPONSE = 0.08
-RADIUS = 7
-#: Matched descriptors may differ in DISTANCE bits; with one part more, those that do surely meet.
-BITS, DISTANCE = 256, 8
-TABLES = DISTANCE + 1
+RADIUS = 10
+#: Matched descriptors may differ in DISTANCE bits. Tables, and the bits of each.
+BITS, DISTANCE = 256, 24
+TABLES, KEY = 12, 24
 #: Matches that must agree on one change, and how far they may stray: places in pixels, scale by a factor, angle in degrees.
-AGREEING, STRAY, SCALE, ANGLE = 6, 4.0, 1.4, 20.0
-#: Second matches that are tried with each first one.
-SIDE = 64
+AGREEING, STRAY, SCALE, ANGLE = 8, 4.0, 1.4, 20.0
+#: Share of a match's distance from the first one by which it may stray from what the first one's corner says, and the
+#: multiples of STRAY that are allowed while the change is fitted.
+COARSE, FITS = 0.35, (3.0, 1.5, 1.0)
 #: Descriptors of queries, and of images, that are held against each other at once, and pairs of them.
-CORNERS, PAIRS = 1 << 16, 1 << 17
+ASKED, CORNERS, PAIRS = 1 << 18, 1 << 16, 1 << 18
 
 
 def tests() -> np.ndarray:
     """Pairs of places in a unit disc, from a fixed generator."""
     rng = np.random.default_rng(11)
-    p = rng.normal(0, 0.4, (BITS, 2, 2))
+    p = rng.normal(0, 0.45, (BITS, 2, 2))
     return np.clip(p, -0.95, 0.95)
 
 
 TESTS = tests()
+#: The bits of each table's key.
+KEYS = np.stack([np.random.default_rng(100 + i).permutation(BITS)[:KEY] for i in range(TABLES)])
 
 
 def blurred(a: np.ndarray, times: int = 1) -> np.ndarray:
@@ -171,25 +176,36 @@ def read_png(content: bytes) -> np.ndarray | None:
 
 
 def consensus(a: np.ndarray, b: np.ndarray) -> int:
-    """The most matches (rows of corners of two images) that agree on one change of scale, angle and place; 0 if under AGREEING."""
+    """The most matches (rows of corners of two images) that agree on one change of scale, angle and place; 0 if under AGREEING.
+
+    Each match's corners tell a change. With those that roughly carry it out, the change is fitted by least squares,
+    more and more closely. All matches are tried as the first one. What agrees within STRAY pixels of one another in
+    either image counts once.
+    """
     if len(a) < AGREEING:
         return 0
-    scale = b[:, 2] - a[:, 2]
-    turn = b[:, 3] - a[:, 3]
     z_a, z_b = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
-    best = 0
-    for k in range(len(a)):
-        near = (np.abs(scale - scale[k]) <= np.log(SCALE)) & (np.abs(np.angle(np.exp(1j * (turn - turn[k])))) <= np.radians(ANGLE))
-        others = np.flatnonzero(near & (np.abs(z_a - z_a[k]) > 2 * STRAY))
-        for m in others[:SIDE]:  # two matches give the change; those that carry it out are counted
-            change = (z_b[m] - z_b[k]) / (z_a[m] - z_a[k])
-            if abs(change) < 0.2 or abs(np.log(abs(change)) - scale[k]) > np.log(SCALE):
-                continue
-            fit = near & (np.abs(z_b[k] + change * (z_a - z_a[k]) - z_b) <= STRAY)
-            if np.count_nonzero(fit) <= max(best, AGREEING - 1):
-                continue
-            count = min(len(np.unique(np.round(z_a[fit] / STRAY))), len(np.unique(np.round(z_b[fit] / STRAY))))
-            best = max(best, count)
+    change = np.exp(b[:, 2] - a[:, 2] + 1j * (b[:, 3] - a[:, 3]))
+    cell_a, cell_b = np.round(z_a / STRAY), np.round(z_b / STRAY)
+    best, step = 0, max(1, PAIRS // len(a))
+    for i in range(0, len(a), step):
+        k = slice(i, i + step)
+        apart = change[None, :] / change[k, None]
+        near = (np.abs(np.log(np.abs(apart))) <= np.log(SCALE)) & (np.abs(np.angle(apart)) <= np.radians(ANGLE))
+        way = z_a[None, :] - z_a[k, None]
+        fit = near & (np.abs(z_b[k, None] + change[k, None] * way - z_b[None, :]) <= STRAY + COARSE * np.abs(change[k, None] * way))
+        for stray in FITS:
+            n = np.maximum(fit.sum(1), 1)
+            mean_a, mean_b = fit @ z_a / n, fit @ z_b / n
+            spread = fit @ (np.abs(z_a) ** 2) - n * np.abs(mean_a) ** 2
+            turn = (fit @ (np.conj(z_a) * z_b) - n * np.conj(mean_a) * mean_b) / np.maximum(spread, 1e-9)
+            off = np.abs(turn[:, None] * (z_a[None, :] - mean_a[:, None]) + mean_b[:, None] - z_b[None, :])
+            fit = near & (off <= stray * STRAY) & ((np.abs(turn) > 0.2) & (np.abs(turn) < 5))[:, None]
+        counts = fit.sum(1)
+        for row in np.argsort(-counts, kind="stable"):
+            if counts[row] <= max(best, AGREEING - 1):
+                break
+            best = max(best, min(len(np.unique(cell_a[fit[row]])), len(np.unique(cell_b[fit[row]]))))
     return best if best >= AGREEING else 0
 
 
@@ -203,38 +219,37 @@ def matches(pairs_a: np.ndarray, bits_a: np.ndarray, pairs_b: np.ndarray, bits_b
     return consensus(pairs_a[good], pairs_b[nearest[good]])
 
 
-def parts(words: np.ndarray) -> list[np.ndarray]:
-    """Of descriptors as 64-bit words: the values of each of the TABLES parts of their bits."""
+def keys_of(words: np.ndarray) -> list[np.ndarray]:
+    """Of descriptors as 64-bit words: each table's keys."""
     bits = np.unpackbits(words.view(np.uint8).reshape(len(words), BITS // 8), axis=1)
-    edges = np.linspace(0, BITS, TABLES + 1).astype(int)
-    return [bits[:, i:j] @ (1 << np.arange(j - i, dtype=np.int64)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return [bits[:, at] @ (1 << np.arange(KEY, dtype=np.int32)) for at in KEYS]
 
 
 class Corners:
     """Corners of several images in one: number of the image, place and descriptor of each."""
 
-    def __init__(self, images: list[int], at: list[bytes], bits: list[list[bytes]]):
+    def __init__(self, images: list[int], at: list[bytes], bits: list[bytes]):
         self.images = np.array(images, np.int64)
-        self.owner = np.repeat(np.arange(len(images)), [len(x) for x in bits])
+        self.owner = np.repeat(np.arange(len(images)), [len(x) * 8 // BITS for x in bits])
         self.at = np.frombuffer(b"".join(at), np.float32).reshape(-1, 4).astype(float)
-        self.words = np.frombuffer(b"".join([d for x in bits for d in x]), np.uint64).reshape(-1, BITS // 64)
-        self.parts = parts(self.words)
+        self.words = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+        self.keys = keys_of(self.words)
 
 
 class Tables:
-    """Hash tables (here: sorted parts) over the corners of queries."""
+    """Hash tables (here: sorted keys) over the corners of queries."""
 
     def __init__(self, asked: Corners):
         self.asked = asked
-        self.orders = [np.argsort(p) for p in asked.parts]
-        self.sorted = [p[o] for p, o in zip(asked.parts, self.orders, strict=True)]
+        self.orders = [np.argsort(p) for p in asked.keys]
+        self.sorted = [p[o] for p, o in zip(asked.keys, self.orders, strict=True)]
         self.words = [np.ascontiguousarray(asked.words[o].T) for o in self.orders]
 
     def near(self, stored: Corners) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All pairs of a query's and an image's descriptor that differ in at most DISTANCE bits, and in how many."""
+        """The pairs of a query's and an image's descriptor that meet in a table and differ in at most DISTANCE bits, and in how many."""
         codes = [np.zeros(0, np.int64)]
         columns = np.ascontiguousarray(stored.words.T)
-        for own, order, keys, words in zip(stored.parts, self.orders, self.sorted, self.words, strict=True):
+        for own, order, keys, words in zip(stored.keys, self.orders, self.sorted, self.words, strict=True):
             low = np.searchsorted(keys, own)
             n = np.searchsorted(keys, own, "right") - low
             ends = np.cumsum(n)
@@ -258,7 +273,7 @@ class Tables:
         return a, b, np.bitwise_count(self.asked.words[a] ^ stored.words[b]).sum(1, dtype=np.int64)
 
     def copies(self, stored: Corners) -> list[tuple[int, int, int]]:
-        """(query, image, agreeing) of all pairs with at least AGREEING agreeing matches; as matches() finds them."""
+        """(query, image, agreeing) of the pairs with at least AGREEING agreeing matches."""
         a, b, apart = self.near(stored)
         if not len(a):
             return []
@@ -273,30 +288,24 @@ class Tables:
         start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (image[1:] != image[:-1])])) if len(a) else np.zeros(0, int)
         n = np.diff(np.concatenate([start, [len(a)]]))
         out = []
-        for size in np.unique(n[n >= AGREEING]).tolist():
-            groups, step = start[n == size], max(1, PAIRS // size**2)
-            for i in range(0, len(groups), step):
-                rows = groups[i : i + step, None] + np.arange(size)
-                change = stored.at[b[rows], 2:] - self.asked.at[a[rows], 2:]
-                scale = np.abs(change[:, :, None, 0] - change[:, None, :, 0]) <= np.log(SCALE)
-                turn = np.abs((change[:, :, None, 1] - change[:, None, :, 1] + np.pi) % (2 * np.pi) - np.pi) <= np.radians(ANGLE) + 1e-9
-                for r in rows[(scale & turn).sum(2).max(1) >= AGREEING]:  # only these can agree
-                    count = consensus(self.asked.at[a[r]], stored.at[b[r]])
-                    if count >= AGREEING:
-                        out.append((int(self.asked.images[q[r[0]]]), int(stored.images[image[r[0]]]), count))
+        for i, size in zip(start[n >= AGREEING].tolist(), n[n >= AGREEING].tolist(), strict=True):
+            r = slice(i, i + size)
+            if count := consensus(self.asked.at[a[r]], stored.at[b[r]]):
+                out.append((int(self.asked.images[q[i]]), int(stored.images[image[i]]), count))
         return out
 
 
 def links(described: DataFrame) -> DataFrame:
-    """query, image, agreeing: pairs that are copies. described: image (number), asks, at, bits.
+    """query, image, agreeing: pairs that are copies. described: image (number), asks, stored, at, bits.
 
-    Queries are taken in blocks of about CORNERS descriptors, and each block's tables go over all images where they
+    Queries are taken in blocks of about ASKED descriptors, and each block's tables go over all images where they
     are. Nothing is shuffled, and what is sent is bounded; the passes over the images grow with the queries.
     """
     spark = described.sparkSession
     folder = work_dir(spark, "links")
     asked = described.filter("asks").select("image", "at", "bits")
-    blocks = -(-(asked.agg(F.coalesce(F.sum(F.size("bits")), F.lit(0))).first()[0]) // CORNERS)
+    blocks = -(-(asked.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]) // (ASKED * BITS // 8))
+    kinds = (pa.int64(), pa.int64(), pa.int32())
     spark.createDataFrame([], "query long, image long, agreeing int").write.parquet(folder)
     for block in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("image"), F.lit(blocks)) == block).toArrow().to_pydict()
@@ -306,29 +315,24 @@ def links(described: DataFrame) -> DataFrame:
             tables = Tables(Corners(*shared.value))
             for batch in batches:
                 images, at, bits = (c.to_pylist() for c in batch.columns)
-                ends, i, out = np.cumsum([len(x) for x in bits]), 0, []
+                ends, i, out = np.cumsum([len(x) * 8 // BITS for x in bits]), 0, []
                 while i < len(images):
                     j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CORNERS, "right")))
                     out += tables.copies(Corners(images[i:j], at[i:j], bits[i:j]))
                     i = j
-                kinds = (pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["query", "image", "agreeing"])
 
-        described.select("image", "at", "bits").mapInArrow(run, "query long, image long, agreeing int").write.mode("append").parquet(folder)
+        described.filter("stored").select("image", "at", "bits").mapInArrow(run, "query long, image long, agreeing int").write.mode("append").parquet(folder)
         shared.destroy()
-    return spark.read.parquet(folder)
-
+    out = cut(spark.read.parquet(folder))
+    remove(spark, folder)
+    return out
 
-def search(df: DataFrame, is_query: Column, id_column: str, content: str) -> DataFrame:
-    """One row for each row of df: the id, class_id (least id of the rows with the same pixels), class_size, is_query,
-    n_corners, and for queries n_copies (other classes that are cropped or edited copies), best_copy (class_id of
-    the one with the most agreeing matches) and best_agreeing; null for others.
 
-    Rows with equal pixels are one class, described and searched for once; it is a query if one of its rows is.
-    Files that cannot be read, and nulls, have no corners and are classes by their bytes. Ties go to the least
-    class_id; a null id is the least. An empty table gives an empty result. Other columns are not read.
-    """
-    spark = df.sparkSession
+def find(df: DataFrame, is_query: Column, id_column: str, content: str, is_stored: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, is_query, image, class_id, class_size, n_corners) for all rows of df, and links (query, image, agreeing)
+    between their images. See search(). Only rows with is_stored (by default all) are searched."""
+    spark, folders = df.sparkSession, []
 
     def digests():
         def function(batch):
@@ -342,11 +346,11 @@ def search(df: DataFrame, is_query: Column, id_column: str, content: str) -> Dat
 
         return function
 
-    folder = work_dir(spark, "images")
-    own = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{content}`").alias(content), F.coalesce(is_query, F.lit(False)).alias("is_query"))
-    map_batches(own.withColumn("row", F.monotonically_increasing_id()), [("node", T.BinaryType())], digests).write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    groups = cut(rows.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n"), F.max("is_query").alias("asks")))
+    flags = [F.coalesce(is_query, F.lit(False)).alias("is_query"), (F.lit(True) if is_stored is None else F.coalesce(is_stored, F.lit(False))).alias("is_stored")]
+    own = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{content}`").alias(content), *flags)
+    rows = staged(map_batches(own.withColumn("row", F.monotonically_increasing_id()), [("node", T.BinaryType())], digests), folders, "images")
+    groups = rows.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n"), F.max("is_query").alias("asks"), F.max("is_stored").alias("stored"))
+    groups = staged(groups, folders, "groups")
 
     def corners_of():
         def function(batch):
@@ -355,25 +359,45 @@ def search(df: DataFrame, is_query: Column, id_column: str, content: str) -> Dat
                 image = read_image(x.as_py())
                 at, bits = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))
                 out[0].append(at.astype(np.float32).tobytes())
-                out[1].append([r.tobytes() for r in bits])
+                out[1].append(bits.tobytes())
             return out
 
         return function
 
-    firsts = rows.join(groups.select("node", "asks", F.col("first.row").alias("row")), ["node", "row"]).select(F.col("row").alias("image"), "asks", content)
-    folder = work_dir(spark, "corners")
-    map_batches(firsts, [("at", T.BinaryType()), ("bits", T.ArrayType(T.BinaryType()))], corners_of, ["image", "asks"]).write.parquet(folder)
-    described = spark.read.parquet(folder)
-
-    classes = groups.select("node", "n", "asks", F.col("first.id").alias("class_id"), F.col("first.row").alias("image"))
-    found = links(described).join(classes.select("image", "class_id"), "image")
-    found = found.groupBy(F.col("query").alias("image")).agg(F.count("*").alias("n_copies"), F.max(F.struct("agreeing", (-F.col("image")).alias("least"), "class_id")).alias("best"))
-    whole = classes.join(described.select("image", F.size("bits").alias("n_corners")), "image").join(found, "image", "left")
-    out = join_groups(rows.select("id", "is_query", "node"), whole, "node", "n")
-    return out.select(
-        F.col("id").alias(id_column),
+    firsts = rows.join(groups.select("node", "asks", "stored", F.col("first.row").alias("row")), ["node", "row"]).select(F.col("row").alias("image"), "asks", "stored", content)
+    described = staged(map_batches(firsts, [("at", T.BinaryType()), ("bits", T.BinaryType())], corners_of, ["image", "asks", "stored"]), folders, "corners")
+    found = links(described)
+    classes = groups.select("node", "n", F.col("first.id").alias("class_id"), F.col("first.row").alias("image"))
+    whole = classes.join(described.select("image", F.expr(f"octet_length(bits) div {BITS // 8}").cast("int").alias("n_corners")), "image")
+    out = cut(join_groups(rows.select("id", "is_query", "node"), whole, "node", "n").select("id", "is_query", "image", "class_id", F.col("n").alias("class_size"), "n_corners"))
+    for folder in folders:
+        remove(spark, folder)
+    return out, found
+
+
+def search(df: DataFrame, is_query: Column, id_column: str, content: str, is_stored: Column | None = None) -> DataFrame:
+    """One row for each row of df: the id, class_id (least id of the rows with the same pixels), class_size, is_query,
+    n_corners, and for queries n_copies (other classes that are cropped or edited copies), best_copy (class_id of
+    the one with the most agreeing matches) and best_agreeing; null for others.
+
+    Rows with equal pixels are one class, described and searched for once; it is a query if one of its rows is.
+    Files that cannot be read, and nulls, have no corners and are classes by their bytes. Ties go to the least
+    class_id; a null id is the least. An empty table gives an empty result. Other columns are not read. Only classes
+    with a row that is_stored are searched; a query is not a copy of its own class.
+    """
+    return summary(*find(df, is_query, id_column, content, is_stored)).drop("image").withColumnRenamed("id", id_column)
+
+
+def summary(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """What search() tells of each row, beside its image."""
+    names = rows.groupBy("image").agg(F.first("class_id").alias("class_id"))
+    best = F.min(F.struct((-F.col("agreeing")).alias("less"), "class_id", "agreeing")).alias("best")
+    best = found.join(names, "image").groupBy(F.col("query").alias("image")).agg(F.count("*").alias("n_copies"), best)
+    return rows.join(best, "image", "left").select(
+        "id",
+        "image",
         "class_id",
-        F.col("n").alias("class_size"),
+        "class_size",
         "is_query",
         "n_corners",
         F.when(F.col("is_query"), F.coalesce("n_copies", F.lit(0))).alias("n_copies"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -129,8 +130,42 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(read(spark, sf_dir, "documents"))
 
 
+#: Pixels of a picture's side, cells of its texture's side, and how much the vector's values and the texture weigh.
+SIDE, CELLS, PLAIN, TEXTURE = 96, 24, 28, 36
+#: What is done to a query's picture, by its number.
+EDITS = ("crop", "noise", "brightness", "quarter turn", "larger", "smaller")
+
+
+@lru_cache
+def mixture_of(n: int) -> np.ndarray:
+    return np.random.default_rng(17).normal(0, 1, (CELLS**2, n)) / 8
+
+
+def drawn(values: list[float]) -> np.ndarray:
+    """A vector as a grey picture: its values as a coarse pattern, and a fixed mixture of them as a fine one."""
+    v = np.array(values, float)
+    v = np.concatenate([v, np.zeros(-len(v) % 8)])
+    v = 8 * v / max(1e-9, float(np.linalg.norm(v)))
+    mixed = mixture_of(len(v)) @ v
+    plain = image_copies.resized(v.reshape(8, -1), SIDE, SIDE) if len(v) else np.zeros((SIDE, SIDE))
+    return np.clip(np.round(128 + PLAIN * plain + TEXTURE * image_copies.resized(mixed.reshape(CELLS, CELLS), SIDE, SIDE)), 0, 255).astype(np.uint8)
+
+
+def edited(picture: np.ndarray, edit: str, seed: int) -> np.ndarray:
+    if edit == "crop":
+        return picture[10:84, 14:92]
+    if edit == "quarter turn":
+        return np.rot90(picture)
+    if edit in ("larger", "smaller"):
+        side = int(SIDE * (1.3 if edit == "larger" else 0.8))
+        return image_copies.resized(picture.astype(float), side, side).round()
+    changed = picture + np.random.default_rng(seed).normal(0, 4, picture.shape) if edit == "noise" else picture * 0.8 + 30
+    return np.clip(changed, 0, 255).round()
+
+
 def pictures(vectors: DataFrame) -> DataFrame:
-    """vec_id, picture: each vector drawn as a grey PGM file, eight values a line and eight pixels a value.
+    """vec_id, edit, picture: each vector drawn as a grey PGM file, and for the queries (vec_id divisible by 20) an edited
+    copy beside it. edit is null for a picture itself.
 
     No table holds images, so these stand for a media column.
     """
@@ -138,18 +173,26 @@ def pictures(vectors: DataFrame) -> DataFrame:
     def make():
         def function(batch):
             out = []
-            for x in batch.column("embedding"):
-                v = np.array(x.as_py() or [], float)
-                v = np.concatenate([v, np.zeros(-len(v) % 8)]).reshape(-1, 8)
-                out.append(image_copies.pgm(np.clip(np.round(128 + 400 * np.kron(v, np.ones((8, 8)))), 0, 255)))
+            for i, edit, x in zip(batch.column("vec_id").to_pylist(), batch.column("edit").to_pylist(), batch.column("embedding").to_pylist(), strict=True):
+                picture = drawn(x or [])
+                out.append(image_copies.pgm(np.ascontiguousarray(picture if edit is None else edited(picture, edit, i))))
             return [out]
 
         return function
 
-    return map_batches(vectors, [("picture", T.BinaryType())], make, ["vec_id"])
+    number = (F.pmod(F.floor(F.col("vec_id") / 20), F.lit(len(EDITS))) + 1).cast("int")
+    edits = F.when(F.col("vec_id") % 20 == 0, F.array(F.lit(None).cast("string"), F.element_at(F.array(*map(F.lit, EDITS)), number)))
+    rows = vectors.select("vec_id", "embedding", F.explode(F.coalesce(edits, F.array(F.lit(None).cast("string")))).alias("edit"))
+    return map_batches(rows, [("picture", T.BinaryType())], make, ["vec_id", "edit"])
 
 
 @query
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = pictures(read(spark, sf_dir, "embeddings"))
-    return image_copies.search(images, F.col("vec_id") % 20 == 0, "vec_id", "picture")
+    """For each query its copies among all pictures: how many, the best one, and the agreeing matches with its own original."""
+    images = pictures(read(spark, sf_dir, "embeddings")).withColumn("key", F.struct("vec_id", "edit"))
+    rows, links = image_copies.find(images, F.col("edit").isNotNull(), "key", "picture", F.col("edit").isNull())
+    found = image_copies.summary(rows.withColumn("class_id", F.col("class_id.vec_id")), links)
+    asked = found.filter("is_query").select(F.col("id.vec_id").alias("vec_id"), F.col("id.edit").alias("edit"), "image", "n_corners", "n_copies", "best_copy", "best_agreeing")
+    own = rows.filter("not is_query").select(F.col("id.vec_id").alias("vec_id"), F.col("image").alias("own"))
+    links = links.select(F.col("query").alias("image"), F.col("image").alias("own"), F.col("agreeing").alias("own_agreeing"))
+    return asked.join(own, "vec_id").join(links, ["image", "own"], "left").drop("image", "own")
