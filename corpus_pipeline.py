@@ -16,9 +16,10 @@ from urkunde.llm.common import read, work_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learnt from all labels, does not reject."""
-    judged = quality_mil.classify(docs, read(spark, sf_dir, "labels"), F.lit(False), keep=docs.columns)
-    return judged.filter("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the quality classifier, learnt from all labels, does not reject; with all their columns as they are."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "doc_id", "text")
+    judged = quality_mil.classify(packed, read(spark, sf_dir, "labels"), F.lit(False), keep=["_all"])
+    return judged.filter("predicted = 1").select("_all.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
