@@ -345,6 +345,14 @@ def test_png():
     assert image_copies.read_image(image_copies.pgm(a)).shape == (20, 30)
 
 
+def test_quality_stage_keeps_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).withColumns({c: F.lit("mine") for c in ("score", "predicted", "held_out")})
+    kept = corpus_pipeline.keep_quality(spark, docs, SF)
+    assert kept.columns == docs.columns and {(r.score, r.predicted, r.held_out) for r in kept.collect()} == {("mine",) * 3}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
