@@ -12,8 +12,8 @@ import json
 
 #: Stands for the end-of-word suffix; belongs to the symbol before it.
 MARK = ""
-#: Entries of a memo before it starts anew.
-MEMO = 1_000_000
+#: Neighbours whose compatibility is kept before the memo starts anew, and the longest string that any memo keeps.
+MEMO, MEMO_LENGTH = 1_000_000, 64
 INFINITE = 1 << 60
 
 
@@ -32,6 +32,28 @@ def letters(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").decode("latin-1").translate(LETTERS)
 
 
+class Memo(dict):
+    """From strings to what make() gives for them. Of two generations of entries the older goes when the younger is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+        self.old: dict[str, bytes] = {}
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.old.get(key)) is None:
+            out = self.make(key)
+        if len(key) <= MEMO_LENGTH:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
 class Merges:
     """A vocabulary and its ranked merges."""
 

@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import LETTERS, MARK, Merges, Transducer, letters
+from .bpe import LETTERS, MARK, Memo, Merges, Transducer, letters
 from .common import map_batches, strings
 
-#: Words whose ids a worker keeps; the memo starts anew beyond that.
+#: Pieces of text whose ids a worker keeps, in each of two generations.
 WORDS = 250_000
-#: Longer words are not kept.
-WORD_LENGTH = 64
 #: Ids that are decoded at once.
 FED = 1 << 16
 # Fixed value: the pattern by which vocabularies of this kind find words in a normalised text.
@@ -65,31 +63,19 @@ class ByteText:
         yield self.end()
 
 
-class Pieces(dict):
-    """From what stands between spaces to its ids (unsigned, 32 bits)."""
+class Pieces(Memo):
+    """From what stands between spaces, or a word of it, to its ids (unsigned, 32 bits)."""
 
     def __init__(self, codec: Codec):
-        super().__init__()
+        super().__init__(WORDS)
         self.codec = codec
         self.find = regex.compile(WORD).findall
-        self.words: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        out = b"".join([self.word(w) for w in (self.find(piece) if piece.isascii() or max(piece) <= LATIN else self.codec.cut(piece))])
-        if len(piece) <= WORD_LENGTH:
-            if len(self) >= WORDS:
-                self.clear()
-            self[piece] = out
-        return out
 
-    def word(self, word: str) -> bytes:
-        if (out := self.words.get(word)) is None:
-            out = array("I", self.codec.encode_word(word)).tobytes()
-            if len(word) <= WORD_LENGTH:
-                if len(self.words) >= WORDS:
-                    self.words.clear()
-                self.words[word] = out
-        return out
+    def make(self, piece: str) -> bytes:
+        words = self.find(piece) if piece.isascii() or max(piece) <= LATIN else self.codec.cut(piece)
+        if len(words) < 2:
+            return b"".join([array("I", self.codec.encode_word(w)).tobytes() for w in words])
+        return b"".join([self[w] for w in words])
 
 
 class Codec:

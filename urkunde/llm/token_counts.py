@@ -17,13 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .bpe import Merges, letters
+from .bpe import Memo, Merges, letters
 from .common import map_batches, strings
 
-#: Units whose table a worker keeps, and as many words; a memo starts anew beyond that.
-UNITS = 500_000
-#: Longer units are not kept.
-UNIT_LENGTH = 64
+#: Units whose table a worker keeps, and as many words, in each of two generations.
+UNITS = 200_000
 
 # Fixed value: the pattern by which byte-level vocabularies of this kind cut a text.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,11 +32,11 @@ LATIN = "\u024f"
 UNIT = r"(?:\s+(?<! ))?'(?:s|t|re|ve|m|ll|d)|\s*(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+"
 
 
-class Tables(dict):
+class Tables(Memo):
     """From a unit to the changes of the count along it."""
 
     def __init__(self, merges: Merges):
-        super().__init__()
+        super().__init__(UNITS)
         self.merges = merges
         self.pieces = regex.compile(PIECES).findall
         self.spaces = regex.compile(r"\s*").match
@@ -71,30 +69,23 @@ class Tables(dict):
         steps = [b - a for a, b in zip(counts, counts[1:], strict=False)]
         return array("h", steps).tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        out = self.changes(unit, unit)
-        if len(unit) <= UNIT_LENGTH:
-            if len(self) >= UNITS:
-                self.clear()
-            self[unit] = out
-        return out
+    def make(self, unit: str) -> bytes:
+        return self.changes(unit, unit)
 
 
-class Words(dict):
+class Words(Memo):
     """From what stands between two single spaces to the changes along it and the space before."""
 
     def __init__(self, tables: Tables):
-        super().__init__()
+        super().__init__(UNITS)
         self.tables = tables
         self.units = regex.compile(UNIT).findall
 
-    def __missing__(self, word: str) -> bytes:
-        out = b"".join([self.tables[u] for u in self.units(" " + word)])
-        if len(word) <= UNIT_LENGTH:
-            if len(self) >= UNITS:
-                self.clear()
-            self[word] = out
-        return out
+    def make(self, word: str) -> bytes:
+        units = self.units(" " + word)
+        if len(units) == 1:  # kept here only
+            return self.tables.make(units[0])
+        return b"".join([self.tables[u] for u in units])
 
 
 class TokenCounter:
