@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import DEFAULT_PACK, PatternSpec, context, dialect, matches
+from .text import let
 
 # Fixed value: month names and their numbers.
 MONTHS = {
@@ -55,7 +56,7 @@ def best_date(text: Column, pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> Col
         ),
     )
     top = F.array_max(F.filter(rated, lambda x: x["date"].isNotNull()))
-    return F.struct(top["date"].alias("date"), F.when(top["date"].isNotNull(), F.least(top["total"], F.lit(1.0))).alias("score"))
+    return let(top, lambda t: F.struct(t["date"].alias("date"), F.when(t["date"].isNotNull(), F.least(t["total"], F.lit(1.0))).alias("score")))
 
 
 def bonus(around: Column) -> Column:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 @dataclass(frozen=True)
 class PatternSpec:
@@ -49,6 +51,7 @@ EXTENDED_PACK = (
 )
 
 FIELDS = ("title", "publisher", "document_type", "profession", "author")
+#: No rule matches an empty string, so an empty first match is none.
 LETTER = r"[\p{L}\p{N}_]"
 
 
@@ -105,22 +108,24 @@ def matches(text: Column, field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PA
     """All matches of a field with their places (code points, end exclusive)."""
     found = []
     for rank, spec in ranked(field, pack):
-        between = F.split(text, dialect(spec.regex), -1)
-        # A match starts after all text between matches, and all matches, before it.
-        rows = F.arrays_zip(values(text, spec).alias("value"), F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))).alias("before"))
+        # A match starts after all text between matches, and all matches, before it. What follows the last one has none.
+        both = F.arrays_zip(values(text, spec).alias("value"), F.split(text, dialect(spec.regex), -1).alias("before"))
+        rows = F.filter(both, lambda x: x["value"].isNotNull())
         placed = F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.array().cast(KIND).alias("out")), placing(spec, rank), lambda a: a["out"])
         found.append(F.coalesce(placed, F.array().cast(KIND)))
     return F.concat(*found) if found else F.array().cast(KIND)
 
 
-def best(text: Column, field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> tuple[Column, Column]:
-    """Value and confidence of a field's first match; nulls without one."""
-    value, score = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for _, spec in reversed(ranked(field, pack)):
-        own = F.get(values(text, spec), F.lit(0))
-        value = F.coalesce(own, value)
-        score = F.when(own.isNotNull(), F.lit(spec.confidence)).otherwise(score)
-    return value, score
+def best(text: Column, field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> Column:
+    """struct(value, score) of a field's first match; null without one. A rule is tried once, and only if none before it matched."""
+    kind = "struct<value:string,score:double>"
+
+    def first(spec: PatternSpec) -> Column:
+        score = F.lit(spec.confidence).alias("score")
+        return let(F.regexp_extract(text, dialect(spec.regex), 0), lambda v: F.when(v != "", F.struct(v.alias("value"), score)))
+
+    found = [first(spec) for _, spec in ranked(field, pack)]
+    return F.coalesce(*found).cast(kind) if found else F.lit(None).cast(kind)
 
 
 def context(text: Column, start: Column, end: Column, reach: int = 50) -> Column:

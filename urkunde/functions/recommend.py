@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Approaches by document type, those that always follow, and the lists of the modes.
 BY_TYPE = {
     "fraktur": ("fraktur_traditional", "fraktur_enhanced"),
@@ -34,11 +36,6 @@ def names(items: tuple[str, ...] | list[str]) -> Column:
     return F.array(*map(F.lit, items)) if items else F.array().cast("array<string>")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once however often it occurs."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def recommended(kind: Column, quality: Column, inverted: Column, contrast: Column, noise: Column) -> Column:
     """The list for an image; an approach may stand in it twice."""
     out = names(OTHERWISE)

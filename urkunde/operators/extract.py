@@ -37,8 +37,7 @@ def overall(scores: Column) -> Column:
 def metadata(docs: DataFrame, text: str = "text", pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> DataFrame:
     """Adds the record's columns: each field's best match, date and year, the scores, their mean and a preview."""
     body = F.col(text)
-    found = {f: best(body, f, pack) for f in FIELDS}
-    own = F.struct(*[F.struct(v.alias("value"), s.alias("score")).alias(f) for f, (v, s) in found.items()], best_date(body, pack).alias("date"))
+    own = F.struct(*[best(body, f, pack).alias(f) for f in FIELDS], best_date(body, pack).alias("date"))
     # The generator keeps the optimiser from putting the matching into each of the columns that use it.
     out = docs.select("*", F.inline(F.array(F.struct(own.alias("_found")))))
     scores = F.map_from_entries(

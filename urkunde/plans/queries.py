@@ -82,8 +82,8 @@ for _field in ("title", "publisher", "document_type", "author", "profession"):
 
     @query(f"best_{_field}", f"WITH {fx.CORPUS_SQL} SELECT doc_id, {_value} AS {_field}, {_score} AS confidence FROM corpus")
     def _best(spark: SparkSession, sf_dir: str, field: str = _field) -> DataFrame:
-        value, score = patterns.best(F.col("text"), field)
-        return fx.corpus(spark, sf_dir).select("doc_id", value.alias(field), score.alias("confidence"))
+        found = fx.corpus(spark, sf_dir).select("doc_id", F.inline(F.array(F.struct(patterns.best(F.col("text"), field).alias("m")))))
+        return found.select("doc_id", F.col("m.value").alias(field), F.col("m.score").alias("confidence"))
 
 
 MONTH_CASE = "CASE lower(regexp_extract(value, '(\\d{1,2})\\.\\s*([a-zA-ZäöüÄÖÜß]+)\\s*(\\d{4})', 2)) " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in dates.MONTHS.items()) + " END"
@@ -103,7 +103,7 @@ dated AS (
 
 @query("best_date", f"{DATES_SQL} SELECT corpus.doc_id, date, year(date) AS year, round(score, 6) AS confidence FROM corpus LEFT JOIN dated ON corpus.doc_id = dated.doc_id")
 def best_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fx.corpus(spark, sf_dir).select("doc_id", dates.best_date(F.col("text")).alias("d"))
+    out = fx.corpus(spark, sf_dir).select("doc_id", F.inline(F.array(F.struct(dates.best_date(F.col("text")).alias("d")))))
     return out.select("doc_id", F.col("d.date").alias("date"), F.year("d.date").cast("long").alias("year"), F.round("d.score", 6).alias("confidence"))
 
 
