@@ -1,5 +1,6 @@
 import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -87,18 +88,70 @@ def test_steps():
     assert images.step_name(("contrast", 1.2, 10)) == "contrast(1.2, 10)"
 
 
-def test_outlines():
+def flood(free, start, around):
+    out, edge = {start}, [start]
+    while edge:
+        y, x = edge.pop()
+        for dy, dx in around:
+            p = (y + dy, x + dx)
+            if 0 <= p[0] < free.shape[0] and 0 <= p[1] < free.shape[1] and free[p] and p not in out:
+                out.add(p)
+                edge.append(p)
+    return out
+
+
+def traced(binary):
+    """Areas within, and heights of, the outer outlines, by following each border pixel by pixel."""
+    on = np.pad(binary > 0, 1)
+    around = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    outside, seen, out = flood(~on, (0, 0), around[::2]), set(), []
+    for first in map(tuple, np.argwhere(on)):
+        if first in seen:
+            continue
+        seen |= flood(on, first, around)
+        if (first[0], first[1] - 1) not in outside:
+            continue
+        points, at, back, second = [first], first, 4, None
+        while True:
+            steps = [(at[0] + around[(back + k) % 8][0], at[1] + around[(back + k) % 8][1], (back + k) % 8) for k in range(1, 9)]
+            steps = [s for s in steps if on[s[:2]]]
+            if not steps or (at == first and second == steps[0][:2]):
+                break
+            second = second or steps[0][:2]
+            at, back = steps[0][:2], (steps[0][2] + 4) % 8
+            points.append(at)
+        y, x = np.array(points, float).T
+        out.append((abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2, int(y.max() - y.min()) + 1))
+    return sorted(out)
+
+
+def test_shapes_against_tracing():
     a = np.zeros((40, 60), np.uint8)
     a[5:15, 5:25] = 255
     a[20:35, 30:50] = 255
     a[25:30, 35:45] = 0
-    found = sorted(images.area(o) for o in images.outlines(a))
-    assert found == [9 * 19, 14 * 19]
-    assert images.text_size(a) == "small"
-    single = np.zeros((5, 5), np.uint8)
-    single[2, 2] = 255
-    assert [images.area(o) for o in images.outlines(single)] == [0.0]
-    assert 0 < images.text_density(a) < 1
+    a[27, 38:40] = 255  # enclosed: not counted
+    areas, heights = images.shapes(a)
+    assert sorted(areas) == [9 * 19, 14 * 19] and images.text_shape(a)[1] == "small" and 0 < images.text_shape(a)[0] < 1
+    rng = np.random.default_rng(5)
+    for share in (0.1, 0.3, 0.5, 0.7, 0.9):
+        for _ in range(6):
+            a = (rng.random((25, 31)) < share).astype(np.uint8)
+            areas, heights = images.shapes(a)
+            assert sorted(zip(areas, heights, strict=True)) == traced(a)
+    for a in (np.zeros((3, 4), np.uint8), np.ones((3, 4), np.uint8)):
+        assert sorted(zip(*images.shapes(a), strict=True)) == traced(a)
+    big = np.kron(rng.integers(0, 2, (300, 400)), np.ones((5, 5))).astype(np.uint8)
+    began = time.process_time()
+    images.shapes(big)
+    assert time.process_time() - began < 10
+
+
+def test_denoise_in_strips(monkeypatch):
+    a = picture(40, 30, 7)
+    whole = images.denoise(a)
+    monkeypatch.setattr(images, "STRIP", 200)
+    assert (images.denoise(a) == whole).all()
 
 
 def write_png(path, a):
@@ -130,7 +183,7 @@ def test_images_and_ocr(spark, folder):
         by.setdefault(r.doc_id.rsplit("/", 1)[-1], []).append(r)
     assert [r.approach for r in by["one.png"]] == ["direct"]
     assert [(r.success, r.error) for r in by["two.png"]] == [(True, None), (False, "Unknown approach: nope"), (True, None)]
-    assert by["two.png"][0].text == "ein längerer Text in Fraktur"
+    assert by["two.png"][0].text == "ein längerer Text in Fraktur" and all(r.processing_time > 0 for r in by["two.png"])
     assert not any(r.success for r in by["bad.png"])
     out = {r.doc_id.rsplit("/", 1)[-1]: r for r in attempts.outcome(tried, ["doc_id", "page_num"]).collect()}
     assert out["one.png"].text == good and out["bad.png"].text == "" and out["bad.png"].successful_approach is None

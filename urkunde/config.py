@@ -47,6 +47,7 @@ class ConfigurationError(DocumentError):
 class ProcessingConfig:
     """All settings. Those that no operator reads (confidence_threshold, memory_limit_mb, ...) are accepted and kept."""
 
+    # Names and defaults of the settings.
     dpi: int = 300
     confidence_threshold: float = 0.7
     output_directory: str = "output_smart_ocr"

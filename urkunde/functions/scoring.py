@@ -27,21 +27,29 @@ def present(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(add, [F.contains(text, F.lit(w)).cast("int") for w in words])
 
 
+# What a text's score is made of (measure, the most that counts, weight), and the factors on it.
+PARTS = (("length", 500.0, 0.25), ("words", 8.0, 0.35), ("structure", 20.0, 0.15), ("dates", 3.0, 0.15))
+STRUCTURE = r"[\n().,:;]"
+BY_QUALITY = {"poor": 0.8, "excellent": 1.1}
+MOST_ODD, ODD_FACTOR = 0.3, 0.7
+#: Neither a letter, digit, underscore, white space nor common punctuation.
+ODD = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f.,:;()\-]"
+
+
 def ocr_confidence(text: Column, quality: Column | None = None) -> Column:
-    """0 to 1 by length, German words, structure and dates; times a factor by image quality and for odd signs."""
-    capped = lambda x, most: F.least(x / F.lit(most), F.lit(1.0))
-    dates = reduce(add, [F.rlike(text, F.lit("(?U)" + p)).cast("int") for p in DATE_SIGNS])
-    score = (
-        F.lit(0.0)
-        + capped(F.length(strip(text)), 500.0) * 0.25
-        + capped(present(F.lower(text), SCORED_WORDS), 8.0) * 0.35
-        + capped(F.regexp_count(text, F.lit(r"[\n().,:;]")), 20.0) * 0.15
-        + capped(dates, 3.0) * 0.15
-    )
+    """0 to 1: the sum of PARTS, times a factor by image quality and one for many odd signs."""
+    measures = {
+        "length": F.length(strip(text)),
+        "words": present(F.lower(text), SCORED_WORDS),
+        "structure": F.regexp_count(text, F.lit(STRUCTURE)),
+        "dates": reduce(add, [F.rlike(text, F.lit("(?U)" + p)).cast("int") for p in DATE_SIGNS]),
+    }
+    score = reduce(add, [F.least(measures[name] / F.lit(most), F.lit(1.0)) * weight for name, most, weight in PARTS], F.lit(0.0))
     if quality is not None:
-        score = score * F.when(quality == "poor", 0.8).when(quality == "excellent", 1.1).otherwise(1.0)
-    odd = F.regexp_count(text, F.lit(r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f.,:;()\-]")) / F.greatest(F.length(text), F.lit(1))
-    score = score * F.when(odd > 0.3, 0.7).otherwise(1.0)
+        factors = F.create_map(*[F.lit(x) for pair in BY_QUALITY.items() for x in pair])
+        score = score * F.coalesce(F.try_element_at(factors, quality), F.lit(1.0))
+    odd = F.regexp_count(text, F.lit(ODD)) / F.greatest(F.length(text), F.lit(1))
+    score = score * F.when(odd > MOST_ODD, ODD_FACTOR).otherwise(1.0)
     return F.when(stripped_length(text) == 0, 0.0).otherwise(F.least(score, F.lit(1.0)))
 
 

@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import page_span, stripped_length
 
+NO_TEXT = "No text could be extracted from document"
+
 
 def page_range(pages: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:
     return pages.filter(F.col("page_num") >= first if not last else F.col("page_num").between(first, last))
 
 
-def documents(pages: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text (non-blank pages in order under their headings), total_pages, successful_pages, page_results, error."""
+def gathered(error: Column) -> list[Column]:
+    """What a document's pages come to: text (non-blank pages in order under their headings), total_pages,
+    successful_pages, page_results. error: a page's, or null."""
     filled = stripped_length(F.col("text")) > 0
     heading = F.concat(F.lit("\n--- Page "), F.col("page_num").cast("string"), F.lit(" ---\n"), F.col("text"))
-    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
     parts = F.array_sort(F.collect_list(F.when(filled, F.struct("page_num", heading.alias("part")))))
-    out = pages.groupBy(doc_id).agg(
+    return [
         F.array_join(F.transform(parts, lambda p: p["part"]), "\n").alias("text"),
         F.count("*").alias("total_pages"),
         F.count_if(filled).alias("successful_pages"),
         F.array_sort(F.collect_list(F.struct("page_num", error.isNull().alias("success"), error.alias("error")))).alias("page_results"),
-    )
-    return out.withColumn("error", F.when(stripped_length(F.col("text")) == 0, "No text could be extracted from document"))
+    ]
+
+
+def documents(pages: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, text, total_pages, successful_pages, page_results, error."""
+    error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    out = pages.groupBy(doc_id).agg(*gathered(error))
+    return out.withColumn("error", F.when(stripped_length(F.col("text")) == 0, NO_TEXT))
 
 
 def with_processing(records: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:

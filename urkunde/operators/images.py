@@ -58,23 +58,35 @@ def scale(a: Image, factor: float = 2.5) -> Image:
     return saturated(np.swapaxes(along(np.swapaxes(along(a.astype(float), h), 0, 1), w), 0, 1))
 
 
+#: Pixels that denoise() works on at once.
+STRIP = 1 << 20
+
+
 def denoise(a: Image, strength: float = 10.0, patch: int = 3, reach: int = 10) -> Image:
-    """Non-local means: each pixel is the mean of those around it, weighed by how alike their patches are."""
-    g = gray(a).astype(float)
-    wide = np.pad(g, reach + patch, mode="reflect") if min(g.shape) > reach + patch else np.pad(g, reach + patch, mode="edge")
-    h, w = g.shape
+    """Non-local means: each pixel is the mean of those around it, weighed by how alike their patches are. In strips of rows."""
+    g = gray(a)
+    edge = reach + patch
+    wide = np.pad(g, edge, mode="reflect" if min(g.shape) > edge else "edge").astype(np.float32)
+    step = max(1, STRIP // max(1, g.shape[1]))
+    out = [means(wide[i : i + step + 2 * edge], strength, patch, reach) for i in range(0, g.shape[0], step)]
+    return saturated(np.concatenate(out)) if out else g
+
+
+def means(wide: np.ndarray, strength: float, patch: int, reach: int) -> np.ndarray:
+    """The means of the pixels that are reach + patch from all edges."""
+    h, w = (n - 2 * (reach + patch) for n in wide.shape)
     core = wide[reach : reach + h + 2 * patch, reach : reach + w + 2 * patch]
-    total, weights = np.zeros_like(g), np.zeros_like(g)
+    total, weights = np.zeros((h, w)), np.zeros((h, w))
     side = 2 * patch + 1
     for dy in range(-reach, reach + 1):
         for dx in range(-reach, reach + 1):
             other = wide[reach + dy : reach + dy + h + 2 * patch, reach + dx : reach + dx + w + 2 * patch]
-            sums = np.pad(((core - other) ** 2).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+            sums = np.pad(((core - other) ** 2).cumsum(0, dtype=float).cumsum(1), ((1, 0), (1, 0)))
             distance = (sums[side:, side:] - sums[:-side, side:] - sums[side:, :-side] + sums[:-side, :-side]) / side**2
             weight = np.exp(-np.maximum(distance, 0) / strength**2)
             total += weight * other[patch : patch + h, patch : patch + w]
             weights += weight
-    return saturated(total / weights)
+    return total / weights
 
 
 def border(a: Image, width: int = 50) -> Image:
@@ -156,65 +168,71 @@ def run_pipeline(a: Image, name: str, each: Callable[[int, str, Image], None] |
     return out
 
 
-def outlines(binary: Image) -> Iterator[np.ndarray]:
-    """The outer outline (y, x) of each 8-connected region that no other region encloses, followed by border tracing."""
-    on = np.pad(binary > 0, 1)
-    around = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
-    outside = flood(~on, (0, 0), around[::2])
-    seen = np.zeros_like(on)
-    for y, x in np.argwhere(on & ~np.roll(on, 1, 1)):
-        if seen[y, x] or not outside[y, x - 1]:
-            continue
-        seen |= flood(on, (y, x), around)
-        points, at, back = [(y, x)], (y, x), 4
-        start_step = None
-        while True:
-            for k in range(1, 9):
-                d = (back + k) % 8
-                nxt = (at[0] + around[d][0], at[1] + around[d][1])
-                if on[nxt]:
-                    break
+def labelled(on: np.ndarray, diagonal: bool) -> np.ndarray:
+    """The number of each pixel's connected region, from 1 on; 0 where `on` is false. Runs of a row are joined to those above."""
+    h, w = on.shape
+    edges = np.diff(np.pad(on, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edges == 1)
+    end = np.nonzero(edges == -1)[1]
+    first = np.searchsorted(row, np.arange(h + 1))
+    up = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    starts, ends, more = start.tolist(), end.tolist(), int(diagonal)
+    for y in range(1, h):
+        i, j = int(first[y - 1]), int(first[y])
+        above, below = j, int(first[y + 1])
+        while i < above and j < below:
+            if starts[i] < ends[j] + more and starts[j] < ends[i] + more:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+            if ends[i] < ends[j]:
+                i += 1
             else:
-                break
-            if at == (y, x) and start_step == nxt:
-                break
-            start_step = start_step or nxt
-            at, back = nxt, (d + 4) % 8
-            points.append(at)
-        yield np.array(points) - 1
-
-
-def flood(free: np.ndarray, start: tuple[int, int], around: list[tuple[int, int]]) -> np.ndarray:
-    """What can be reached from a place, grown by whole rings."""
-    out = np.zeros_like(free)
-    out[start] = True
-    edge = [start]
-    while edge:
-        grown = []
-        for y, x in edge:
-            for dy, dx in around:
-                p = (y + dy, x + dx)
-                if 0 <= p[0] < free.shape[0] and 0 <= p[1] < free.shape[1] and free[p] and not out[p]:
-                    out[p] = True
-                    grown.append(p)
-        edge = grown
-    return out
-
+                j += 1
+    roots = np.array([root(i) for i in range(len(up))], int)
+    names = np.unique(roots, return_inverse=True)[1] + 1 if len(roots) else roots
+    out = np.zeros(h * w + 1, np.int64)
+    np.add.at(out, row * w + start, names)
+    np.add.at(out, row * w + end, -names)
+    return out[:-1].cumsum().reshape(h, w)
 
-def area(outline: np.ndarray) -> float:
-    y, x = outline[:, 0].astype(float), outline[:, 1].astype(float)
-    return abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2
 
+def shapes(binary: Image) -> tuple[np.ndarray, np.ndarray]:
+    """Areas within the outer outlines, and heights, of the 8-connected regions that no other region encloses.
 
-def text_density(a: Image) -> float:
+    An outline runs through the centres of its pixels, so every square of four centres within it adds 1, and every
+    triangle of three 1/2.
+    """
+    on = np.pad(binary > 0, 1)
+    back = labelled(~on, diagonal=False)
+    filled = back != back[0, 0]
+    names = labelled(filled, diagonal=True)
+    n = int(names.max())
+    corners = [filled[:-1, :-1], filled[:-1, 1:], filled[1:, :-1], filled[1:, 1:]]
+    held = sum(c.astype(int) for c in corners)
+    whose = np.maximum(np.maximum(names[:-1, :-1], names[:-1, 1:]), np.maximum(names[1:, :-1], names[1:, 1:]))
+    areas = np.bincount(whose[held > 2], np.where(held[held > 2] == 4, 1.0, 0.5), n + 1)[1:]
+    y, x = np.nonzero(names)
+    top, bottom = np.full(n + 1, names.shape[0]), np.zeros(n + 1, int)
+    np.minimum.at(top, names[y, x], y)
+    np.maximum.at(bottom, names[y, x], y)
+    return areas, (bottom - top + 1)[1:]
+
+
+def text_shape(a: Image) -> tuple[float, str]:
+    """Share of the image within outlines, at most 1, and the text's size by the mean height of those over 50 pixels."""
     g = gray(a)
-    return min(sum(map(area, outlines(auto_threshold(g)))) / g.size, 1.0) if g.size else 0.0
-
-
-def text_size(a: Image) -> str:
-    heights = [int(o[:, 0].max() - o[:, 0].min()) + 1 for o in outlines(auto_threshold(a)) if area(o) > 50]
-    mean = float(np.mean(heights)) if heights else 30.0
-    return "small" if mean < 20 else "large" if mean > 40 else "medium"
+    if not g.size:
+        return 0.0, "medium"
+    areas, heights = shapes(auto_threshold(g))
+    own = heights[areas > 50]
+    mean = float(own.mean()) if len(own) else 30.0
+    return min(float(areas.sum()) / g.size, 1.0), "small" if mean < 20 else "large" if mean > 40 else "medium"
 
 
 def noise_level(a: Image) -> float:
@@ -226,14 +244,39 @@ def noise_level(a: Image) -> float:
 
 def decoded(image) -> Image | None:
     """The array behind a row of Spark's image source; None if it could not be read. One channel becomes three."""
-    h, w, c = image["height"], image["width"], image["nChannels"]
-    if h is None or h < 0:
+    if pd.isna(image["height"]) or image["height"] < 0:
         return None
+    h, w, c = (int(image[n]) for n in ("height", "width", "nChannels"))  # beside a missing image pandas makes them floats
     a = np.frombuffer(image["data"], np.uint8).reshape(h, w, c)
     return np.repeat(a, 3, 2) if c == 1 else a[..., :3]
 
 
-METRICS = "doc_id string, page_num int, brightness double, contrast double, noise_level double, text_density double, estimated_text_size string, width int, height int, color_mode string, error string"
+MEASURED = "brightness double, contrast double, noise_level double, text_density double, estimated_text_size string, width int, height int, color_mode string, error string"
+#: Bytes of an Arrow batch of images; pages go on one by one.
+BATCH_BYTES = 64 << 20
+
+
+def few_images(pages: DataFrame) -> None:
+    """Bounds the session's Arrow batches to BATCH_BYTES, if they are not bounded more closely."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(pages.sparkSession.conf.get(key, None) or 0)
+    if not 0 < now <= BATCH_BYTES:
+        pages.sparkSession.conf.set(key, str(BATCH_BYTES))
+
+
+METRICS = f"doc_id string, page_num int, {MEASURED}"
+
+
+def names_of(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def measured(a: Image | None, doc_id: str) -> tuple:
+    """A page's MEASURED values."""
+    if a is None:
+        return (None,) * 8 + (f"Cannot load image: {doc_id}",)
+    g = gray(a)
+    return (float(g.mean()), float(g.std()), noise_level(g), *text_shape(g), g.shape[1], g.shape[0], "color", None)
 
 
 def metrics(pages: DataFrame) -> DataFrame:
@@ -241,16 +284,10 @@ def metrics(pages: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for r in frame.itertuples(index=False):
-                a = decoded(r.image)
-                if a is None:
-                    rows.append((r.doc_id, r.page_num, None, None, None, None, None, None, None, None, f"Cannot load image: {r.doc_id}"))
-                    continue
-                g = gray(a)
-                rows.append((r.doc_id, r.page_num, float(g.mean()), float(g.std()), noise_level(g), text_density(g), text_size(g), g.shape[1], g.shape[0], "color", None))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in METRICS.split(", ")])
+                yield pd.DataFrame([(r.doc_id, r.page_num, *measured(decoded(r.image), r.doc_id))], columns=names_of(METRICS))
 
+    few_images(pages)
     return pages.select("doc_id", "page_num", "image").mapInPandas(run, METRICS)
 
 
@@ -273,15 +310,16 @@ def processed(pages: DataFrame, approach: str, steps: bool = False) -> DataFrame
     """doc_id, page_num, approach, step, name, height, width, data: images after a chain, or after each of its steps."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc_id", "page_num", "approach", "step", "name", "height", "width", "channels", "data"]
+        yield pd.DataFrame([], columns=columns)
         for frame in frames:
-            rows: list[tuple] = []
             for r in frame.itertuples(index=False):
                 if (a := decoded(r.image)) is None:
                     continue
                 mine: list[tuple] = []
                 run_pipeline(a, approach, lambda i, name, x, r=r, mine=mine: mine.append((r.doc_id, r.page_num, approach, i, name, x.shape[0], x.shape[1], 1 if x.ndim == 2 else x.shape[2], x.tobytes())))
-                rows += mine if steps else mine[-1:]
-            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "approach", "step", "name", "height", "width", "channels", "data"])
+                yield pd.DataFrame(mine if steps else mine[-1:], columns=columns)
 
+    few_images(pages)
     schema = "doc_id string, page_num int, approach string, step int, name string, height int, width int, channels int, data binary"
     return pages.select("doc_id", "page_num", "image").mapInPandas(run, schema)

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The findings' texts. A date and a field's name are put in.
+UNLIKELY_DATE = ("Date ", " seems unreasonable for historical document")
+OTHER_YEAR = "Year field inconsistent with date field"
+SHORT_TITLE = "Title seems too short"
+SHORT_PUBLISHER = "Publisher name seems too short"
+BAD_SCORE = "Invalid confidence score for "
+LOW_SCORE = "Low confidence score for "
+
 KIND = "array<struct<severity:string,rule:string,message:string>>"
 
 
@@ -16,19 +24,19 @@ def findings(records: DataFrame, least: float = 0.3, doc_id: str = "doc_id") ->
 
     date, year = F.col("date"), F.nullif(F.col("year"), F.lit(0))
     fixed = F.array(
-        hit(~F.year(date).between(1800, 2030), "warning", "date_range", F.concat(F.lit("Date "), date.cast("string"), F.lit(" seems unreasonable for historical document"))),
-        hit(date.isNotNull() & (year != F.year(date)), "error", "date_year", F.lit("Year field inconsistent with date field")),
-        hit(F.length(F.nullif(F.col("title"), F.lit(""))) < 5, "warning", "title_length", F.lit("Title seems too short")),
-        hit(F.length(F.nullif(F.col("publisher"), F.lit(""))) < 3, "warning", "publisher_length", F.lit("Publisher name seems too short")),
+        hit(~F.year(date).between(1800, 2030), "warning", "date_range", F.concat(F.lit(UNLIKELY_DATE[0]), date.cast("string"), F.lit(UNLIKELY_DATE[1]))),
+        hit(date.isNotNull() & (year != F.year(date)), "error", "date_year", F.lit(OTHER_YEAR)),
+        hit(F.length(F.nullif(F.col("title"), F.lit(""))) < 5, "warning", "title_length", F.lit(SHORT_TITLE)),
+        hit(F.length(F.nullif(F.col("publisher"), F.lit(""))) < 3, "warning", "publisher_length", F.lit(SHORT_PUBLISHER)),
     )
     scored = F.transform(
         F.map_entries("confidence_scores"),
         lambda e: F.when(
             (e["value"] < 0) | (e["value"] > 1),
-            F.struct(F.lit("error").alias("severity"), F.lit("score_range").alias("rule"), F.concat(F.lit("Invalid confidence score for "), e["key"]).alias("message")),
+            F.struct(F.lit("error").alias("severity"), F.lit("score_range").alias("rule"), F.concat(F.lit(BAD_SCORE), e["key"]).alias("message")),
         ).when(
             e["value"] < least,
-            F.struct(F.lit("warning").alias("severity"), F.lit("score_low").alias("rule"), F.concat(F.lit("Low confidence score for "), e["key"]).alias("message")),
+            F.struct(F.lit("warning").alias("severity"), F.lit("score_low").alias("rule"), F.concat(F.lit(LOW_SCORE), e["key"]).alias("message")),
         ),
     )
     every = F.concat(F.array_compact(fixed).cast(KIND), F.coalesce(F.array_compact(scored).cast(KIND), F.array().cast(KIND)))

@@ -42,11 +42,12 @@ PAGE_COLUMNS = ("conv_id AS doc_id", "turn + 1 AS page_num", "CASE WHEN (conv_id
 PAGES_SQL = f"doc_pages AS (SELECT {', '.join(PAGE_COLUMNS)} FROM conversations)"
 
 PIXEL_COLUMNS = (
-    "0 AS page_id",
-    "CAST(floor(p_partkey / 50) AS INT) AS y",
+    "CAST(floor(p_partkey / 2000) AS INT) AS page_id",
+    "CAST(floor(p_partkey % 2000 / 50) AS INT) AS y",
     "CAST(p_partkey % 50 AS INT) AS x",
     "CAST((p_size * 5 + p_partkey * 7) % 256 AS INT) AS v",
 )
+#: Pages of 40 lines (the last may be shorter) of 50 pixels.
 PIXELS_SQL = f"pixels AS (SELECT {', '.join(PIXEL_COLUMNS)} FROM part)"
 
 METRIC_COLUMNS = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -189,7 +191,7 @@ def doc_type_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUALITY_SQL = """quality AS (SELECT *, CASE WHEN points >= 4 THEN 'excellent' WHEN points >= 3 THEN 'good' WHEN points >= 2 THEN 'fair' ELSE 'poor' END AS quality, brightness < 127 AS inverted FROM (
   SELECT *, CASE WHEN contrast > 60 THEN 3 WHEN contrast > 40 THEN 2 WHEN contrast > 20 THEN 1 ELSE 0 END + CASE WHEN pixels > 1000000 THEN 2 WHEN pixels > 500000 THEN 1 ELSE 0 END AS points FROM metrics))"""
-ADVICE_SQL = f"""WITH {fx.METRICS_SQL}, {QUALITY_SQL},
+ADVICE_STEPS = f"""{QUALITY_SQL},
 a AS (SELECT *, CASE doc_type WHEN 'fraktur' THEN ['fraktur_traditional', 'fraktur_enhanced'] WHEN 'official_document' THEN ['official_document', 'german_italic']
   WHEN 'mixed_period' THEN ['mixed_period', 'standard'] ELSE ['modern_german', 'standard'] END AS l0 FROM quality),
 b AS (SELECT *, CASE quality WHEN 'poor' THEN ['enhanced'] || l0 WHEN 'excellent' THEN ['direct'] || l0 ELSE l0 END AS l1 FROM a),
@@ -198,6 +200,7 @@ d AS (SELECT *, CASE WHEN contrast < 30 THEN ['enhanced'] || l2 ELSE l2 END AS l
 e AS (SELECT *, CASE WHEN noise > 0.6 AND NOT list_contains(l3, 'enhanced') THEN ['enhanced'] || l3 ELSE l3 END AS l4 FROM d),
 f AS (SELECT *, l4 || list_filter(['light', 'standard', 'direct'], lambda x: NOT list_contains(l4, x)) AS l5 FROM e),
 advice AS (SELECT *, l5[1:6] AS advised FROM f)"""
+ADVICE_SQL = f"WITH {fx.METRICS_SQL}, {ADVICE_STEPS}"
 
 
 def measured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Column]]:
@@ -400,29 +403,33 @@ def pixel_query(name: str, sql: str, step: Callable[[DataFrame], DataFrame]) ->
 
 
 XYV = "page_id::BIGINT AS page_id, y::BIGINT AS y, x::BIGINT AS x"
-SIZE_SQL = ", dims AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM pixels)"
+SIZE_SQL = ", dims AS (SELECT page_id, max(y) + 1 AS h, max(x) + 1 AS w FROM pixels GROUP BY page_id)"
 pixel_query("img_brightness_contrast", "SELECT page_id::BIGINT AS page_id, round(avg(v), 6) AS brightness, round(stddev_pop(v), 6) AS contrast FROM pixels GROUP BY page_id", pixels.brightness_contrast)
 pixel_query("img_invert", f"SELECT {XYV}, 255 - v::BIGINT AS v FROM pixels", pixels.invert)
 pixel_query("img_contrast", f"SELECT {XYV}, least(255, round_even(abs(v * 1.2::DOUBLE + 10), 0))::BIGINT AS v FROM pixels", pixels.contrast)
 pixel_query("img_binarize", f"SELECT {XYV}, CASE WHEN v > 127 THEN 255 ELSE 0 END::BIGINT AS v FROM pixels", pixels.binarize)
-pixel_query("img_center_crop", f"{SIZE_SQL} SELECT {XYV}, v::BIGINT AS v FROM pixels, dims WHERE y >= h // 4 AND y < 3 * h // 4 AND x >= w // 4 AND x < 3 * w // 4", pixels.center)
+pixel_query("img_center_crop", f"{SIZE_SQL} SELECT {XYV}, v::BIGINT AS v FROM pixels JOIN dims USING (page_id) WHERE y >= h // 4 AND y < 3 * h // 4 AND x >= w // 4 AND x < 3 * w // 4", pixels.center)
 pixel_query(
     "img_border",
-    f"{SIZE_SQL} SELECT 0::BIGINT AS page_id, a.y::BIGINT AS y, b.x::BIGINT AS x, coalesce(v, 255)::BIGINT AS v FROM dims, range(h + 10) a(y), range(w + 10) b(x) LEFT JOIN pixels p ON p.y + 5 = a.y AND p.x + 5 = b.x",
+    f"{SIZE_SQL} SELECT d.page_id::BIGINT AS page_id, d.y::BIGINT AS y, d.x::BIGINT AS x, coalesce(v, 255)::BIGINT AS v FROM (SELECT page_id, y, unnest(range(w + 10)) AS x FROM (SELECT *, unnest(range(h + 10)) AS y FROM dims)) d LEFT JOIN pixels p ON p.page_id = d.page_id AND p.y + 5 = d.y AND p.x + 5 = d.x",
     lambda p: pixels.border(p, 5),
 )
+LAPLACIAN_SQL = """, laplacian AS (SELECT page_id, coalesce(lag(v) OVER r, lead(v) OVER r) + coalesce(lead(v) OVER r, lag(v) OVER r) + coalesce(lag(v) OVER c, lead(v) OVER c) + coalesce(lead(v) OVER c, lag(v) OVER c) - 4 * v AS l
+  FROM pixels WINDOW r AS (PARTITION BY page_id, y ORDER BY x), c AS (PARTITION BY page_id, x ORDER BY y))"""
 pixel_query(
     "img_noise",
-    """, laplacian AS (SELECT page_id, coalesce(lag(v) OVER r, lead(v) OVER r) + coalesce(lead(v) OVER r, lag(v) OVER r) + coalesce(lag(v) OVER c, lead(v) OVER c) + coalesce(lead(v) OVER c, lag(v) OVER c) - 4 * v AS l
-  FROM pixels WINDOW r AS (PARTITION BY page_id, y ORDER BY x), c AS (PARTITION BY page_id, x ORDER BY y))
-SELECT page_id::BIGINT AS page_id, round(least(var_pop(l) / 1000, 1.0), 6)::DOUBLE AS noise_level FROM laplacian GROUP BY page_id""",
+    LAPLACIAN_SQL
+    + """ SELECT page_id::BIGINT AS page_id, round(least(var_pop(l) / 1000, 1.0), 6)::DOUBLE AS noise_level FROM laplacian GROUP BY page_id""",
     pixels.noise,
 )
+OTSU_SQL = """histogram AS (SELECT page_id, v, count(*)::DOUBLE AS n FROM cur GROUP BY page_id, v),
+sums AS (SELECT page_id, v, sum(n) OVER p AS low, sum(n * v) OVER p AS low_sum, sum(n) OVER (PARTITION BY page_id) AS total, sum(n * v) OVER (PARTITION BY page_id) AS total_sum
+  FROM histogram WINDOW p AS (PARTITION BY page_id ORDER BY v)),
+otsu AS (SELECT page_id, v AS t FROM sums
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY round(CASE WHEN total > low THEN low * (total - low) * ((low_sum / low) - (total_sum - low_sum) / (total - low)) ** 2 ELSE 0 END, 3) DESC, v) = 1)"""
 pixel_query(
     "img_otsu",
-    """, histogram AS (SELECT v, count(*)::DOUBLE AS n FROM pixels GROUP BY v),
-sums AS (SELECT v, sum(n) OVER (ORDER BY v) AS low, sum(n * v) OVER (ORDER BY v) AS low_sum, sum(n) OVER () AS total, sum(n * v) OVER () AS total_sum FROM histogram)
-SELECT 0::BIGINT AS page_id, v::BIGINT AS threshold FROM sums ORDER BY round(CASE WHEN total > low THEN low * (total - low) * ((low_sum / low) - (total_sum - low_sum) / (total - low)) ** 2 ELSE 0 END, 3) DESC, v LIMIT 1""",
+    f""", {OTSU_SQL.replace("FROM cur", "FROM pixels")} SELECT page_id::BIGINT AS page_id, t::BIGINT AS threshold FROM otsu""",
     pixels.otsu,
 )
 pixel_query("img_bounding_box", "SELECT page_id::BIGINT AS page_id, min(y)::BIGINT AS top, max(y)::BIGINT AS bottom, min(x)::BIGINT AS left, max(x)::BIGINT AS right FROM pixels WHERE v < 250 GROUP BY page_id".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'), pixels.bounding_box)
@@ -437,9 +444,62 @@ def as_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(F.col("page_id").cast("string").alias("doc_id"), F.lit(1).alias("page_num"), image.alias("image"))
 
 
+def resampled(axis: str, other: str, size: str, factor: float) -> str:
+    """A relation's pixels along an axis, by Keys' kernel with -0.75 from the four nearest, the edges repeated."""
+    weight = lambda k: f"abs(pos - (f + {k}))"
+    near = lambda x: f"(((-0.75::DOUBLE + 2) * {x} - (-0.75::DOUBLE + 3)) * {x} * {x} + 1)"
+    far = lambda x: f"(((-0.75::DOUBLE * {x} - 5 * -0.75::DOUBLE) * {x} + 8 * -0.75::DOUBLE) * {x} - 4 * -0.75::DOUBLE)"
+    kernel = lambda k: f"CASE WHEN {weight(k)} <= 1 THEN {near(weight(k))} WHEN {weight(k)} < 2 THEN {far(weight(k))} ELSE 0.0::DOUBLE END"
+    taps = ", ".join(f"{kernel(k)} AS w{k + 1}, greatest(0, least(n - 1, f + {k})) AS s{k + 1}" for k in range(-1, 3))
+    joins = " ".join(f"JOIN cur p{k} ON p{k}.page_id = t.page_id AND p{k}.{axis} = t.s{k}" + (f" AND p{k}.{other} = p0.{other}" if k else "") for k in range(4))
+    total = "0.0::DOUBLE" + "".join(f" + w{k} * p{k}.v" for k in range(4))
+    return f"""SELECT t.page_id, t.i AS {axis}, p0.{other} AS {other}, {total} AS v FROM (
+  SELECT page_id, i, {taps} FROM (SELECT *, floor(pos)::BIGINT AS f FROM (SELECT *, (i + 0.5::DOUBLE) * n / floor(n * {factor}::DOUBLE) - 0.5::DOUBLE AS pos FROM (
+    SELECT page_id, {size} AS n, unnest(range(floor({size} * {factor}::DOUBLE)::BIGINT)) AS i FROM dims)))) t {joins}"""
+
+
+def chain_sql(approach: str) -> str | None:
+    """A named chain on the pixel relation, and the digest of its last image; None for chains that SQL does not express."""
+    parts, n, channels = [f"{fx.PIXELS_SQL}, c0 AS (SELECT page_id, y, x, v::DOUBLE AS v FROM pixels)"], 0, 3
+    byte = "least(255, greatest(0, round_even(v, 0)))"
+
+    def add(sql: str) -> None:
+        nonlocal n
+        parts.append(f"d{n} AS (SELECT page_id, max(y) + 1 AS h, max(x) + 1 AS w FROM c{n} GROUP BY page_id)")
+        for name in ("cur", "dims"):
+            sql = re.sub(rf"\b{name}\b", f"{'c' if name == 'cur' else 'd'}{n}", sql)
+        n += 1
+        parts.append(f"c{n} AS ({sql})")
+
+    for step, *given in PIPELINES[approach]:
+        if step == "denoise":
+            return None
+        channels = 1 if step in ("gray", "threshold", "binarize") else channels
+        if step == "invert":
+            add("SELECT page_id, y, x, 255 - v AS v FROM cur")
+        elif step == "contrast":
+            add(f"SELECT page_id, y, x, least(255, round_even(abs({given[0]}::DOUBLE * v + {given[1]}), 0)) AS v FROM cur")
+        elif step == "scale":
+            add(resampled("y", "x", "h", given[0]))
+            add(resampled("x", "y", "w", given[0]))
+            add(f"SELECT page_id, y, x, {byte} AS v FROM cur")
+        elif step == "binarize":
+            add(f"SELECT page_id, y, x, CASE WHEN v > {given[0]} THEN 255.0 ELSE 0.0 END::DOUBLE AS v FROM cur")
+        elif step == "threshold":
+            add(f"WITH {OTSU_SQL} SELECT page_id, y, x, CASE WHEN v > t THEN 255.0 ELSE 0.0 END::DOUBLE AS v FROM cur JOIN otsu USING (page_id)")
+        elif step == "border":
+            b = given[0]
+            add(
+                f"SELECT d.page_id, d.y, d.x, coalesce(v, 255.0)::DOUBLE AS v FROM (SELECT page_id, y, unnest(range(w + {2 * b})) AS x FROM (SELECT *, unnest(range(h + {2 * b})) AS y FROM dims)) d "
+                f"LEFT JOIN cur p ON p.page_id = d.page_id AND p.y + {b} = d.y AND p.x + {b} = d.x"
+            )
+    return f"""WITH {", ".join(parts)} SELECT page_id::VARCHAR AS doc_id, 1 AS page_num, '{approach}' AS approach, {len(PIPELINES[approach])} AS step, '{PIPELINES[approach][-1][0]}' AS name,
+  (max(y) + 1)::INT AS height, (max(x) + 1)::INT AS width, {channels} AS channels, md5(unhex(string_agg(repeat(lpad(hex(v::BIGINT), 2, '0'), {channels}), '' ORDER BY y, x))) AS md5 FROM c{n} GROUP BY page_id"""
+
+
 for _approach in PIPELINES:
 
-    @query(f"pipeline_{_approach}")
+    @query(f"pipeline_{_approach}", chain_sql(_approach))
     def _pipeline(spark: SparkSession, sf_dir: str, approach: str = _approach) -> DataFrame:
         from ..operators.images import processed
 
@@ -451,3 +511,43 @@ def img_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.images import analysis, metrics
 
     return analysis(metrics(as_images(spark, sf_dir)))
+
+
+@query(
+    "img_quality",
+    f"""WITH {fx.PIXELS_SQL} {LAPLACIAN_SQL}, l AS (SELECT page_id, least(var_pop(l) / 1000, 1.0)::DOUBLE AS noise FROM laplacian GROUP BY page_id),
+metrics AS (SELECT page_id, avg(v) AS brightness, stddev_pop(v) AS contrast, count(*) AS pixels, max(x) + 1 AS w, max(y) + 1 AS h, any_value(noise) AS noise, 'modern_german' AS doc_type
+  FROM pixels JOIN l USING (page_id) GROUP BY page_id), {ADVICE_STEPS}
+SELECT page_id::VARCHAR AS doc_id, round(brightness, 6) AS brightness, round(contrast, 6) AS contrast, round(noise, 6) AS noise_level, w::INT AS width, h::INT AS height,
+  quality AS image_quality, inverted AS has_inverted_text, doc_type AS document_type, 0.5::DOUBLE AS confidence, array_to_string(advised, ',') AS recommended FROM advice""",
+)
+def img_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = [F.round(c, 6).alias(c) for c in ("brightness", "contrast", "noise_level")]
+    out = img_analysis(spark, sf_dir)
+    return out.select("doc_id", *rounded, "width", "height", "image_quality", "has_inverted_text", "document_type", "confidence", F.array_join("recommended", ",").alias("recommended"))
+
+
+KNOWN_TEXT = "Verordnung über die Berufsausbildung zum Koch\nBundesministerium für Arbeit\nStand vom 1. März 1938\nHerausgegeben von Dr. Muster.\n" + "der die das und " * 10
+
+
+@query(
+    "process_batch",
+    f"""WITH {fx.PIXELS_SQL}, p AS (SELECT DISTINCT page_id::VARCHAR AS doc_id FROM pixels)
+SELECT doc_id, doc_id = '0' AS good, CASE WHEN doc_id <> '0' THEN 'No text could be extracted from document' END AS error, CASE WHEN doc_id = '0' THEN {len(KNOWN_TEXT)} END AS text_length,
+  1 AS ocr_attempts_count, 'direct' AS successful_approach, CASE WHEN doc_id = '0' THEN 'official_document' ELSE 'modern_german' END AS analysis_document_type, CASE WHEN doc_id = '0' THEN DATE '1938-03-01' END AS date,
+  CASE WHEN doc_id = '0' THEN 'Bundesministerium für Arbeit' END AS publisher, '1-end' AS pages_processed, CASE WHEN doc_id = '0' THEN 'success' ELSE 'failed' END AS status FROM p
+UNION ALL SELECT 'none.png', false, 'File not found: none.png', NULL, 0, NULL, NULL, NULL, NULL, '1-end', 'failed'""",
+)
+def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with one known text, blank ones, and a missing file."""
+    from ..config import ProcessingConfig
+    from ..operators import ocr, process
+
+    pages = as_images(spark, sf_dir).withColumns({"error": F.lit(None).cast("string"), "is_pdf": F.lit(False)})
+    wanted = pages.select(F.col("doc_id").alias("path"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("error"))
+    wanted = wanted.unionByName(spark.createDataFrame([("none.png", 1, "File not found: none.png")], wanted.schema))
+    backend = ocr.SidecarBackend(json.dumps({"0#1": KNOWN_TEXT}))
+    out = process.records(wanted, process.read_pages(pages, backend, ProcessingConfig(), choice="direct"))
+    return out.select(
+        "doc_id", F.col("error").isNull().alias("good"), "error", "text_length", "ocr_attempts_count", "successful_approach", "analysis_document_type", "date", "publisher", "pages_processed", "status"
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +29,10 @@ def as_json(metadata: DataFrame, pretty: bool = False) -> DataFrame:
     return records(metadata).select(F.to_json(F.struct(*KEYS), options).alias("value"))
 
 
-def write_json(metadata: DataFrame, folder: str) -> None:
-    records(metadata).write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+def write_json(metadata: DataFrame, folder: str, ordered: bool = False) -> None:
+    """One record a line; ordered: in the order of `ordinal`, the place at which a document was asked for."""
+    out = metadata.orderBy("ordinal") if ordered else metadata
+    records(out).write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
 def png(height: int, width: int, channels: int, data: bytes) -> bytes:
@@ -55,3 +58,28 @@ def write_steps(images: DataFrame, folder: str) -> None:
 
     out = images.withColumn("png", encode("height", "width", "channels", "data")).drop("data")
     out.write.mode("overwrite").partitionBy("approach", "step").parquet(folder)
+
+
+def save_images(images: DataFrame, folder: str) -> DataFrame:
+    """Writes each image after a chain (operators.images.processed) as processed_{approach}_{name}.png; gives doc_id,
+    page_num, path, error. The folder is a URI that all executors see; a file that cannot be written is an error row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                name = r.doc_id.rsplit("/", 1)[-1].rsplit(".", 1)[0] + (f"_{r.page_num}" if r.page_num > 1 else "")
+                path, error = f"{folder}/processed_{r.approach}_{name}.png", None
+                try:
+                    system, own = fs.FileSystem.from_uri(path)
+                    system.create_dir(own.rsplit("/", 1)[0])
+                    with system.open_output_stream(own) as out:
+                        out.write(png(r.height, r.width, r.channels, r.data))
+                except (OSError, ValueError) as e:
+                    error = f"Failed to save image: {e}"
+                rows.append((r.doc_id, r.page_num, path, error))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_num", "path", "error"])
+
+    return images.mapInPandas(run, "doc_id string, page_num int, path string, error string")
