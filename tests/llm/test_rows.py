@@ -290,8 +290,9 @@ def test_image_links_against_brute_force(spark):
         e = queries.EDITS[k % len(queries.EDITS)]
         sets[i, e] = image_copies.describe(np.asarray(np.ascontiguousarray(queries.edited(made[i], e, i)), np.uint8))
     names = list(sets)
-    rows = [(n, names[n][1] is not None, names[n][1] is None, at.astype(np.float32).tobytes(), bits.tobytes()) for n, (at, bits) in enumerate(sets.values())]
-    got = {(names[r.query], names[r.image][0]) for r in image_copies.links(spark.createDataFrame(rows, "image long, asks boolean, stored boolean, at binary, bits binary")).collect()}
+    rows = [(b"%d" % n, names[n][1] is not None, names[n][1] is None, image_copies.packed(at), bits.tobytes()) for n, (at, bits) in enumerate(sets.values())]
+    found = image_copies.links(spark.createDataFrame(rows, "image binary, asks boolean, stored boolean, at binary, bits binary")).collect()
+    got = {(names[int(r.query)], names[int(r.image)][0]) for r in found}
     want = {(q, i) for q in names if q[1] for i in ids if image_copies.matches(*sets[q], *sets[i, None]) >= image_copies.AGREEING}
     print("of all links", len(got & want) / len(want), "others", len(got - want))
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
@@ -320,7 +321,7 @@ def test_descriptors_meet_in_tables():
         bits = np.unpackbits(one, axis=1)
         for row in bits:
             row[rng.choice(256, d, replace=False)] ^= 1
-        asked, stored = (image_copies.Corners([0], [np.zeros((3000, 4), np.float32).tobytes()], [x.tobytes()]) for x in (one, np.packbits(bits, axis=1)))
+        asked, stored = (image_copies.Corners([b"0"], [image_copies.packed(np.zeros((3000, 4)))], [x.tobytes()]) for x in (one, np.packbits(bits, axis=1)))
         a, b, apart = image_copies.Tables(asked).near(stored)
         assert (apart[a == b] == d).all() and np.mean(np.isin(np.arange(3000), a[a == b])) >= least
 

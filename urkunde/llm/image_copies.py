@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_groups, map_batches, remove, staged, work_dir
+from .common import cut, join_groups, map_batches, may_have, remove, staged, work_dir
 
 #: Factors between image sizes, and how many sizes.
 STEP, LEVELS = 1.25, 4
@@ -219,6 +219,23 @@ def matches(pairs_a: np.ndarray, bits_a: np.ndarray, pairs_b: np.ndarray, bits_b
     return consensus(pairs_a[good], pairs_b[nearest[good]])
 
 
+#: A corner's place, as it is kept: level of the scale, and angle in 256ths of a turn.
+PLACE = np.dtype([("x", "<f4"), ("y", "<f4"), ("level", "u1"), ("angle", "i1")])
+
+
+def packed(at: np.ndarray) -> bytes:
+    out = np.empty(len(at), PLACE)
+    out["x"], out["y"], out["level"] = at[:, 0], at[:, 1], np.round(at[:, 2] / np.log(STEP))
+    out["angle"] = (np.round(at[:, 3] * 128 / np.pi) + 128) % 256 - 128
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """Places as describe() gives them."""
+    a = np.frombuffer(raw, PLACE)
+    return np.stack([a["x"].astype(float), a["y"], a["level"] * np.log(STEP), a["angle"] * np.pi / 128], 1)
+
+
 def keys_of(words: np.ndarray) -> list[np.ndarray]:
     """Of descriptors as 64-bit words: each table's keys."""
     bits = np.unpackbits(words.view(np.uint8).reshape(len(words), BITS // 8), axis=1)
@@ -226,12 +243,12 @@ def keys_of(words: np.ndarray) -> list[np.ndarray]:
 
 
 class Corners:
-    """Corners of several images in one: number of the image, place and descriptor of each."""
+    """Corners of several images in one: the image's digest, place and descriptor of each."""
 
-    def __init__(self, images: list[int], at: list[bytes], bits: list[bytes]):
-        self.images = np.array(images, np.int64)
+    def __init__(self, images: list[bytes], at: list[bytes], bits: list[bytes]):
+        self.images = images
         self.owner = np.repeat(np.arange(len(images)), [len(x) * 8 // BITS for x in bits])
-        self.at = np.frombuffer(b"".join(at), np.float32).reshape(-1, 4).astype(float)
+        self.at = unpacked(b"".join(at))
         self.words = np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
         self.keys = keys_of(self.words)
 
@@ -272,7 +289,7 @@ class Tables:
         a, b = np.divmod(code, max(1, len(stored.owner)))
         return a, b, np.bitwise_count(self.asked.words[a] ^ stored.words[b]).sum(1, dtype=np.int64)
 
-    def copies(self, stored: Corners) -> list[tuple[int, int, int]]:
+    def copies(self, stored: Corners) -> list[tuple[bytes, bytes, int]]:
         """(query, image, agreeing) of the pairs with at least AGREEING agreeing matches."""
         a, b, apart = self.near(stored)
         if not len(a):
@@ -283,20 +300,19 @@ class Tables:
         a, b = a[first], b[first]
         q, image = self.asked.owner[a], stored.owner[b]
         order = np.argsort(q * len(stored.images) + image, kind="stable")
-        order = order[self.asked.images[q[order]] != stored.images[image[order]]]
         a, b, q, image = a[order], b[order], q[order], image[order]
         start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (image[1:] != image[:-1])])) if len(a) else np.zeros(0, int)
         n = np.diff(np.concatenate([start, [len(a)]]))
         out = []
         for i, size in zip(start[n >= AGREEING].tolist(), n[n >= AGREEING].tolist(), strict=True):
-            r = slice(i, i + size)
-            if count := consensus(self.asked.at[a[r]], stored.at[b[r]]):
-                out.append((int(self.asked.images[q[i]]), int(stored.images[image[i]]), count))
+            r, one, two = slice(i, i + size), self.asked.images[q[i]], stored.images[image[i]]
+            if one != two and (count := consensus(self.asked.at[a[r]], stored.at[b[r]])):
+                out.append((one, two, count))
         return out
 
 
 def links(described: DataFrame) -> DataFrame:
-    """query, image, agreeing: pairs that are copies. described: image (number), asks, stored, at, bits.
+    """query, image, agreeing: pairs that are copies. described: image (digest), asks, stored, at, bits.
 
     Queries are taken in blocks of about ASKED descriptors, and each block's tables go over all images where they
     are. Nothing is shuffled, and what is sent is bounded; the passes over the images grow with the queries.
@@ -305,8 +321,8 @@ def links(described: DataFrame) -> DataFrame:
     folder = work_dir(spark, "links")
     asked = described.filter("asks").select("image", "at", "bits")
     blocks = -(-(asked.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]) // (ASKED * BITS // 8))
-    kinds = (pa.int64(), pa.int64(), pa.int32())
-    spark.createDataFrame([], "query long, image long, agreeing int").write.parquet(folder)
+    kinds, schema = (pa.binary(), pa.binary(), pa.int32()), "query binary, image binary, agreeing int"
+    spark.createDataFrame([], schema).write.parquet(folder)
     for block in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("image"), F.lit(blocks)) == block).toArrow().to_pydict()
         shared = spark.sparkContext.broadcast((own["image"], own["at"], own["bits"]))
@@ -322,16 +338,18 @@ def links(described: DataFrame) -> DataFrame:
                     i = j
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["query", "image", "agreeing"])
 
-        described.filter("stored").select("image", "at", "bits").mapInArrow(run, "query long, image long, agreeing int").write.mode("append").parquet(folder)
+        described.filter("stored").select("image", "at", "bits").mapInArrow(run, schema).write.mode("append").parquet(folder)
         shared.destroy()
-    out = cut(spark.read.parquet(folder))
+    out = cut(spark.read.schema(schema).parquet(folder).groupBy("query", "image").agg(F.max("agreeing").alias("agreeing")))
     remove(spark, folder)
     return out
 
 
 def find(df: DataFrame, is_query: Column, id_column: str, content: str, is_stored: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (id, is_query, image, class_id, class_size, n_corners) for all rows of df, and links (query, image, agreeing)
-    between their images. See search(). Only rows with is_stored (by default all) are searched."""
+    between their images. See search(). Only rows with is_stored (by default all) are searched.
+
+    Files are read twice and never moved or staged: for the digests, and for the corners of each class's first row."""
     spark, folders = df.sparkSession, []
 
     def digests():
@@ -348,8 +366,9 @@ def find(df: DataFrame, is_query: Column, id_column: str, content: str, is_store
 
     flags = [F.coalesce(is_query, F.lit(False)).alias("is_query"), (F.lit(True) if is_stored is None else F.coalesce(is_stored, F.lit(False))).alias("is_stored")]
     own = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{content}`").alias(content), *flags)
-    rows = staged(map_batches(own.withColumn("row", F.monotonically_increasing_id()), [("node", T.BinaryType())], digests), folders, "images")
-    groups = rows.groupBy("node").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n"), F.max("is_query").alias("asks"), F.max("is_stored").alias("stored"))
+    digested = [("image", T.BinaryType())]
+    rows = staged(map_batches(own, digested, digests, ["id", "is_query", "is_stored"]), folders, "images")
+    groups = rows.groupBy("image").agg(F.min(F.struct("id")).alias("first"), F.count("*").alias("n"), F.max("is_query").alias("asks"), F.max("is_stored").alias("stored"))
     groups = staged(groups, folders, "groups")
 
     def corners_of():
@@ -358,18 +377,26 @@ def find(df: DataFrame, is_query: Column, id_column: str, content: str, is_store
             for x in batch.column(content):
                 image = read_image(x.as_py())
                 at, bits = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))
-                out[0].append(at.astype(np.float32).tobytes())
+                out[0].append(packed(at))
                 out[1].append(bits.tobytes())
             return out
 
         return function
 
-    firsts = rows.join(groups.select("node", "asks", "stored", F.col("first.row").alias("row")), ["node", "row"]).select(F.col("row").alias("image"), "asks", "stored", content)
+    def key(number: str) -> Column:
+        return F.concat_ws(" ", F.hex("image"), F.col(number).cast("string"))
+
+    # These tell a class's first row, its queries and what is searched but for a few rows more; exactly so below.
+    firsts = may_have(map_batches(own, digested, digests, ["id", content]), key("id"), key("first.id"), groups).filter("may").drop("may", "id")
+    firsts = may_have(firsts, F.col("image"), F.col("image"), groups.filter("asks")).withColumnRenamed("may", "asks")
+    firsts = may_have(firsts, F.col("image"), F.col("image"), groups.filter("stored")).withColumnRenamed("may", "stored")
     described = staged(map_batches(firsts, [("at", T.BinaryType()), ("bits", T.BinaryType())], corners_of, ["image", "asks", "stored"]), folders, "corners")
     found = links(described)
-    classes = groups.select("node", "n", F.col("first.id").alias("class_id"), F.col("first.row").alias("image"))
-    whole = classes.join(described.select("image", F.expr(f"octet_length(bits) div {BITS // 8}").cast("int").alias("n_corners")), "image")
-    out = cut(join_groups(rows.select("id", "is_query", "node"), whole, "node", "n").select("id", "is_query", "image", "class_id", F.col("n").alias("class_size"), "n_corners"))
+    found = found.join(groups.filter("asks").select(F.col("image").alias("query")), "query", "left_semi").join(groups.filter("stored").select("image"), "image", "left_semi")
+    counts = described.groupBy("image").agg(F.max(F.expr(f"octet_length(bits) div {BITS // 8}").cast("int")).alias("n_corners"))
+    whole = groups.select("image", "n", F.col("first.id").alias("class_id")).join(counts, "image")
+    out = cut(join_groups(rows.select("id", "is_query", "image"), whole, "image", "n").select("id", "is_query", "image", "class_id", F.col("n").alias("class_size"), "n_corners"))
+    found = cut(found)
     for folder in folders:
         remove(spark, folder)
     return out, found
