@@ -49,6 +49,26 @@ def test_urls(spark):
     assert url_rules.judge(df.limit(0), spark.createDataFrame(rules, "verdict string, rule string")).count() == 0
 
 
+def test_many_nested_rules(spark):
+    """Random hosts and paths with nested rules, over many ranges and with one very frequent host."""
+    rng = np.random.default_rng(12)
+    label = lambda: str(rng.choice(["a", "b", "co", "x"]))
+    host = lambda: ".".join(label() for _ in range(int(rng.integers(1, 4))))
+    path = lambda: "".join(str(rng.choice(["/", "a", "b", "é", "\U0010ffff"])) for _ in range(int(rng.integers(0, 6))))
+    rules = sorted({(host(), "/" + path()) for _ in range(60)} | {(host(), "") for _ in range(6)})
+    rules = [("block" if i % 2 else "allow", h + p) for i, (h, p) in enumerate(rules)] + [("block", rules[0][0] + rules[0][1])]
+    urls = [f"http://{host()}/{path()}" for _ in range(300)] + ["http://hot.a.b/ab"] * 300 + ["http://", "http://.", "http://a..b/a"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    verdicts = {}
+    for v, r in rules:
+        verdicts[r] = "block" if "block" in (v, verdicts.get(r)) else v
+    for r in url_rules.judge(df, spark.createDataFrame(rules, "verdict string, rule string")).collect():
+        cut = lambda x: x.partition("/")[0]
+        fits = [x for x in verdicts if (r.host == cut(x) or r.host.endswith("." + cut(x))) and r.path.startswith(x[len(cut(x)) :])]
+        best = max(fits, key=lambda x: (len(x), len(cut(x)), x), default=None)
+        assert (r.rule, r.verdict) == (best, verdicts.get(best, "allow")), urls[r.page_id]
+
+
 COPIES = [(1, "a"), (3, "a"), (2, "a"), (4, "b"), (4, "b"), (None, "c"), (5, "c"), (6, None), (7, ""), (None, "d"), (8, "long " * 30000), (9, "long " * 30000)]
 
 
