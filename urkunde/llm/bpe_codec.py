@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .bpe import LETTERS, MARK, Memo, Merges, Transducer, letters
-from .common import map_batches, strings
+from .common import map_batches, own_cache, strings
 
 #: Pieces of text whose ids a worker keeps, in each of two generations.
 WORDS = 250_000
@@ -134,14 +134,12 @@ class Codec:
         return "".join(self.plain.text(ids))
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One a worker, for all its tasks."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    cache = own_cache(__name__)
+    if path not in cache:
+        cache[path] = Codec(path)
+    return cache[path]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, digests: bool = False, with_ids: bool = True) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +84,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: What modules keep in a worker from task to task, by module.
+CACHES: dict[str, dict] = {}
+
+
+def own_cache(module: str) -> dict:
+    """A module's cache in this worker. It is emptied when a task of another module runs there, so that an operator has not
+    got the memory of those before it as well."""
+    return CACHES.setdefault(module, {})
+
+
+def give_back(module: str) -> None:
+    """Empties the caches of other modules; what Arrow and the C library have set aside goes back to the system."""
+    held = [c for m, c in CACHES.items() if m != module and c]
+    for cache in held:
+        cache.clear()
+    if held:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's limits on Arrow batches to BATCH_ROWS and BATCH_BYTES; they act when a plan runs, so they stay.
 
@@ -126,6 +149,7 @@ def map_batches(
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(make.__module__)
         function = make()
         for batch in batches:
             if batch.num_rows:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, map_batches, remove, staged, strings
+from .common import bound_batches, give_back, map_batches, remove, staged, strings
 
 #: Bytes of context, and of those that decide on the shard.
 ORDER, CELL = 5, 3
@@ -55,6 +55,7 @@ def gather(docs: DataFrame, text: str) -> DataFrame:
     """key, n: words of the texts. Added up within a task first."""
 
     def run(batches):
+        give_back(__name__)
         words: Counter = Counter()
 
         def out():
@@ -106,6 +107,7 @@ def follow(docs: DataFrame, text: str) -> DataFrame:
     """gram, n: how often a symbol follows a context of ORDER bytes."""
 
     def run(batches):
+        give_back(__name__)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         waiting: list[bytes] = []
         size = 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_SPACE, cut, text_of
+from .common import NO_SPACE, cut, remove, staged, text_of
 
 #: Times that a source or a document may be taken.
 PASSES = 3
@@ -24,6 +24,25 @@ BROADCAST_PARTS = 100_000
 PARTS, PART_ROWS = 256, 4096
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], folders: list[str]) -> DataFrame:
+    """df with the sums over all rows before each in that order. Rows are dealt by ranges of the order; only the ranges'
+    totals, one row a task, meet on the driver."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), folders, "ranges")
+    totals = ranged.groupBy("_part").agg(*[F.sum(e).alias(n) for n, e in sums.items()]).orderBy("_part").collect()
+    before, rows = [0.0] * len(sums), []
+    for r in totals:
+        rows.append((r["_part"], *before))
+        before = [x + float(y) for x, y in zip(before, r[1:], strict=True)]
+    names = [f"_{n}" for n in sums]
+    carried = spark.createDataFrame(rows, "_part int, " + ", ".join(f"{n} double" for n in names))
+    earlier = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = {n: F.coalesce(F.sum(e).over(earlier).cast("double"), F.lit(0.0)) for n, e in sums.items()}
+    out = ranged.withColumns(within).join(F.broadcast(carried), "_part")
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_part", *names)
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, weight_at, target. sizes: source, source_size.
 
@@ -31,23 +50,23 @@ def targets(sizes: DataFrame) -> DataFrame:
     the excess is shared by weight among the others until none is above. In the order of that limit per
     weight the limited sources come first, so running sums give the level without iteration.
     """
-    ranked = sizes.withColumn("weight_at", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(WEIGHTS))
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("weight_at") + 1).cast("int")).cast("double"))
-    most = (F.col("source_size") * PASSES).cast("double")
-    by = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum(F.col("source_size").cast("double")).over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    found = ranked.withColumn("most", most).withColumn("level", level)
+    folders: list[str] = []
+    by_name = F.col("source").asc_nulls_last()
+    ranked = running(sizes, [by_name], {"place": F.lit(1)}, folders)
+    ranked = ranked.withColumn("weight_at", (F.col("place") % len(WEIGHTS)).cast("int")).drop("place")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("weight_at") + 1).cast("double"))
+    ranked = ranked.withColumn("most", (F.col("source_size") * PASSES).cast("double"))
+    found = running(ranked, [F.col("most") / F.col("weight"), by_name], {"most_before": F.col("most"), "weight_before": F.col("weight")}, folders)
+    all_size, all_weight = ranked.agg(F.sum(F.col("source_size").cast("double")), F.sum("weight")).first()
+    level = (F.lit(all_size) - F.col("most_before")) / (F.lit(all_weight) - F.col("weight_before"))
     limited = F.col("most") / F.col("weight") <= F.col("level")
-    return found.select(
-        "source",
-        "source_size",
-        "weight_at",
-        F.when(limited, F.col("most")).otherwise(F.max(F.when(~limited, F.col("level"))).over(every) * F.col("weight")).alias("target"),
-    )
+    found = staged(found.withColumn("level", level.cast("double")), folders, "levels")
+    highest = found.filter(~limited).agg(F.max("level")).first()[0]
+    target = F.when(limited, F.col("most")).otherwise(F.lit(highest).cast("double") * F.col("weight"))
+    out = cut(found.select("source", "source_size", "weight_at", target.alias("target")))
+    for folder in folders:
+        remove(sizes.sparkSession, folder)
+    return out
 
 
 def moment(share: Column, weight_at: Column) -> Column:

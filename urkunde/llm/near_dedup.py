@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut, join_groups, keep_rows, map_batches, may_have, release, remove, small_batches, staged, strings, text_of
+from .common import bound_batches, cut, give_back, join_groups, keep_rows, map_batches, may_have, release, remove, small_batches, staged, strings, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -274,6 +274,7 @@ def open_links(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFr
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
+        give_back(__name__)
         key, left, right = None, [], []
 
         def out():

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .bpe import Memo, Merges, letters
-from .common import map_batches, strings
+from .common import map_batches, own_cache, strings
 
 #: Units whose table a worker keeps, and as many words, in each of two generations.
 UNITS = 200_000
@@ -171,14 +171,12 @@ def longest_prefix(table: bytes, budget: int) -> int:
     return int(np.flatnonzero(prefix_counts(table) <= budget)[-1])
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def counter(path: str) -> TokenCounter:
     """One a worker, for all its tasks."""
-    if path not in _counters:
-        _counters[path] = TokenCounter(path)
-    return _counters[path]
+    cache = own_cache(__name__)
+    if path not in cache:
+        cache[path] = TokenCounter(path)
+    return cache[path]
 
 
 def token_counts(
