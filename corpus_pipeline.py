@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urkunde.llm import bpe_codec, exact_dedup, mixture, near_dedup, quality_mil
-from urkunde.llm.common import read, work_dir
+from urkunde.llm.common import read, remove, work_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written as Parquet in the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; each one's rows are written as Parquet in the shared folder and read again. A stage's
+    folder goes when the next one's is written; the last one stays for the result."""
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = work_dir(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if last:
+            remove(spark, last)
+        last = folder
     return STAGES[-1][1](spark, docs, sf_dir)
