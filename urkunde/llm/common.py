@@ -113,7 +113,7 @@ def bound_batches(spark: SparkSession) -> None:
     """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(key, None) or 0)
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, None) or "0")
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
 
