@@ -254,3 +254,22 @@ def test_png_round_trip():
     at = raw.index(b"IDAT") + 4
     lines = np.frombuffer(zlib.decompress(raw[at : raw.index(b"IEND") - 8]), np.uint8).reshape(5, 8)
     assert (lines[:, 1:] == a).all()
+
+
+def test_denoise_by_definition():
+    """Each pixel as the mean of its surroundings weighed by patches, one pixel after the other."""
+    a, patch, reach, strength = picture(9, 11, 12), 1, 2, 30.0
+    wide = np.pad(a.astype(float), patch + reach, mode="reflect")
+    want = np.zeros(a.shape)
+    for y in range(a.shape[0]):
+        for x in range(a.shape[1]):
+            cy, cx, total, weights = y + patch + reach, x + patch + reach, 0.0, 0.0
+            own = wide[cy - patch : cy + patch + 1, cx - patch : cx + patch + 1]
+            for dy in range(-reach, reach + 1):
+                for dx in range(-reach, reach + 1):
+                    other = wide[cy + dy - patch : cy + dy + patch + 1, cx + dx - patch : cx + dx + patch + 1]
+                    weight = np.exp(-((own - other) ** 2).mean() / strength**2)
+                    total += weight * wide[cy + dy, cx + dx]
+                    weights += weight
+            want[y, x] = total / weights
+    assert (np.abs(images.denoise(a, strength, patch, reach) - want) <= 0.5 + 1e-6).all()

@@ -259,9 +259,10 @@ BATCH_BYTES = 64 << 20
 def few_images(pages: DataFrame) -> None:
     """Bounds the session's Arrow batches to BATCH_BYTES, if they are not bounded more closely."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(pages.sparkSession.conf.get(key, None) or 0)
+    spark = pages.sparkSession
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, None) or "0")
     if not 0 < now <= BATCH_BYTES:
-        pages.sparkSession.conf.set(key, str(BATCH_BYTES))
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 METRICS = f"doc_id string, page_num int, {MEASURED}"
