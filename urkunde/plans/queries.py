@@ -458,8 +458,10 @@ def resampled(axis: str, other: str, size: str, factor: float) -> str:
     SELECT page_id, {size} AS n, unnest(range(floor({size} * {factor}::DOUBLE)::BIGINT)) AS i FROM dims)))) t {joins}"""
 
 
-def chain_sql(approach: str) -> str | None:
-    """A named chain on the pixel relation, and the digest of its last image; None for chains that SQL does not express."""
+def chain_sql(approach: str, upto: int | None = None) -> str | None:
+    """A named chain (or its first steps) on the pixel relation, and the digest of the last image; None for chains that SQL
+    does not express."""
+    chain = PIPELINES[approach][:upto]
     parts, n, channels = [f"{fx.PIXELS_SQL}, c0 AS (SELECT page_id, y, x, v::DOUBLE AS v FROM pixels)"], 0, 3
     byte = "least(255, greatest(0, round_even(v, 0)))"
 
@@ -471,7 +473,7 @@ def chain_sql(approach: str) -> str | None:
         n += 1
         parts.append(f"c{n} AS ({sql})")
 
-    for step, *given in PIPELINES[approach]:
+    for step, *given in chain:
         if step == "denoise":
             return None
         channels = 1 if step in ("gray", "threshold", "binarize") else channels
@@ -493,7 +495,7 @@ def chain_sql(approach: str) -> str | None:
                 f"SELECT d.page_id, d.y, d.x, coalesce(v, 255.0)::DOUBLE AS v FROM (SELECT page_id, y, unnest(range(w + {2 * b})) AS x FROM (SELECT *, unnest(range(h + {2 * b})) AS y FROM dims)) d "
                 f"LEFT JOIN cur p ON p.page_id = d.page_id AND p.y + {b} = d.y AND p.x + {b} = d.x"
             )
-    return f"""WITH {", ".join(parts)} SELECT page_id::VARCHAR AS doc_id, 1 AS page_num, '{approach}' AS approach, {len(PIPELINES[approach])} AS step, '{PIPELINES[approach][-1][0]}' AS name,
+    return f"""WITH {", ".join(parts)} SELECT page_id::VARCHAR AS doc_id, 1 AS page_num, '{approach}' AS approach, {len(chain)} AS step, '{chain[-1][0]}' AS name,
   (max(y) + 1)::INT AS height, (max(x) + 1)::INT AS width, {channels} AS channels, md5(unhex(string_agg(repeat(lpad(hex(v::BIGINT), 2, '0'), {channels}), '' ORDER BY y, x))) AS md5 FROM c{n} GROUP BY page_id"""
 
 
@@ -506,6 +508,14 @@ for _approach in PIPELINES:
         return processed(as_images(spark, sf_dir), approach).withColumn("md5", F.md5("data")).drop("data")
 
 
+@query("pipeline_steps", " UNION ALL ".join(f"({chain_sql('mixed_period', k + 1)})" for k in range(len(PIPELINES["mixed_period"]))))
+def pipeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image after each step of a chain."""
+    from ..operators.images import processed
+
+    return processed(as_images(spark, sf_dir), "mixed_period", steps=True).withColumn("md5", F.md5("data")).drop("data")
+
+
 @query("img_analysis")
 def img_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.images import analysis, metrics
@@ -551,3 +561,161 @@ def process_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", F.col("error").isNull().alias("good"), "error", "text_length", "ocr_attempts_count", "successful_approach", "analysis_document_type", "date", "publisher", "pages_processed", "status"
     )
+
+
+@query(
+    "display_names",
+    f"WITH {fx.METRICS_SQL} SELECT page_id, array_to_string(list_transform(string_split(doc_type, '_'), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS shown FROM metrics",
+)
+def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.metrics(spark, sf_dir).select("page_id", texts.display_name(F.col("doc_type")).alias("shown"))
+
+
+TYPED = "CASE page_id % 9 WHEN 0 THEN '' WHEN 1 THEN '0' WHEN 2 THEN 'a' WHEN 3 THEN ' S ' WHEN 4 THEN '1' WHEN 5 THEN '5' WHEN 6 THEN '6' WHEN 7 THEN 'x' END"
+
+
+@query(
+    "choice_parsing",
+    f"""{ADVICE_SQL}, picked AS (SELECT page_id, CASE page_id % 9 WHEN 2 THEN 'all_recommended' WHEN 3 THEN 'skip_analysis' WHEN 4 THEN advised[1] WHEN 5 THEN advised[1:5][5] END AS choice,
+  page_id % 9 IN (0, 1, 2, 3, 4, 8) OR (page_id % 9 = 5 AND len(advised) >= 5) AS valid FROM advice)
+SELECT page_id, choice, valid FROM picked""",
+)
+def choice_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was typed at the sight of the first five recommendations."""
+    out, given = measured(spark, sf_dir)
+    choice = recommend.parsed_choice(F.expr(TYPED), F.slice(recommend.recommended(*given), 1, 5))
+    return out.select("page_id", choice["choice"].alias("choice"), choice["valid"].alias("valid"))
+
+
+@query(
+    "page_span",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN doc_id || '-end' WHEN 1 THEN doc_id || '-end' ELSE doc_id || '-' || doc_id % 4 * 10 END AS pages FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations)",
+)
+def page_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = fx.doc_pages(spark, sf_dir).select("doc_id").distinct()
+    last = F.when(F.col("doc_id") % 4 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 1, 0).otherwise(F.col("doc_id") % 4 * 10)
+    return ids.select("doc_id", texts.page_span(F.col("doc_id"), last).alias("pages"))
+
+
+@query(
+    "page_errors",
+    f"""WITH {fx.PAGES_SQL} SELECT doc_id, string_agg(page_num || ':' || (page_num % 3 <> 0)::VARCHAR || ':' || CASE WHEN page_num % 3 = 0 THEN 'torn' ELSE '' END, ',' ORDER BY page_num) AS results
+  FROM doc_pages GROUP BY doc_id""",
+)
+def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's success and error in its document's record."""
+    pages = fx.doc_pages(spark, sf_dir).withColumn("error", F.when(F.col("page_num") % 3 == 0, "torn"))
+    shown = F.transform("page_results", lambda p: F.concat_ws(":", p["page_num"].cast("string"), p["success"].cast("string"), F.coalesce(p["error"], F.lit(""))))
+    return assemble.documents(pages).select("doc_id", F.array_join(shown, ",").alias("results"))
+
+
+@query(
+    "ocr_confidence_by_quality",
+    "SELECT doc_id, round(" + CONFIDENCE_SQL.replace("* CASE WHEN len(", "* (CASE doc_id % 3 WHEN 0 THEN 0.8 WHEN 1 THEN 1.1 ELSE 1.0 END)::DOUBLE * CASE WHEN len(") + ", 6)::DOUBLE AS confidence FROM documents",
+)
+def ocr_confidence_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = F.when(F.col("doc_id") % 3 == 0, "poor").when(F.col("doc_id") % 3 == 1, "excellent").otherwise("fair")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.round(scoring.ocr_confidence(F.col("text"), quality), 6).alias("confidence"))
+
+
+@query(
+    "metadata_json",
+    f"""{RECORD_SQL} SELECT doc_id, 15::BIGINT AS n_keys, title, year(date)::VARCHAR AS year, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date, publisher, author, document_type, CAST(NULL AS VARCHAR) AS profession,
+  round({MEAN}, 6)::DOUBLE AS overall, text[1:1000] || CASE WHEN length(text) > 1000 THEN '...' ELSE '' END AS preview, round(score, 6)::DOUBLE AS date_score, round(title_score, 6)::DOUBLE AS title_score,
+  'standard' AS successful_approach, 3::BIGINT AS attempts, 'official_document' AS kind, 'good' AS quality FROM record""",
+)
+def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys of the exported record, read back from its JSON."""
+    told = {"ocr_attempts_count": F.lit(3), "successful_approach": F.lit("standard"), "analysis_document_type": F.lit("official_document"), "analysis_quality": F.lit("good")}
+    found = extract.metadata(fx.corpus(spark, sf_dir)).withColumns(told | {"processing_metadata": F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"))})
+    field = lambda p: F.get_json_object("value", f"$.{p}")
+    number = lambda p: F.round(field(p).cast("double"), 6)
+    return export.as_json(found).select(
+        field("processing_metadata.doc_id").cast("long").alias("doc_id"),
+        F.size(F.json_object_keys("value")).cast("long").alias("n_keys"),
+        *[field(k).alias(k) for k in ("title", "year", "date", "publisher", "author", "document_type", "profession")],
+        number("overall_confidence").alias("overall"),
+        field("raw_text_preview").alias("preview"),
+        number("confidence_scores.date").alias("date_score"),
+        number("confidence_scores.title").alias("title_score"),
+        field("successful_approach").alias("successful_approach"),
+        field("ocr_attempts_count").cast("long").alias("attempts"),
+        field("analysis_document_type").alias("kind"),
+        field("analysis_quality").alias("quality"),
+    )
+
+
+@query(
+    "ocr_attempts",
+    f"""WITH {fx.PIXELS_SQL}, p AS (SELECT DISTINCT page_id FROM pixels)
+SELECT page_id::VARCHAR AS doc_id, rk, approach, error IS NULL AS success, text_length, error FROM p, (VALUES
+  (1, 'direct', 27, NULL), (2, 'nope', 0, 'Unknown approach: nope'), (3, 'light', 27, NULL)) a(rk, approach, text_length, error) WHERE page_id = 0
+UNION ALL SELECT page_id::VARCHAR, rk, approach, error IS NULL, 0, error FROM p, (VALUES (1, 'direct', NULL), (2, 'nope', 'Unknown approach: nope'), (3, 'light', NULL)) a(rk, approach, error) WHERE page_id > 0""",
+)
+def ocr_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop over approaches: an excluded one leaves no row, an unknown one fails, a short text gives way to another language's."""
+    from ..config import ProcessingConfig
+    from ..operators import ocr
+
+    pages = as_images(spark, sf_dir).withColumns({"approaches": recommend.names(["direct", "newspaper", "nope", "light"]), "image_quality": F.lit("good")})
+    backend = ocr.SidecarBackend(json.dumps({"0#1#deu": "kurz", "0#1#deu_frak": "ein längerer Text in Fraktur"[:27]}))
+    out = ocr.attempts(pages, backend, ProcessingConfig().but(excluded_approaches=("newspaper",)))
+    return out.select("doc_id", "rk", "approach", "success", "text_length", "error")
+
+
+def drawn_pages(content: bytes, dpi: int):
+    """A stand-in for a rasteriser: as many pages as the content's length says; every third one cannot be drawn."""
+    import numpy
+
+    if len(content) % 5 == 0:
+        raise ValueError("no PDF")
+
+    def page(number: int):
+        if number % 3 == 0:
+            raise ValueError("torn")
+        return numpy.zeros((number, dpi // 100, 3), numpy.uint8)
+
+    return len(content) % 5, page
+
+
+@query(
+    "pdf_pages",
+    """WITH d AS (SELECT doc_id::VARCHAR AS doc_id, octet_length(encode(text)) % 5 AS n FROM documents)
+SELECT doc_id, NULL::INT AS page_num, NULL::INT AS height, 'PDF processing failed: ' || CASE n WHEN 0 THEN 'no PDF' ELSE 'No pages could be converted from PDF' END AS error FROM d WHERE n < 2
+UNION ALL SELECT doc_id, i::INT, CASE WHEN i % 3 <> 0 THEN i::INT END, CASE WHEN i % 3 = 0 THEN 'torn' END FROM (SELECT doc_id, unnest(range(2, least(n, 3) + 1)) AS i FROM d WHERE n >= 2)""",
+)
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages 2 to 3 of documents that stand for PDF files, with a stand-in for the rasteriser."""
+    found = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return files.pdf_pages(found, 2, 3, 300, drawn_pages).select("doc_id", "page_num", F.col("image.height").alias("height"), "error")
+
+
+# Settings by preset (mode, approaches tried, early exit, workers, interactive, intermediate images, language, threshold, timeout).
+SETTINGS_SQL = """SELECT * FROM (VALUES
+  ('interactive', 6, 0.8::DOUBLE, 4, true, true, 'deu', 0.7::DOUBLE, 300),
+  ('production', 4, 0.75, 4, true, false, 'deu', 0.7, 300),
+  ('archive', 3, 0.7, 8, false, false, 'deu', 0.7, 300),
+  ('research', 8, 0.8, 4, true, false, 'deu', 0.7, 300),
+  ('era 1920-1933', 8, 0.8, 4, true, true, 'deu_frak', 0.6, 300),
+  ('era 1933-1945', 8, 0.8, 4, true, true, 'deu_frak', 0.6, 300),
+  ('era 1945-1970', 6, 0.8, 4, true, true, 'deu', 0.65, 300),
+  ('era 1970-1990', 4, 0.8, 4, true, true, 'deu', 0.75, 300),
+  ('era 1990-2025', 4, 0.8, 4, true, true, 'deu', 0.75, 300),
+  ('for research', 8, 0.8, 4, true, true, 'deu', 0.5, 300),
+  ('for archive', 3, 0.7, 8, false, false, 'deu', 0.7, 120),
+  ('example', 5, 0.8, 4, true, true, 'deu', 0.6, 300),
+  ('clamped', 6, 0.8, 4, true, true, 'deu', 1.0, 300)) t(preset, approaches, early_exit, workers, interactive, intermediate, language, threshold, timeout)"""
+
+
+@query("settings", SETTINGS_SQL)
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .. import config as c
+
+    made = {m: c.ProcessingConfig(processing_mode=m) for m in ("interactive", "production", "archive")}
+    made |= {"research": c.ProcessingConfig(processing_mode="research"), "for research": c.for_research(), "for archive": c.for_archive(), "example": c.example(), "clamped": c.ProcessingConfig(confidence_threshold=7)}
+    made |= {f"era {e}": c.for_era(e) for e in c.ERAS}
+    rows = [
+        (n, x.max_approaches_to_try, x.early_exit_confidence, x.max_workers, x.enable_interactive_mode, x.save_intermediate_images, x.ocr_language, x.confidence_threshold, x.processing_timeout_seconds)
+        for n, x in made.items()
+    ]
+    return spark.createDataFrame(rows, "preset string, approaches int, early_exit double, workers int, interactive boolean, intermediate boolean, language string, threshold double, timeout int")
