@@ -84,3 +84,27 @@ def test_consolidate(spark):
     got = {r.doc_id: r for r in extract.consolidate(extract.metadata(pages)).collect()}
     assert got[1].document_type.strip() == "Verordnung" and got[1].date == datetime.date(1938, 3, 1)
     assert got[2].document_type is None
+
+
+def test_needed_words():
+    want = {
+        "standard_date": None, "vom_date": "vom", "numeric_date": None, "stand_vom_date": "stand", "bundesministerium": "bundesministerium", "reichsministerium": "reichsministerium",
+        "deutscher_ausschuss": "deutscher", "doc_type_verordnung": "verordnung", "doc_type_anordnung": "anordnung", "doc_type_pruefungsordnung": None, "doc_type_satzung": "satzung",
+        "title_verordnung_long": "berufsausbildung", "title_named_parenthesis": "ausbildungsverordnung", "author_herausgeber": "herausgegeben", "author_named": "autor",
+        "author_ministry_named": "bundesministerium",
+    }
+    assert {s.name: patterns.needed(s.regex) for s in patterns.DEFAULT_PACK} == want
+    assert patterns.needed(r"colou?r") == "colo" and patterns.needed(r"(?<!not )word") is None and patterns.needed(r"one|other") is None
+    assert patterns.needed(r"\p{Alpha}+ ab") is None and patterns.needed(r"(word|other) last") == "last" and patterns.needed(r"x(?:inner)*outer") == "outer"
+
+
+def test_odd_letters_are_matched(spark):
+    """Letters that fold to i, k and s in Java's case-insensitive matching."""
+    odd = ["BUNDESMİNİSTERİUM für Arbeit", "bundeſminiſterium FÜR Arbeit", "Bundesmınısterıum für Arbeit", "SATZUNG", "ſatzung der Kammer"]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, text string")
+    for field in ("publisher", "document_type"):
+        for r in df.select("i", "text", patterns.best(F.col("text"), field).alias("b"), F.size(patterns.matches(F.col("text"), field)).alias("n")).collect():
+            rules = [spec for _, spec in patterns.ranked(field)]
+            plain = df.filter(F.col("i") == r.i).select(*[F.regexp_extract("text", patterns.dialect(s.regex), 0) for s in rules]).first()
+            first = next(((v, s.confidence) for v, s in zip(plain, rules, strict=True) if v), None)
+            assert (None if r.b is None else tuple(r.b)) == first and (r.n > 0) == (first is not None)

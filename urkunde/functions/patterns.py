@@ -76,6 +76,29 @@ def dialect(regex: str) -> str:
     return "(?iumdU)" + "".join(parts)
 
 
+def needed(regex: str) -> str | None:
+    """A word, folded, that is in every text with a match; None if none is sure. Saves trying the rule on other texts."""
+    out = regex.removeprefix("(?i)")
+    if re.search(r"\(\?(?!:)|\\Q", out):
+        return None
+    out = re.sub(r"\\[pP]\{[^}]*\}|\\x..|\\u....|\\.|\[(?:\\.|[^\]])*\]", " ", out)
+    for optional in (r"\((?:\?:)?[^()]*\)[?*]", r"\((?:\?:)?[^()|]*\|[^()]*\)", r"[^\W\d_][?*{]"):
+        out = re.sub(optional, " ", out)
+    words = re.findall(r"[^\W\d_]{3,}", out)
+    return max(words, key=len).lower() if words and "|" not in out else None
+
+
+def folded(text: Column) -> Column:
+    """Lower-cased, with the letters that a case-insensitive rule takes for i, k or s."""
+    return F.lower(F.translate(text, "ſıİ\u212a", "siik"))
+
+
+def tried(text: Column, low: Column, spec: PatternSpec, found: Column, otherwise: Column) -> Column:
+    """found, where the text can hold a match of the rule; low: the folded text."""
+    word = needed(spec.regex)
+    return F.when(F.contains(low, F.lit(word)), found).otherwise(otherwise) if word else found
+
+
 def ranked(field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> list[tuple[int, PatternSpec]]:
     """A field's rules with their rank, the most confident first; none for an unknown field."""
     own = [p for p in pack if p.field == field]
@@ -106,26 +129,30 @@ def placing(spec: PatternSpec, rank: int):
 
 def matches(text: Column, field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> Column:
     """All matches of a field with their places (code points, end exclusive)."""
-    found = []
-    for rank, spec in ranked(field, pack):
+    none = F.array().cast(KIND)
+
+    def one(low: Column, rank: int, spec: PatternSpec) -> Column:
         # A match starts after all text between matches, and all matches, before it. What follows the last one has none.
         both = F.arrays_zip(values(text, spec).alias("value"), F.split(text, dialect(spec.regex), -1).alias("before"))
         rows = F.filter(both, lambda x: x["value"].isNotNull())
-        placed = F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.array().cast(KIND).alias("out")), placing(spec, rank), lambda a: a["out"])
-        found.append(F.coalesce(placed, F.array().cast(KIND)))
-    return F.concat(*found) if found else F.array().cast(KIND)
+        placed = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), placing(spec, rank), lambda a: a["out"])
+        return tried(text, low, spec, F.coalesce(placed, none), none)
+
+    own = ranked(field, pack)
+    return let(folded(text), lambda low: F.concat(*[one(low, rank, spec) for rank, spec in own])) if own else none
 
 
 def best(text: Column, field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> Column:
     """struct(value, score) of a field's first match; null without one. A rule is tried once, and only if none before it matched."""
     kind = "struct<value:string,score:double>"
 
-    def first(spec: PatternSpec) -> Column:
+    def first(low: Column, spec: PatternSpec) -> Column:
         score = F.lit(spec.confidence).alias("score")
-        return let(F.regexp_extract(text, dialect(spec.regex), 0), lambda v: F.when(v != "", F.struct(v.alias("value"), score)))
+        found = tried(text, low, spec, F.regexp_extract(text, dialect(spec.regex), 0), F.lit(""))
+        return let(found, lambda v: F.when(v != "", F.struct(v.alias("value"), score)))
 
-    found = [first(spec) for _, spec in ranked(field, pack)]
-    return F.coalesce(*found).cast(kind) if found else F.lit(None).cast(kind)
+    own = ranked(field, pack)
+    return let(folded(text), lambda low: F.coalesce(*[first(low, spec) for _, spec in own])).cast(kind) if own else F.lit(None).cast(kind)
 
 
 def context(text: Column, start: Column, end: Column, reach: int = 50) -> Column:
