@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 
+from tokenizers import Tokenizer
+
 #: Stands for the end-of-word suffix; belongs to the symbol before it.
 MARK = ""
 #: Neighbours whose compatibility is kept before the memo starts anew, and the longest string that any memo keeps.
@@ -61,6 +63,9 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         model = whole["model"]
+        #: The library's normaliser and cutter, without its vocabulary.
+        empty = model | {"vocab": {}, "merges": [], "unk_token": None}
+        self.library = Tokenizer.from_str(json.dumps(whole | {"model": empty, "added_tokens": [], "post_processor": None, "decoder": None}))
         self.suffix = model.get("end_of_word_suffix") or ""
         own = (lambda t: t[: -len(self.suffix)] + MARK if t.endswith(self.suffix) else t) if self.suffix else str
         self.ids = {own(t): i for t, i in model["vocab"].items()}
@@ -72,8 +77,9 @@ class Merges:
             a, b = map(own, m.split(" ") if isinstance(m, str) else m)
             self.rank.setdefault((a, b), i)
             self.parts.setdefault(a + b, (a, b))
-        #: Whether an end of a token is a token itself.
-        self.tails = {t[i:]: t[i:] in self.ids for t in self.ids for i in range(len(t)) if t[i:] != MARK}
+        #: From each end of a token to itself if it is a token (one object for all uses), else to an empty string.
+        self.tails = {t[i:]: "" for t in self.ids for i in range(len(t)) if t[i:] != MARK}
+        self.tails.update({t: t for t in self.ids if t != MARK})
         self.longest = max(len(t) for t in self.ids)
         self.left: dict[str, list[tuple[str, int]]] = {}
         self.right: dict[str, list[tuple[str, int]]] = {}
@@ -116,9 +122,8 @@ class Merges:
             if marked and end == n - 1:
                 continue
             for start in range(end - 2 if marked and end == n else end - 1, -1, -1):
-                token = word[start:end]
-                if not (whole := tail(token)):
-                    if whole is None:
+                if not (token := tail(word[start:end])):
+                    if token is None:
                         break
                 elif not start:
                     last[end], count[end] = token, 1
@@ -166,9 +171,8 @@ class Transducer:
                 start -= 1
             while start:
                 start -= 1
-                token = word[start:end]
-                if not (whole := tail(token)):
-                    if whole is None:
+                if not (token := tail(word[start:end])):
+                    if token is None:
                         break
                 elif not start and first:
                     found = token

@@ -18,7 +18,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from .bpe import LETTERS, MARK, Memo, Merges, Transducer, letters
 from .common import map_batches, own_cache, strings
@@ -83,13 +82,11 @@ class Codec:
         self.merges = Merges(path)
         self.merges.names |= {i: t for t, i in self.merges.special.items()}
         self.transducer = Transducer(self.merges)
-        library = Tokenizer.from_file(path)
-        self.normalise = library.normalizer.normalize_str
-        self.in_letters = library.pre_tokenizer.pre_tokenize_str
+        self.normalise = self.merges.library.normalizer.normalize_str
+        self.in_letters = self.merges.library.pre_tokenizer.pre_tokenize_str
         self.byte_of = {c: b for b, c in LETTERS.items()}
-        names, suffix = self.merges.names, self.merges.suffix
-        self.named = ByteText({i: t.encode("utf-8") for i, t in names.items()}, b" ")
-        self.plain = ByteText({i: self.bytes_of(t, suffix) for i, t in names.items()})
+        self.named = ByteText({i: t.encode("utf-8") for i, t in self.merges.names.items()}, b" ")
+        self.plain: ByteText | None = None
         self.odd_space = re.compile("[\x1c-\x1f]").search
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")").split
         self.pieces = Pieces(self)
@@ -131,6 +128,8 @@ class Codec:
 
     def decode_text(self, ids: Sequence[int]) -> str:
         """The bytes behind the tokens as text, a space after each word."""
+        if self.plain is None:
+            self.plain = ByteText({i: self.bytes_of(t, self.merges.suffix) for i, t in self.merges.names.items()})
         return "".join(self.plain.text(ids))
 
 

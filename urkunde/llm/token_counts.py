@@ -15,7 +15,6 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from .bpe import Memo, Merges, letters
 from .common import map_batches, own_cache, strings
@@ -93,7 +92,7 @@ class TokenCounter:
 
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.cut = self.merges.library.pre_tokenizer.pre_tokenize_str
         self.shapes: dict[str, str] = {}
         self.tables = Tables(self.merges)
         self.words = Words(self.tables)
