@@ -35,17 +35,29 @@ AGREEING, STRAY, SCALE, ANGLE = 8, 4.0, 1.4, 20.0
 #: multiples of STRAY that are allowed while the change is fitted.
 COARSE, FITS = 0.35, (3.0, 1.5, 1.0)
 #: Descriptors of queries, and of images, that are held against each other at once, and pairs of them.
-ASKED, CORNERS, PAIRS = 1 << 18, 1 << 16, 1 << 18
+ASKED, CORNERS, PAIRS = 1 << 17, 1 << 16, 1 << 18
 
 
 def tests() -> np.ndarray:
     """Pairs of places in a unit disc, from a fixed generator."""
     rng = np.random.default_rng(11)
     p = rng.normal(0, 0.45, (BITS, 2, 2))
-    return np.clip(p, -0.95, 0.95)
+    return p / np.maximum(1, np.linalg.norm(p, axis=2, keepdims=True) / 0.95)
 
 
 TESTS = tests()
+#: The tests turned by each of TURNS angles, as whole pixels (y and x; turns x tests x two places).
+TURNS = 64
+
+
+def turned() -> tuple[np.ndarray, np.ndarray]:
+    angle = 2 * np.pi * np.arange(TURNS)[:, None, None] / TURNS
+    y, x = TESTS[..., 0] * RADIUS, TESTS[..., 1] * RADIUS
+    places = np.sin(angle) * x + np.cos(angle) * y, np.cos(angle) * x - np.sin(angle) * y
+    return tuple(np.clip(np.round(p), -RADIUS, RADIUS).astype(np.int32) for p in places)
+
+
+TURNED = turned()
 #: The bits of each table's key.
 KEYS = np.stack([np.random.default_rng(100 + i).permutation(BITS)[:KEY] for i in range(TABLES)])
 
@@ -107,10 +119,10 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         patch = a[at[:, 0].astype(int)[:, None] + oy[inside], at[:, 1].astype(int)[:, None] + ox[inside]]
         patch = patch - patch.mean(1, keepdims=True)
         angle = np.arctan2((patch * oy[inside]).sum(1), (patch * ox[inside]).sum(1))
-        c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        ty, tx = TESTS[..., 0] * RADIUS, TESTS[..., 1] * RADIUS
-        smooth = blurred(a, 2)
-        v = sampled(smooth, at[:, 0, None, None] + s * tx + c * ty, at[:, 1, None, None] + c * tx - s * ty)
+        smooth = blurred(a, 2).astype(np.float32)
+        turn = np.round(angle * TURNS / (2 * np.pi)).astype(int) % TURNS
+        y, x = at[:, 0].astype(int)[:, None, None] + TURNED[0][turn], at[:, 1].astype(int)[:, None, None] + TURNED[1][turn]
+        v = smooth.ravel()[y * w + x]  # corners keep RADIUS from the edges, and so do the tests
         bits.append(np.packbits(v[:, :, 0] < v[:, :, 1], axis=1))
         places.append(np.stack([(at[:, 1] + 0.5) * base.shape[1] / w, (at[:, 0] + 0.5) * base.shape[0] / h, np.full(len(at), level * np.log(STEP)), angle], 1))
     if not places:
@@ -239,7 +251,8 @@ def unpacked(raw: bytes) -> np.ndarray:
 def keys_of(words: np.ndarray) -> list[np.ndarray]:
     """Of descriptors as 64-bit words: each table's keys."""
     bits = np.unpackbits(words.view(np.uint8).reshape(len(words), BITS // 8), axis=1)
-    return [bits[:, at] @ (1 << np.arange(KEY, dtype=np.int32)) for at in KEYS]
+    weights = (1 << np.arange(KEY)).astype(np.float32)  # whole numbers up to 2^24 are exact in it
+    return [(bits[:, at].astype(np.float32) @ weights).astype(np.int32) for at in KEYS]
 
 
 class Corners:
@@ -258,31 +271,29 @@ class Tables:
 
     def __init__(self, asked: Corners):
         self.asked = asked
-        self.orders = [np.argsort(p) for p in asked.keys]
+        self.orders = [np.argsort(p).astype(np.int32) for p in asked.keys]
         self.sorted = [p[o] for p, o in zip(asked.keys, self.orders, strict=True)]
-        self.words = [np.ascontiguousarray(asked.words[o].T) for o in self.orders]
+        self.words = np.ascontiguousarray(asked.words.T)
 
     def near(self, stored: Corners) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of a query's and an image's descriptor that meet in a table and differ in at most DISTANCE bits, and in how many."""
-        codes = [np.zeros(0, np.int64)]
-        columns = np.ascontiguousarray(stored.words.T)
-        for own, order, keys, words in zip(stored.keys, self.orders, self.sorted, self.words, strict=True):
+        codes, columns = [np.zeros(0, np.int64)], np.ascontiguousarray(stored.words.T)
+        for own, order, keys in zip(stored.keys, self.orders, self.sorted, strict=True):
             low = np.searchsorted(keys, own)
             n = np.searchsorted(keys, own, "right") - low
-            ends = np.cumsum(n)
-            i = 0
-            while i < len(own):
+            met = np.flatnonzero(n)
+            ends, i = np.cumsum(n[met]), 0
+            while i < len(met):
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
-                k = n[i:j]
-                a = np.arange(k.sum()) + np.repeat(low[i:j] - np.cumsum(k) + k, k)
-                apart = np.bitwise_count(words[0][a] ^ np.repeat(columns[0][i:j], k))
-                keep = np.flatnonzero(apart <= DISTANCE)
-                a, b, apart = a[keep], np.repeat(np.arange(i, j), k)[keep], apart[keep]
-                for w in range(1, BITS // 64):
-                    apart = apart + np.bitwise_count(words[w][a] ^ columns[w][b])
+                own_n = n[met[i:j]]
+                b = np.repeat(met[i:j], own_n)
+                a = order[np.arange(len(b)) + np.repeat(low[met[i:j]] - np.cumsum(own_n) + own_n, own_n)]
+                apart = 0
+                for w in range(BITS // 64):
+                    apart = apart + np.bitwise_count(self.words[w][a] ^ columns[w][b])
                     keep = np.flatnonzero(apart <= DISTANCE)
                     a, b, apart = a[keep], b[keep], apart[keep]
-                codes.append(order[a] * len(own) + b)
+                codes.append(a.astype(np.int64) * len(own) + b)
                 i = j
         code = np.sort(np.concatenate(codes))
         code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
