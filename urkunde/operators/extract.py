@@ -13,7 +13,8 @@ from ..functions.text import preview
 def match_table(docs: DataFrame, field: str, text: str = "text", doc_id: str = "doc_id", pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> DataFrame:
     """One row for each match of a field, ranked within its document."""
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), matches(F.col(text), field, pack).alias("found"))
-    rows = found.select("doc_id", "text", F.posexplode("found").alias("at", "m"))
+    # The outer form, as for the inner one the optimiser would put the matching into a filter as well, twice.
+    rows = found.select("doc_id", "text", F.posexplode_outer("found").alias("at", "m")).filter("m is not null")
     return rows.select(
         "doc_id",
         F.lit(field).alias("field"),

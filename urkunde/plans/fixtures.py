@@ -77,6 +77,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(orders).selectExpr(f"{K} AS doc_id", f"{TEXT} AS text")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*ATTEMPT_COLUMNS)
 

@@ -173,7 +173,7 @@ CONFIDENCE_SQL = (
 
 @query("ocr_confidence", f"SELECT doc_id, round({CONFIDENCE_SQL}, 6)::DOUBLE AS confidence FROM documents")
 def ocr_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "documents").select("doc_id", F.round(scoring.ocr_confidence(F.col("text")), 6).alias("confidence"))
+    return fx.documents(spark, sf_dir).select("doc_id", F.round(scoring.ocr_confidence(F.col("text")), 6).alias("confidence"))
 
 
 @query(
@@ -185,7 +185,7 @@ SELECT doc_id, CASE WHEN greatest(f, m, o, x) < 0.3 THEN 'modern_german' WHEN f
   round(CASE WHEN greatest(f, m, o, x) < 0.3 THEN 0.5 ELSE least(greatest(f, m, o, x), 1.0) END, 6)::DOUBLE AS confidence FROM scores""",
 )
 def doc_type_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fx.table(spark, sf_dir, "documents").select("doc_id", scoring.document_type(F.col("text")).alias("t"))
+    out = fx.documents(spark, sf_dir).select("doc_id", scoring.document_type(F.col("text")).alias("t"))
     return out.select("doc_id", F.col("t.type").alias("document_type"), F.round("t.confidence", 6).alias("confidence"))
 
 
@@ -615,7 +615,7 @@ def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ocr_confidence_by_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.when(F.col("doc_id") % 3 == 0, "poor").when(F.col("doc_id") % 3 == 1, "excellent").otherwise("fair")
-    return fx.table(spark, sf_dir, "documents").select("doc_id", F.round(scoring.ocr_confidence(F.col("text"), quality), 6).alias("confidence"))
+    return fx.documents(spark, sf_dir).select("doc_id", F.round(scoring.ocr_confidence(F.col("text"), quality), 6).alias("confidence"))
 
 
 @query(
