@@ -30,7 +30,7 @@ SIMILARITY = 0.8
 #: Texts of similarity 0.8 share a sketch with a chance of 0.8 ** KEEP, and none of all with about 4e-8.
 SKETCHES, KEEP = 24, 3
 #: Texts, and shingles, of a bucket that make a block; each task holds two blocks.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Pairs with one hub that a task verifies.
 HUB_PAIRS = 1024
 #: Counts by hash that a task holds at once, and how many of them a text has.
