@@ -35,7 +35,7 @@ AGREEING, STRAY, SCALE, ANGLE = 8, 4.0, 1.4, 20.0
 #: multiples of STRAY that are allowed while the change is fitted.
 COARSE, FITS = 0.35, (3.0, 1.5, 1.0)
 #: Descriptors of queries, and of images, that are held against each other at once, and pairs of them.
-ASKED, CORNERS, PAIRS = 1 << 17, 1 << 16, 1 << 18
+ASKED, CORNERS, PAIRS = 1 << 17, 1 << 14, 1 << 18
 
 
 def tests() -> np.ndarray:
@@ -277,12 +277,12 @@ class Tables:
 
     def near(self, stored: Corners) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs of a query's and an image's descriptor that meet in a table and differ in at most DISTANCE bits, and in how many."""
-        codes, columns = [np.zeros(0, np.int64)], np.ascontiguousarray(stored.words.T)
+        code, columns = np.zeros(0, np.int64), np.ascontiguousarray(stored.words.T)
         for own, order, keys in zip(stored.keys, self.orders, self.sorted, strict=True):
             low = np.searchsorted(keys, own)
             n = np.searchsorted(keys, own, "right") - low
             met = np.flatnonzero(n)
-            ends, i = np.cumsum(n[met]), 0
+            ends, i, codes = np.cumsum(n[met]), 0, [code]
             while i < len(met):
                 j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
                 own_n = n[met[i:j]]
@@ -295,8 +295,7 @@ class Tables:
                     a, b, apart = a[keep], b[keep], apart[keep]
                 codes.append(a.astype(np.int64) * len(own) + b)
                 i = j
-        code = np.sort(np.concatenate(codes))
-        code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+            code = np.unique(np.concatenate(codes))  # pairs of near copies meet in many tables: they are kept once
         a, b = np.divmod(code, max(1, len(stored.owner)))
         return a, b, np.bitwise_count(self.asked.words[a] ^ stored.words[b]).sum(1, dtype=np.int64)
 
