@@ -34,6 +34,8 @@ AGREEING, STRAY, SCALE, ANGLE = 8, 4.0, 1.4, 20.0
 #: Share of a match's distance from the first one by which it may stray from what the first one's corner says, and the
 #: multiples of STRAY that are allowed while the change is fitted.
 COARSE, FITS = 0.35, (3.0, 1.5, 1.0)
+#: Matches that are tried as the first one at once.
+FIRSTS = 16
 #: Descriptors of queries, and of images, that are held against each other at once, and pairs of them.
 ASKED, CORNERS, PAIRS = 1 << 17, 1 << 14, 1 << 18
 
@@ -191,17 +193,17 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
     """The most matches (rows of corners of two images) that agree on one change of scale, angle and place; 0 if under AGREEING.
 
     Each match's corners tell a change. With those that roughly carry it out, the change is fitted by least squares,
-    more and more closely. All matches are tried as the first one. What agrees within STRAY pixels of one another in
-    either image counts once.
+    more and more closely. Every match is tried as the first one unless it agrees with a change found before. What
+    agrees within STRAY pixels of one another in either image counts once.
     """
     if len(a) < AGREEING:
         return 0
     z_a, z_b = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
     change = np.exp(b[:, 2] - a[:, 2] + 1j * (b[:, 3] - a[:, 3]))
     cell_a, cell_b = np.round(z_a / STRAY), np.round(z_b / STRAY)
-    best, step = 0, max(1, PAIRS // len(a))
-    for i in range(0, len(a), step):
-        k = slice(i, i + step)
+    best, left, step = 0, np.arange(len(a)), max(1, min(FIRSTS, PAIRS // len(a)))
+    while len(left):
+        k, left = left[:step], left[step:]
         apart = change[None, :] / change[k, None]
         near = (np.abs(np.log(np.abs(apart))) <= np.log(SCALE)) & (np.abs(np.angle(apart)) <= np.radians(ANGLE))
         way = z_a[None, :] - z_a[k, None]
@@ -218,6 +220,7 @@ def consensus(a: np.ndarray, b: np.ndarray) -> int:
             if counts[row] <= max(best, AGREEING - 1):
                 break
             best = max(best, min(len(np.unique(cell_a[fit[row]])), len(np.unique(cell_b[fit[row]]))))
+            left = left[~fit[row][left]]
     return best if best >= AGREEING else 0
 
 
