@@ -232,6 +232,14 @@ def test_near_in_blocks(spark, monkeypatch):
         for p in got:
             forest.link(*p)
         assert len({forest.root(i) for i in range(60)}) == 1
+    # With a large component that is known, its texts are held against the others only.
+    known = spark.createDataFrame([(x, nodes[5]) for x in nodes[5:50]], "node binary, root binary")
+    got = [(int(r.a), int(r.b)) for r in near_dedup.open_links(members, known, texts).collect()]
+    assert {frozenset(p) for p in got} <= want and not any(5 <= a < 50 and 5 <= b < 50 for a, b in got)
+    forest = near_dedup.Forest()
+    for p in [*got, *((5, i) for i in range(6, 50))]:
+        forest.link(*p)
+    assert len({forest.root(i) for i in range(60)}) == 1
 
 
 def test_order_decides():

@@ -263,13 +263,30 @@ def block_links(left: list[tuple], right: list[tuple]) -> Iterator[tuple[bytes,
                 yield rows[k][0], rows[m][0]
 
 
+def blocks_of(n: Column, shingle_count: Column) -> Column:
+    return F.ceil(F.greatest(n / BLOCK, shingle_count / BLOCK_SHINGLES)).cast("int")
+
+
 def open_links(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) within the buckets that hold more than one component; members: bucket, node, size."""
+    """Links (a, b) within the buckets that hold more than one component; members: bucket, node, size.
+
+    The texts of a large bucket's largest component are already connected, so their blocks are held against the blocks of
+    the others only; so a bucket's cost is the number of its texts times that of those outside its largest component.
+    """
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    rows = rooted.join(buckets.filter("low <> high").select("bucket", blocks.alias("blocks")), "bucket").join(texts, "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    buckets = own.groupBy("bucket").agg(F.count("*").alias("components"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "shingles", "root")).alias("most"))
+    whole = blocks_of(F.col("n"), F.col("shingles"))
+    rest = F.when(whole > 1, blocks_of(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles"))).otherwise(1)
+    largest = F.when(whole > 1, blocks_of(F.col("most.n"), F.col("most.shingles"))).otherwise(0)
+    buckets = buckets.filter("components > 1").select("bucket", "most.root", rest.alias("rest"), largest.alias("largest")).withColumnRenamed("root", "most")
+    rows = rooted.join(buckets, "bucket").join(texts, "node")
+    # Blocks from 0 on hold the rest, those behind them the largest component; a small bucket is one block.
+    in_largest = (F.col("root") == F.col("most")) & (F.col("largest") > 0)
+    at = F.xxhash64("node")
+    rows = rows.withColumn("own", F.when(in_largest, F.col("rest") + F.pmod(at, F.greatest("largest", F.lit(1)))).otherwise(F.pmod(at, F.col("rest"))).cast("int"))
+    others = F.when(in_largest, F.col("rest")).otherwise(F.col("rest") + F.col("largest"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "text")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
