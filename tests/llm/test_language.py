@@ -256,7 +256,9 @@ def test_novelty_decides(spark):
     for i, t in rows:
         base = brute_spans(t)
         assert got[i].base_sha256 == hashlib.sha256(secret_scan.joined(base).encode()).hexdigest()
-        assert got[i].spans == secret_scan.joined(sorted(base + brute_novel(t))), t
+        spans = sorted(base + brute_novel(t))
+        assert got[i].spans == secret_scan.joined(spans), t
+        assert got[i].added_bytes == ",".join(str(secret_scan.added_bytes(t[s:e], t[max(0, s - 512) : s] + t[e : e + 512])) for s, _, e in spans)
     for i, (t, want) in enumerate(PLANTED):
         assert [t[s:e] for s, k, e in brute_novel(t)] == want, t
     assert sum("novel" in r.spans for r in got.values()) >= 4

@@ -50,14 +50,14 @@ IDENTIFIERS = (
 LIKELY = ("passw", "secret", "token", "api", "credential", "bearer", "authorization", "private", "access", "signature")
 
 
-def added_bytes(candidate: str, around: str) -> int:
+def added_bytes(candidate: str, surroundings: str) -> int:
     """Bytes that the candidate adds to a frame primed with the identifiers and the text around it."""
-    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primed = zstandard.ZstdCompressionDict(IDENTIFIERS + surroundings.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)
-    return len(press.compress(candidate.encode())) - len(press.compress(b""))
+    return len(press.compress(candidate.encode("utf-8", "surrogatepass"))) - len(press.compress(b""))
 
 
-def is_novel(candidate: str, around: str) -> bool:
+def is_novel(candidate: str, surroundings: str) -> bool:
     """Whether the candidate adds NOVELTY of its bytes; from 64 bytes on, of what its alphabet alone lets them come to.
 
     zstandard codes the characters of longer strings by their frequencies, so that a random string of 16 different
@@ -67,7 +67,7 @@ def is_novel(candidate: str, around: str) -> bool:
     if len(candidate) >= CODED:
         shares = [n / len(candidate) for n in Counter(candidate).values()]
         bits = -sum(x * log2(x) for x in shares)
-    return added_bytes(candidate, around) >= NOVELTY * len(candidate) * bits / 8
+    return added_bytes(candidate, surroundings) >= NOVELTY * len(candidate) * bits / 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -110,18 +110,29 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             continue
         value = text[start:end]
         kinds = bool(LOWER(value)) + bool(UPPER(value)) + bool(DIGIT(value))
-        if kinds >= 2 and is_novel(value, text[max(0, start - AROUND) : start] + text[end : end + AROUND]):
+        if kinds >= 2 and is_novel(value, around(text, start, end)):
             out.append((start, 3, end))
     return out
 
 
+def around(text: str, start: int, end: int) -> str:
+    return text[max(0, start - AROUND) : start] + text[end : end + AROUND]
+
+
+def measures(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """Of each span the bytes that it adds to what is around it, joined by commas. A span that its surroundings or the
+    identifiers explain (an example, a repeated key) adds few."""
+    return ",".join([str(added_bytes(text[s:e], around(text, s, e))) for s, _, e in spans])
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{s}:{e}" for s, k, e in spans])
 
 
 def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_assign, n_access, n_hex, base_sha256 (of the base spans, kind:start:end by start and kind, joined by
-    commas, code points, end exclusive) and spans (all spans, joined likewise).
+    commas, code points, end exclusive), spans (all spans, joined likewise) and added_bytes (see measures(), in the order
+    of spans).
 
     Matches of one kind do not overlap, those of different kinds may. Beside the three base kinds, `novel` are runs of
     at least LEAST letters, digits and +/_=- that start at most REACH characters after a sensitive word, hold two of
@@ -134,16 +145,18 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
 
     def make():
         def function(batch):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for t in strings(batch, text):
                 base = base_spans(t)
                 for k in range(3):
                     out[k].append(sum(1 for x in base if x[1] == k))
                 out[3].append(hashlib.sha256(joined(base).encode()).hexdigest())
-                out[4].append(joined(sorted([*base, *novel_spans(t, base)])))
+                spans = sorted([*base, *novel_spans(t, base)])
+                out[4].append(joined(spans))
+                out[5].append(measures(t, spans))
             return out
 
         return function
 
-    fields = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType())]
+    fields = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType()), ("added_bytes", T.StringType())]
     return map_batches(df, fields, make, keep)
