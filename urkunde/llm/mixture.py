@@ -20,8 +20,8 @@ WEIGHTS = (1, 2, 3)
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 #: Sums of parts, at most, that are broadcast; more are joined by a shuffle.
 BROADCAST_PARTS = 100_000
-#: Documents of a source meet in at least as many parts; there are more with more rows.
-PARTS, PART_ROWS = 256, 4096
+#: Rows of a part, about. Documents of a source meet in parts by the first digits of their order: at least 16 ** DIGITS.
+PART_ROWS, DIGITS = 4096, 2
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], folders: list[str]) -> DataFrame:
@@ -115,7 +115,7 @@ def plan(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: s
     # Sums for the finest parts that a digit of the order allows tell how many parts are needed.
     sums = cut(rows.groupBy("source", F.substring("order", 1, 4).alias("part")).agg(F.sum("size").alias("size"), F.count("*").alias("n")))
     n = sums.agg(F.sum("n")).first()[0] or 0
-    digits = 2
+    digits = DIGITS
     while digits < 4 and PART_ROWS * 16**digits < n:
         digits += 1
     by_source = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")))
