@@ -65,3 +65,7 @@ def test_limits_are_only_lowered(spark):
     assert spark.conf.get(keys[0]) == "7"
     for k, v in zip(keys, was, strict=True):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_shrink(spark):
+    common.shrink(spark)

@@ -64,6 +64,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shrink(spark: SparkSession) -> None:
+    """Has the executors collect their garbage, so that the heap that a former stage has made them take goes back to the
+    system before the next one's Python workers need it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").agg(F.max("done")).collect()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that no plan reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
