@@ -1,7 +1,7 @@
 """A corpus pipeline: documents in, token ids out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return
-the columns of documents. A null in any column, an empty or repeated row, and an empty table are handled as
+the columns of documents. Each begins by having the executors give back the heap that they no longer need. A null in any column, an empty or repeated row, and an empty table are handled as
 the operators say.
 """
 
@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urkunde.llm import bpe_codec, exact_dedup, mixture, near_dedup, quality_mil
-from urkunde.llm.common import read, remove, work_dir
+from urkunde.llm.common import read, remove, shrink, work_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from all labels, does not reject; with all their columns as they are."""
+    shrink(spark)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), "doc_id", "text")
     judged = quality_mil.classify(packed, read(spark, sf_dir, "labels"), F.lit(False), keep=["_all"])
     return judged.filter("predicted = 1").select("_all.*")
@@ -24,21 +25,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
+    shrink(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    shrink(spark)
     return near_dedup.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as their source's target asks for."""
+    shrink(spark)
     return mixture.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with n_tokens and ids."""
+    shrink(spark)
     return bpe_codec.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
