@@ -1,8 +1,8 @@
 """A corpus pipeline: documents in, token ids out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. All but the last return
-the columns of documents. Each begins by having the executors give back the heap that they no longer need. A null in any column, an empty or repeated row, and an empty table are handled as
-the operators say.
+the columns of documents. Those with Python functions begin by having the executors give back the heap that they no
+longer need. A null in any column, an empty or repeated row, and an empty table are handled as the operators say.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    shrink(spark)
     return exact_dedup.deduplicate(docs)
 
 
@@ -37,7 +36,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as their source's target asks for."""
-    shrink(spark)
     return mixture.mix(docs)
 
 
