@@ -201,12 +201,12 @@ def may_have(rows: DataFrame, key: Column, keys: Column, of: DataFrame) -> DataF
     The keys set bits of a table of FILTER_BITS, which is at most 2 MB, so that rows without such a key are told
     where they are and only the others need a shuffle. With very many keys all bits are set: more rows are shuffled.
     """
-    place = F.pmod(F.xxhash64(keys), F.lit(FILTER_BITS)).alias("place")
-    words = of.select(place).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits"))
-    marked = rows.withColumn("place", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("word", F.shiftright("place", 6))
-    joined = marked.join(F.broadcast(words), "word", "left")
-    may = F.expr("coalesce(shiftrightunsigned(bits, cast(place & 63 as int)) & 1L, 0L) = 1L")
-    return joined.withColumn("may", may).drop("word", "place", "bits")
+    place = F.pmod(F.xxhash64(keys), F.lit(FILTER_BITS)).alias("_place")
+    words = of.select(place).groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_place & 63 as int)))").alias("_bits"))
+    marked = rows.withColumn("_place", F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))).withColumn("_word", F.shiftright("_place", 6))
+    joined = marked.join(F.broadcast(words), "_word", "left")
+    may = F.expr("coalesce(shiftrightunsigned(_bits, cast(_place & 63 as int)) & 1L, 0L) = 1L")
+    return joined.withColumn("may", may).drop("_word", "_place", "_bits")
 
 
 def keep_rows(df: DataFrame, decided: DataFrame, id_column: str, node: Column) -> DataFrame:

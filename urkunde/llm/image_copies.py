@@ -34,6 +34,8 @@ AGREEING, STRAY, SCALE, ANGLE = 8, 4.0, 1.4, 20.0
 #: Share of a match's distance from the first one by which it may stray from what the first one's corner says, and the
 #: multiples of STRAY that are allowed while the change is fitted.
 COARSE, FITS = 0.35, (3.0, 1.5, 1.0)
+#: Digests of images that a task remembers.
+SEEN = 1 << 20
 #: Matches that are tried as the first one at once.
 FIRSTS = 16
 #: Descriptors of queries, and of images, that are held against each other at once, and pairs of them.
@@ -362,52 +364,45 @@ def find(df: DataFrame, is_query: Column, id_column: str, content: str, is_store
     """Rows (id, is_query, image, class_id, class_size, n_corners) for all rows of df, and links (query, image, agreeing)
     between their images. See search(). Only rows with is_stored (by default all) are searched.
 
-    Files are read twice and never moved or staged: for the digests, and for the corners of each class's first row."""
+    Files are read once and neither moved nor staged. A task describes equal pixels once."""
     spark, folders = df.sparkSession, []
 
-    def digests():
+    def described_once():
+        seen: set[bytes] = set()
+
         def function(batch):
-            out = []
+            out: list[list] = [[], [], []]
             for x in batch.column(content):
                 raw = x.as_py()
                 image = read_image(raw)
                 pixels = b"file" + (raw or b"") if image is None else b"%d " % image.shape[1] + image.tobytes()
-                out.append(hashlib.sha256(pixels).digest()[:16])
-            return [out]
+                digest = hashlib.sha256(pixels).digest()[:16]
+                at, bits = (None, None) if digest in seen else describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(digest)
+                out[0].append(digest)
+                out[1].append(None if at is None else packed(at))
+                out[2].append(None if bits is None else bits.tobytes())
+            return out
 
         return function
 
     flags = [F.coalesce(is_query, F.lit(False)).alias("is_query"), (F.lit(True) if is_stored is None else F.coalesce(is_stored, F.lit(False))).alias("is_stored")]
     own = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{content}`").alias(content), *flags)
-    digested = [("image", T.BinaryType())]
-    rows = staged(map_batches(own, digested, digests, ["id", "is_query", "is_stored"]), folders, "images")
-    groups = rows.groupBy("image").agg(F.min(F.struct("id")).alias("first"), F.count("*").alias("n"), F.max("is_query").alias("asks"), F.max("is_stored").alias("stored"))
+    fields = [("image", T.BinaryType()), ("at", T.BinaryType()), ("bits", T.BinaryType())]
+    rows = staged(map_batches(own, fields, described_once, ["id", "is_query", "is_stored"]), folders, "images")
+    n_corners = F.max(F.expr(f"octet_length(bits) div {BITS // 8}").cast("int")).alias("n_corners")
+    groups = rows.groupBy("image").agg(F.min(F.struct("id")).alias("first"), F.count("*").alias("n"), F.max("is_query").alias("asks"), F.max("is_stored").alias("stored"), n_corners)
     groups = staged(groups, folders, "groups")
 
-    def corners_of():
-        def function(batch):
-            out: list[list] = [[], []]
-            for x in batch.column(content):
-                image = read_image(x.as_py())
-                at, bits = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))
-                out[0].append(packed(at))
-                out[1].append(bits.tobytes())
-            return out
-
-        return function
-
-    def key(number: str) -> Column:
-        return F.concat_ws(" ", F.hex("image"), F.col(number).cast("string"))
-
-    # These tell a class's first row, its queries and what is searched but for a few rows more; exactly so below.
-    firsts = may_have(map_batches(own, digested, digests, ["id", content]), key("id"), key("first.id"), groups).filter("may").drop("may", "id")
-    firsts = may_have(firsts, F.col("image"), F.col("image"), groups.filter("asks")).withColumnRenamed("may", "asks")
-    firsts = may_have(firsts, F.col("image"), F.col("image"), groups.filter("stored")).withColumnRenamed("may", "stored")
-    described = staged(map_batches(firsts, [("at", T.BinaryType()), ("bits", T.BinaryType())], corners_of, ["image", "asks", "stored"]), folders, "corners")
+    # Marked as queries and as searched are a few images more; exactly so below. Several tasks may have described one.
+    described = rows.filter("bits is not null").select("image", "at", "bits")
+    described = may_have(described, F.col("image"), F.col("image"), groups.filter("asks")).withColumnRenamed("may", "asks")
+    described = may_have(described, F.col("image"), F.col("image"), groups.filter("stored")).withColumnRenamed("may", "stored")
     found = links(described)
     found = found.join(groups.filter("asks").select(F.col("image").alias("query")), "query", "left_semi").join(groups.filter("stored").select("image"), "image", "left_semi")
-    counts = described.groupBy("image").agg(F.max(F.expr(f"octet_length(bits) div {BITS // 8}").cast("int")).alias("n_corners"))
-    whole = groups.select("image", "n", F.col("first.id").alias("class_id")).join(counts, "image")
+    whole = groups.select("image", "n", F.col("first.id").alias("class_id"), "n_corners")
     out = cut(join_groups(rows.select("id", "is_query", "image"), whole, "image", "n").select("id", "is_query", "image", "class_id", F.col("n").alias("class_size"), "n_corners"))
     found = cut(found)
     for folder in folders:
