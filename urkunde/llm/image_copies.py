@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_groups, map_batches, may_have, remove, staged, work_dir
+from .common import cut, join_groups, map_batches, may_have, remove, shrink, staged, work_dir
 
 #: Factors between image sizes, and how many sizes.
 STEP, LEVELS = 1.25, 4
@@ -400,6 +400,7 @@ def find(df: DataFrame, is_query: Column, id_column: str, content: str, is_store
     described = rows.filter("bits is not null").select("image", "at", "bits")
     described = may_have(described, F.col("image"), F.col("image"), groups.filter("asks")).withColumnRenamed("may", "asks")
     described = may_have(described, F.col("image"), F.col("image"), groups.filter("stored")).withColumnRenamed("may", "stored")
+    shrink(spark)
     found = links(described)
     found = found.join(groups.filter("asks").select(F.col("image").alias("query")), "query", "left_semi").join(groups.filter("stored").select("image"), "image", "left_semi")
     whole = groups.select("image", "n", F.col("first.id").alias("class_id"), "n_corners")
