@@ -108,3 +108,28 @@ def test_odd_letters_are_matched(spark):
             plain = df.filter(F.col("i") == r.i).select(*[F.regexp_extract("text", patterns.dialect(s.regex), 0) for s in rules]).first()
             first = next(((v, s.confidence) for v, s in zip(plain, rules, strict=True) if v), None)
             assert (None if r.b is None else tuple(r.b)) == first and (r.n > 0) == (first is not None)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_folded_once_and_json_is_read_once(spark):
+    from urkunde.plans.queries import QUERIES
+
+    found = plan(QUERIES["metadata_json"](spark, "/root/testdata/sf0.001"))
+    assert "get_json_object" not in found and found.count("from_json(") == 1
+    docs = spark.createDataFrame([(1, "Satzung")], "doc_id int, text string")
+    own = plan(extract.metadata(docs).select("title", "publisher", "document_type", "author"))
+    # The fold before the fields, and the one of the dates.
+    assert own.count("translate(") <= 2 and own.count("regexp_extract(") < 30
+
+
+def test_record_agrees_with_best(spark):
+    """The record's fields are the best match of each, also where the first rule of a field fails and the text has odd letters or is null."""
+    texts_ = [None, "", "Deutscher Ausschuss für Technisches Schulwesen", "Autor: A\nBundesministerium für Arbeit", "Herausgegeben von B.\nAutor: C", "Bundesmınısterıum für Arbeit\n", "Satzung\nAnordnung", "\nVerordnung x"]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id int, text string")
+    got = {r.doc_id: r for r in extract.metadata(df).collect()}
+    for field in patterns.FIELDS:
+        for r in df.select("doc_id", patterns.best(F.col("text"), field).alias("b")).collect():
+            assert got[r.doc_id][field] == (r.b and r.b.value) and got[r.doc_id].confidence_scores.get(field) == (r.b and r.b.score), (field, texts_[r.doc_id])

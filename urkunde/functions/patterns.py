@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import let
@@ -89,8 +91,9 @@ def needed(regex: str) -> str | None:
 
 
 def folded(text: Column) -> Column:
-    """Lower-cased, with the letters that a case-insensitive rule takes for i, k or s."""
-    return F.lower(F.translate(text, "ſıİ\u212a", "siik"))
+    """Lower-cased, with the letters that a case-insensitive rule takes for i, k or s. Few texts have one, and replacing is slow."""
+    odd = "ſıİ\u212a"
+    return F.lower(F.when(F.rlike(text, F.lit(f"[{odd}]")), F.translate(text, odd, "siik")).otherwise(text))
 
 
 def tried(text: Column, low: Column, spec: PatternSpec, found: Column, otherwise: Column) -> Column:
@@ -155,6 +158,31 @@ def best(text: Column, field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PACK)
     return let(folded(text), lambda low: F.coalesce(*[first(low, spec) for _, spec in own])).cast(kind) if own else F.lit(None).cast(kind)
 
 
+def first_matches(docs: DataFrame, text: str, low: str, fields: tuple[str, ...], pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> tuple[DataFrame, dict[str, Column]]:
+    """docs with a column for each rule, and `best` of each field from them; low: the column of folded texts.
+
+    The rules of one rank are plain columns of one projection, so they run as compiled code and the text is folded once;
+    one behind a match is not tried.
+    """
+    own = {f: ranked(f, pack) for f in fields}
+    column = lambda f, level: f"_{f}_{level}"
+    for level in range(max(map(len, own.values()), default=0)):
+        found = {}
+        for f in (f for f in fields if level < len(own[f])):
+            spec = own[f][level][1]
+            one = tried(F.col(text), F.col(low), spec, F.regexp_extract(F.col(text), dialect(spec.regex), 0), F.lit(""))
+            earlier = [F.col(column(f, k)) != "" for k in range(level)]
+            found[column(f, level)] = F.when(reduce(or_, earlier), F.lit("")).otherwise(one) if earlier else one
+        docs = docs.withColumns(found)
+    bests = {}
+    for f in fields:
+        hits = [(F.col(column(f, level)), spec.confidence) for level, (_, spec) in enumerate(own[f])]
+        value = F.coalesce(*[F.when(v != "", v) for v, _ in hits]) if hits else F.lit(None).cast("string")
+        score = F.coalesce(*[F.when(v != "", F.lit(c)) for v, c in hits]) if hits else F.lit(None).cast("double")
+        bests[f] = F.struct(value.alias("value"), score.alias("score"))
+    return docs, bests
+
+
 def context(text: Column, start: Column, end: Column, reach: int = 50) -> Column:
     """The text around a match, `reach` code points on each side."""
     first = F.greatest(start - reach, F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import best_date
-from ..functions.patterns import DEFAULT_PACK, FIELDS, PatternSpec, best, context, matches
+from ..functions.patterns import DEFAULT_PACK, FIELDS, PatternSpec, context, first_matches, folded, matches
 from ..functions.text import preview
 
 
@@ -38,9 +38,10 @@ def overall(scores: Column) -> Column:
 def metadata(docs: DataFrame, text: str = "text", pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> DataFrame:
     """Adds the record's columns: each field's best match, date and year, the scores, their mean and a preview."""
     body = F.col(text)
-    own = F.struct(*[best(body, f, pack).alias(f) for f in FIELDS], best_date(body, pack).alias("date"))
+    tried, bests = first_matches(docs.withColumn("_low", folded(body)), text, "_low", FIELDS, pack)
+    own = F.struct(*[v.alias(f) for f, v in bests.items()], best_date(body, pack).alias("date"))
     # The generator keeps the optimiser from putting the matching into each of the columns that use it.
-    out = docs.select("*", F.inline(F.array(F.struct(own.alias("_found")))))
+    out = tried.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(own.alias("_found")))))
     scores = F.map_from_entries(
         F.filter(F.array(*[F.struct(F.lit(f).alias("key"), F.col(f"_found.{f}.score").alias("value")) for f in (*FIELDS, "date")]), lambda e: e["value"].isNotNull())
     )

@@ -138,6 +138,12 @@ def overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("confidence_scores").cast("long").alias("n_scores"), F.round("overall_confidence", 6).alias("overall_confidence"))
 
 
+#: Types under which the keys of an exported record are read back.
+READ_BACK = ", ".join(
+    f"{k} {dict(confidence_scores='map<string,double>', overall_confidence='double', processing_metadata='map<string,string>', ocr_attempts_count='bigint').get(k, 'string')}" for k in export.KEYS
+)
+
+
 @query(
     "metadata_json_fields",
     f"{RECORD_SQL} SELECT doc_id, title AS title, CAST(year(date) AS VARCHAR) AS year, strftime(date, '%Y-%m-%dT%H:%M:%S') AS date, 0::BIGINT AS attempts, publisher AS publisher FROM record",
@@ -628,20 +634,21 @@ def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All keys of the exported record, read back from its JSON."""
     told = {"ocr_attempts_count": F.lit(3), "successful_approach": F.lit("standard"), "analysis_document_type": F.lit("official_document"), "analysis_quality": F.lit("good")}
     found = extract.metadata(fx.corpus(spark, sf_dir)).withColumns(told | {"processing_metadata": F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"))})
-    field = lambda p: F.get_json_object("value", f"$.{p}")
-    number = lambda p: F.round(field(p).cast("double"), 6)
-    return export.as_json(found).select(
-        field("processing_metadata.doc_id").cast("long").alias("doc_id"),
+    # One parse gives all keys; only counting them takes another.
+    read = export.as_json(found).select("value", F.from_json("value", READ_BACK).alias("r"))
+    number = lambda v: F.round(v, 6)
+    return read.select(
+        F.try_element_at("r.processing_metadata", F.lit("doc_id")).cast("long").alias("doc_id"),
         F.size(F.json_object_keys("value")).cast("long").alias("n_keys"),
-        *[field(k).alias(k) for k in ("title", "year", "date", "publisher", "author", "document_type", "profession")],
-        number("overall_confidence").alias("overall"),
-        field("raw_text_preview").alias("preview"),
-        number("confidence_scores.date").alias("date_score"),
-        number("confidence_scores.title").alias("title_score"),
-        field("successful_approach").alias("successful_approach"),
-        field("ocr_attempts_count").cast("long").alias("attempts"),
-        field("analysis_document_type").alias("kind"),
-        field("analysis_quality").alias("quality"),
+        *[F.col(f"r.{k}").alias(k) for k in ("title", "year", "date", "publisher", "author", "document_type", "profession")],
+        number(F.col("r.overall_confidence")).alias("overall"),
+        F.col("r.raw_text_preview").alias("preview"),
+        number(F.try_element_at("r.confidence_scores", F.lit("date"))).alias("date_score"),
+        number(F.try_element_at("r.confidence_scores", F.lit("title"))).alias("title_score"),
+        F.col("r.successful_approach").alias("successful_approach"),
+        F.col("r.ocr_attempts_count").alias("attempts"),
+        F.col("r.analysis_document_type").alias("kind"),
+        F.col("r.analysis_quality").alias("quality"),
     )
 
 
