@@ -133,3 +133,11 @@ def test_record_agrees_with_best(spark):
     for field in patterns.FIELDS:
         for r in df.select("doc_id", patterns.best(F.col("text"), field).alias("b")).collect():
             assert got[r.doc_id][field] == (r.b and r.b.value) and got[r.doc_id].confidence_scores.get(field) == (r.b and r.b.score), (field, texts_[r.doc_id])
+
+
+def test_dates_without_a_bonus_need_no_places(spark):
+    """Only texts with the word of a bonus are cut up for the places of their matches; the dates are those of all matches."""
+    df = spark.createDataFrame([(1, "30.2.1900 29.02.2000"), (2, "31. Februar 1938 und 3.4.1950"), (3, "3.4.1950, 1. Mai 1940"), (4, "3.4.1950 VOM\n1. Mai 1940, 0.1.1950")], "doc_id int, text string")
+    got = {r.doc_id: (str(r.date), r.confidence_scores.get("date")) for r in extract.metadata(df).collect()}
+    assert got == {1: ("2000-02-29", 0.7), 2: ("1950-04-03", 0.7), 3: ("1940-05-01", 0.8), 4: ("1940-05-01", 1.0)}
+    assert "try_make_timestamp" not in plan(extract.metadata(df)) and "arrays_zip" not in plan(extract.metadata(df))

@@ -116,33 +116,38 @@ def values(text: Column, spec: PatternSpec) -> Column:
 KIND = "array<struct<value:string,start:int,end:int,rule:string,rank:int,confidence:double>>"
 
 
-def placing(spec: PatternSpec, rank: int):
-    """Adds a match, with the text before it, to the matches so far and moves on behind it."""
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["before"])
-        end = start + F.length(x["value"])
-        one = F.struct(
-            x["value"].alias("value"), start.alias("start"), end.alias("end"), F.lit(spec.name).alias("rule"), F.lit(rank).alias("rank"), F.lit(spec.confidence).alias("confidence")
-        )
+def placing(before: Column, spec: PatternSpec, rank: int):
+    """Adds a match to those so far and moves on behind it; before: the texts before each of them."""
+
+    def step(a: Column, value: Column) -> Column:
+        start = a["at"] + F.length(F.get(before, F.size(a["out"])))
+        end = start + F.length(value)
+        one = F.struct(value.alias("value"), start.alias("start"), end.alias("end"), F.lit(spec.name).alias("rule"), F.lit(rank).alias("rank"), F.lit(spec.confidence).alias("confidence"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).cast(KIND).alias("out"))
 
     return step
 
 
-def matches(text: Column, field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> Column:
-    """All matches of a field with their places (code points, end exclusive)."""
+def matches(text: Column, field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PACK, low: Column | None = None) -> Column:
+    """All matches of a field with their places (code points, end exclusive). low: the folded text, if it is at hand."""
     none = F.array().cast(KIND)
 
-    def one(low: Column, rank: int, spec: PatternSpec) -> Column:
+    def places(found: Column, rank: int, spec: PatternSpec) -> Column:
         # A match starts after all text between matches, and all matches, before it. What follows the last one has none.
-        both = F.arrays_zip(values(text, spec).alias("value"), F.split(text, dialect(spec.regex), -1).alias("before"))
-        rows = F.filter(both, lambda x: x["value"].isNotNull())
-        placed = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), placing(spec, rank), lambda a: a["out"])
-        return tried(text, low, spec, F.coalesce(placed, none), none)
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return let(F.split(text, dialect(spec.regex), -1), lambda before: F.aggregate(found, start, placing(before, spec, rank), lambda a: a["out"]))
+
+    def one(low: Column, rank: int, spec: PatternSpec) -> Column:
+        placed = let(values(text, spec), lambda found: F.when(F.size(found) > 0, places(found, rank, spec)).otherwise(none))
+        return tried(text, low, spec, placed, none)
+
+    def every(low: Column) -> Column:
+        return F.concat(*[one(low, rank, spec) for rank, spec in own])
 
     own = ranked(field, pack)
-    return let(folded(text), lambda low: F.concat(*[one(low, rank, spec) for rank, spec in own])) if own else none
+    if not own:
+        return none
+    return let(folded(text), every) if low is None else every(low)
 
 
 def best(text: Column, field: str, pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> Column:

@@ -39,7 +39,7 @@ def metadata(docs: DataFrame, text: str = "text", pack: tuple[PatternSpec, ...]
     """Adds the record's columns: each field's best match, date and year, the scores, their mean and a preview."""
     body = F.col(text)
     tried, bests = first_matches(docs.withColumn("_low", folded(body)), text, "_low", FIELDS, pack)
-    own = F.struct(*[v.alias(f) for f, v in bests.items()], best_date(body, pack).alias("date"))
+    own = F.struct(*[v.alias(f) for f, v in bests.items()], best_date(body, pack, F.col("_low")).alias("date"))
     # The generator keeps the optimiser from putting the matching into each of the columns that use it.
     out = tried.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(own.alias("_found")))))
     scores = F.map_from_entries(
