@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The findings' texts. A date and a field's name are put in.
@@ -16,8 +16,8 @@ LOW_SCORE = "Low confidence score for "
 KIND = "array<struct<severity:string,rule:string,message:string>>"
 
 
-def findings(records: DataFrame, least: float = 0.3, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, severity, rule, message: one row for each rule that a record breaks. Empty texts and year 0 count as absent."""
+def broken(least: float = 0.3) -> Column:
+    """A record's findings (severity, rule, message): one for each rule that it breaks. Empty texts and year 0 count as absent."""
 
     def hit(when, severity, rule, message):
         return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), message.alias("message")))
@@ -39,12 +39,18 @@ def findings(records: DataFrame, least: float = 0.3, doc_id: str = "doc_id") ->
             F.struct(F.lit("warning").alias("severity"), F.lit("score_low").alias("rule"), F.concat(F.lit(LOW_SCORE), e["key"]).alias("message")),
         ),
     )
-    every = F.concat(F.array_compact(fixed).cast(KIND), F.coalesce(F.array_compact(scored).cast(KIND), F.array().cast(KIND)))
-    return records.select(F.col(doc_id).alias("doc_id"), F.inline(every))
+    return F.concat(F.array_compact(fixed).cast(KIND), F.coalesce(F.array_compact(scored).cast(KIND), F.array().cast(KIND)))
+
+
+def findings(records: DataFrame, least: float = 0.3, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, severity, rule, message: one row for each rule that a record breaks."""
+    found = records.select(F.col(doc_id).alias("doc_id"), broken(least).alias("found"))
+    return found.select("doc_id", F.inline("found"))
 
 
 def summary(records: DataFrame, least: float = 0.3, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, is_valid, errors, warnings for every record."""
-    found = findings(records, least, doc_id).groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    out = records.select(F.col(doc_id).alias("doc_id")).join(found, "doc_id", "left").na.fill(0, ["errors", "warnings"])
-    return out.select("doc_id", (F.col("errors") == 0).alias("is_valid"), "errors", "warnings")
+    """doc_id, is_valid, errors, warnings for every record, each on its own: nothing is joined."""
+    found = records.select(F.col(doc_id).alias("doc_id"), broken(least).alias("found"))
+    errors = F.size(F.filter("found", lambda x: x["severity"] == "error")).cast("long")
+    counted = found.select("doc_id", errors.alias("errors"), F.size("found").cast("long").alias("n"))
+    return counted.select("doc_id", (F.col("errors") == 0).alias("is_valid"), "errors", (F.col("n") - F.col("errors")).alias("warnings"))
