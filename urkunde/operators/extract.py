@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +32,11 @@ def match_table(docs: DataFrame, field: str, text: str = "text", doc_id: str = "
     )
 
 
-def overall(scores: Column) -> Column:
-    """Mean of a map's values, 0 if it is empty."""
-    values = F.map_values(scores)
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)).otherwise(0.0)
+def overall(scores: list[Column]) -> Column:
+    """Mean of the scores that are not null, 0 if there is none."""
+    total = reduce(add, [F.coalesce(s, F.lit(0.0)) for s in scores], F.lit(0.0))
+    known = reduce(add, [s.isNotNull().cast("int") for s in scores])
+    return F.when(known > 0, total / known).otherwise(0.0)
 
 
 def metadata(docs: DataFrame, text: str = "text", pack: tuple[PatternSpec, ...] = DEFAULT_PACK) -> DataFrame:
@@ -42,11 +46,10 @@ def metadata(docs: DataFrame, text: str = "text", pack: tuple[PatternSpec, ...]
     own = F.struct(*[v.alias(f) for f, v in bests.items()], best_date(body, pack, F.col("_low")).alias("date"))
     # The generator keeps the optimiser from putting the matching into each of the columns that use it.
     out = tried.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(own.alias("_found")))))
-    scores = F.map_from_entries(
-        F.filter(F.array(*[F.struct(F.lit(f).alias("key"), F.col(f"_found.{f}.score").alias("value")) for f in (*FIELDS, "date")]), lambda e: e["value"].isNotNull())
-    )
+    each = {f: F.col(f"_found.{f}.score") for f in (*FIELDS, "date")}
+    scores = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("key"), v.alias("value")) for f, v in each.items()]), lambda e: e["value"].isNotNull()))
     given = {f: F.col(f"_found.{f}.value") for f in FIELDS} | {"date": F.col("_found.date.date"), "year": F.year("_found.date.date"), "confidence_scores": scores}
-    out = out.withColumns(given | {"overall_confidence": overall(scores), "raw_text_preview": preview(body)})
+    out = out.withColumns(given | {"overall_confidence": overall(list(each.values())), "raw_text_preview": preview(body)})
     return out.drop("_found")
 
 
