@@ -14,6 +14,11 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_findings_are_worked_out_once(spark):
+    found = plan(QUERIES["validate_rules"](spark, SF))
+    assert found.count("score_range") == 1
+
+
 def test_summary_joins_nothing(spark):
     found = plan(QUERIES["validate_summary"](spark, SF))
     assert "Join" not in found and "Aggregate" not in found and found.count("orders.parquet") <= 1 and found.count("Relation") == 1
