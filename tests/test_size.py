@@ -14,6 +14,19 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tasks_grow_in_number_not_in_size(spark, monkeypatch):
+    whole = fx.corpus(spark, SF).count()
+    monkeypatch.setattr(fx, "HEADERS", 100, raising=False)
+    out = fx.corpus(spark, SF)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == whole == 1500 and max(sizes) <= 150
+
+
+def test_json_fields_are_read_once(spark):
+    found = plan(QUERIES["metadata_json_fields"](spark, SF))
+    assert "get_json_object" not in found and found.count("from_json(") == 1
+
+
 def test_findings_are_worked_out_once(spark):
     found = plan(QUERIES["validate_rules"](spark, SF))
     assert found.count("score_range") == 1

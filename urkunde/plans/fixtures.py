@@ -65,16 +65,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files make fewer splits; larger tables are left as they are."""
+#: Headers in a task: matching them takes seconds, whatever the size of the table.
+HEADERS = 1 << 15
+
+
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df over all cores, where its files make fewer splits; larger tables are left as they are, unless tasks of at most
+    about `rows` rows are asked for (the rows are counted by the files' footers)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    waves = -(-df.count() // (rows * cores)) if rows else 1
+    wanted = cores * max(waves, 1)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers of documents. Matching them costs far more than reading them, so they are spread."""
+    """Headers of documents. Matching them costs far more than reading them, so they are spread by their number."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    return spread(orders).selectExpr(f"{K} AS doc_id", f"{TEXT} AS text")
+    return spread(orders, HEADERS).selectExpr(f"{K} AS doc_id", f"{TEXT} AS text")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,10 +138,10 @@ def overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("confidence_scores").cast("long").alias("n_scores"), F.round("overall_confidence", 6).alias("overall_confidence"))
 
 
-#: Types under which the keys of an exported record are read back.
-READ_BACK = ", ".join(
-    f"{k} {dict(confidence_scores='map<string,double>', overall_confidence='double', processing_metadata='map<string,string>', ocr_attempts_count='bigint').get(k, 'string')}" for k in export.KEYS
-)
+def read_back(*keys: str) -> str:
+    """The schema under which keys of an exported record are read back."""
+    kinds = {"confidence_scores": "map<string,double>", "overall_confidence": "double", "processing_metadata": "map<string,string>", "ocr_attempts_count": "bigint"}
+    return ", ".join(f"{k} {kinds.get(k, 'string')}" for k in keys)
 
 
 @query(
@@ -150,11 +150,10 @@ READ_BACK = ", ".join(
 )
 def metadata_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = extract.metadata(fx.corpus(spark, sf_dir))
-    out = export.records(records.withColumn("processing_metadata", F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"))))
-    out = out.select(F.to_json(F.struct(*export.KEYS), {"ignoreNullFields": "false"}).alias("j"))
-    field = lambda p: F.get_json_object("j", f"$.{p}")
-    return out.select(
-        field("processing_metadata.doc_id").cast("long").alias("doc_id"), field("title").alias("title"), field("year").alias("year"), field("date").alias("date"), field("ocr_attempts_count").cast("long").alias("attempts"), field("publisher").alias("publisher")
+    out = export.as_json(records.withColumn("processing_metadata", F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"))))
+    # One parse gives all fields.
+    return out.select(F.from_json("value", read_back("title", "year", "date", "publisher", "processing_metadata", "ocr_attempts_count")).alias("r")).select(
+        F.try_element_at("r.processing_metadata", F.lit("doc_id")).cast("long").alias("doc_id"), "r.title", "r.year", "r.date", F.col("r.ocr_attempts_count").alias("attempts"), "r.publisher"
     )
 
 
@@ -635,7 +634,7 @@ def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = {"ocr_attempts_count": F.lit(3), "successful_approach": F.lit("standard"), "analysis_document_type": F.lit("official_document"), "analysis_quality": F.lit("good")}
     found = extract.metadata(fx.corpus(spark, sf_dir)).withColumns(told | {"processing_metadata": F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"))})
     # One parse gives all keys; only counting them takes another.
-    read = export.as_json(found).select("value", F.from_json("value", READ_BACK).alias("r"))
+    read = export.as_json(found).select("value", F.from_json("value", read_back(*export.KEYS)).alias("r"))
     number = lambda v: F.round(v, 6)
     return read.select(
         F.try_element_at("r.processing_metadata", F.lit("doc_id")).cast("long").alias("doc_id"),
